@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, brown, language, licenses, mixing, token_files
+from . import bpe, brown, dedup, language, licenses, mixing, token_files
 from .common import documents, scratch
 
 
@@ -14,6 +14,10 @@ def op3_brown_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.score_corpus(documents(spark, sf_dir))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.groups(documents(spark, sf_dir))
+
+
 def op5_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -37,7 +41,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_brown_scoring, op5_bpe_encoding, op6_source_mixing, op8_license_scan, op9_language_id, op10_token_counts)}
+    return {f.__name__: f for f in (op3_brown_scoring, op4_near_duplicates, op5_bpe_encoding, op6_source_mixing, op8_license_scan, op9_language_id, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
