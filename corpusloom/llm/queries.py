@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, brown, dedup, language, licenses, mixing, token_files
+from . import bpe, brown, dedup, language, licenses, mixing, token_files, webp
 from .common import documents, scratch
 
 
@@ -28,6 +28,10 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+def op7_media_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webp.media_column(documents(spark, sf_dir))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
@@ -41,7 +45,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_brown_scoring, op4_near_duplicates, op5_bpe_encoding, op6_source_mixing, op8_license_scan, op9_language_id, op10_token_counts)}
+    return {f.__name__: f for f in (op3_brown_scoring, op4_near_duplicates, op5_bpe_encoding, op6_source_mixing, op7_media_webp, op8_license_scan, op9_language_id, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
