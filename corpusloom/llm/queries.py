@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, brown, dedup, fingerprints, language, licenses, mixing, token_files, webp
+from . import bpe, brown, dedup, fingerprints, language, licenses, mixing, pii, token_files, webp
 from .common import documents, scratch
 
 
@@ -14,6 +14,10 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_edits(documents(spark, sf_dir))
 
 
+def op2_pii_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(documents(spark, sf_dir))
+
+
 def op3_brown_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.score_corpus(documents(spark, sf_dir))
 
@@ -49,7 +53,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op3_brown_scoring, op4_near_duplicates, op5_bpe_encoding, op6_source_mixing, op7_media_webp, op8_license_scan, op9_language_id, op10_token_counts)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_pii_contexts, op3_brown_scoring, op4_near_duplicates, op5_bpe_encoding, op6_source_mixing, op7_media_webp, op8_license_scan, op9_language_id, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
