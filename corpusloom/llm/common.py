@@ -48,6 +48,12 @@ def numbered(frame: DataFrame, *order: Column | str, name: str = "number") -> Da
     return placed.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_place")).drop("_part", "_place", "_start")
 
 
+def renamed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The documents' columns once more under names that clash with none, and these names."""
+    names = [f"_col_{i}" for i in range(len(docs.columns))]
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c in ("doc_id", "text", "lang", "source")], *[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)]), names
+
+
 def remainder(doc_id: Column, n: int) -> Column:
     """crc32 of the id written in decimal, modulo n: the folds of the contracts. A null id counts as the empty string."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n

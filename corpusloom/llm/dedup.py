@@ -24,11 +24,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .brown import tokens
-from .common import cut
+from .common import cut, renamed
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -130,9 +130,15 @@ def node_key(text: str) -> bytes | None:
     return hashlib.blake2b(b" ".join(words), digest_size=16).digest() if words else None
 
 
+def row_key() -> list:
+    """_k, _k2: two hashes of a row's id and text, the same for repeated rows only."""
+    return [F.xxhash64("doc_id", "text").alias("_k"), F.xxhash64("text", "doc_id", F.lit(1)).alias("_k2")]
+
+
 def nodes_of(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """doc_id, node, bands of each document."""
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+    """doc_id, _k, _k2, node, bands of each document."""
+    keyed = docs.select("doc_id", "text", *row_key())
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keyed.drop("text").schema.fields)
 
     def sign(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -143,9 +149,9 @@ def nodes_of(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 keys = band_keys(bag_signatures(*weighted(h, n), len(texts), bands * rows), bands, rows).view(np.int64)
                 nodes = [node_key(t) for t in texts.to_pylist()]
                 lists = pa.array([k if node else None for k, node in zip(list(keys), nodes)], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes, pa.binary()), lists], names=["doc_id", "node", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], pa.array(nodes, pa.binary()), lists], names=["doc_id", "_k", "_k2", "node", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {id_type}, node binary, bands array<long>")
+    return keyed.mapInArrow(sign, f"{fields}, node binary, bands array<long>")
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -219,9 +225,8 @@ def classes_of(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("class")).unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("class")).distinct())
 
 
-def groups(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, stars: int = STARS) -> DataFrame:
-    """doc_id, class_id, n_links of every document of doc_id, text: its class and the verified links and copies of its text."""
-    signed = cut(nodes_of(docs, bands, rows))
+def classes(docs: DataFrame, signed: DataFrame, similarity: float, stars: int) -> tuple[DataFrame, DataFrame]:
+    """(node, class of the nodes that have links; a, b of the links) for the signed documents."""
     nodes = signed.where("node is not null").select("node", "bands").dropDuplicates(["node"])
     slots = nodes.select("node", F.explode("bands").alias("band"))
     shared = slots.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
@@ -250,9 +255,30 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
         tried = pairs if tried is None else cut(tried.unionAll(pairs))
         links = found if links is None else links.unionAll(found)
         label = cut(classes_of(links))
+    return label, links
+
+
+def groups(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, stars: int = STARS) -> DataFrame:
+    """doc_id, class_id, n_links of every document of doc_id, text: its class and the verified links and copies of its text."""
+    signed = cut(nodes_of(docs, bands, rows))
+    label, links = classes(docs, signed, similarity, stars)
     degree = links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     copies = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
     named = copies.join(label, "node", "left").withColumn("class", F.coalesce("class", "node")).join(degree, "node", "left")
     names = named.groupBy("class").agg(F.min("first").alias("class_id"))
     named = named.join(names, "class").select("node", "class_id", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     return signed.select("doc_id", "node").join(named, "node", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, stars: int = STARS) -> DataFrame:
+    """The documents, whole, with one of each class: that of the least id, of repeated rows any one."""
+    inner, names = renamed(docs)
+    signed = cut(nodes_of(inner, bands, rows))
+    label, _ = classes(inner, signed, similarity, stars)
+    first = F.min(F.struct("doc_id", "_k", "_k2")).alias("first")
+    nodes = signed.where("node is not null").groupBy("node").agg(first).join(label, "node", "left")
+    stay = nodes.groupBy(F.coalesce("class", "node").alias("class")).agg(F.min("first").alias("first")).select("first._k", "first._k2", F.lit(True).alias("_single"))
+    stay = stay.unionAll(signed.where("node is null").select("_k", "_k2", F.lit(False)).distinct())
+    kept = inner.select(*names, *row_key()).join(stay, ["_k", "_k2"])
+    copy = F.row_number().over(Window.partitionBy("_k", "_k2").orderBy(F.lit(0)))
+    return kept.withColumn("_copy", copy).where("not _single or _copy = 1").select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, numbered
+from .common import WORD, cut, numbered, renamed
 
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
@@ -68,8 +68,8 @@ def due(share: Column, schedule: tuple[float, ...]) -> Column:
     return out
 
 
-def mix(docs: DataFrame, keep: tuple[str, ...] = (), weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, most: float = MOST, schedules: tuple[tuple[float, ...], ...] = SCHEDULES, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies, first_position, last_position and the kept columns, by position.
+def mix(docs: DataFrame, keep: tuple[str, ...] = (), weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, most: float = MOST, schedules: tuple[tuple[float, ...], ...] = SCHEDULES, doc_id: str = "doc_id", text: str = "text", source: str = "source", sort: bool = True) -> DataFrame:
+    """doc_id, size, source_size, target, taken, copies, first_position, last_position, positions (of the copies) and the kept columns, by position.
 
     taken counts words: every source takes its target to the word, so that one document of it may be taken in part;
     copies counts that part as a whole where it is half or more.
@@ -113,9 +113,19 @@ def mix(docs: DataFrame, keep: tuple[str, ...] = (), weights: tuple[int, ...] =
             out = F.when(F.col("place") % len(schedules) == i, due(share, schedules[i])).otherwise(out)
         return out
 
-    return placed.select(
+    out = placed.select(
         "doc_id", "size", F.col("source_size"), "target", taken.cast("long").alias("taken"), copies.alias("copies"),
         position(F.lit(0)).alias("first_position"),
         position(passes - F.when(more > 0, 0).otherwise(1)).alias("last_position"),
+        F.when(copies > 0, F.transform(F.sequence(F.lit(0), copies - 1), position)).alias("positions"),
         *[F.col(f"_kept_{i}") for i in range(len(keep))],
-    ).orderBy("first_position", "doc_id")
+    )
+    return out.orderBy("first_position", "doc_id") if sort else out
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The documents, whole, each as often as the mix takes it, sorted by the positions of the copies."""
+    inner, names = renamed(docs)
+    taken = mix(inner, keep=tuple(names), sort=False, **options).where("copies > 0")
+    copies = taken.select(*[f"_kept_{i}" for i in range(len(names))], "doc_id", F.explode("positions").alias("_position"))
+    return copies.orderBy("_position", "doc_id").select(*[F.col(f"_kept_{i}").alias(c) for i, c in enumerate(docs.columns)])

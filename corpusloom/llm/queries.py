@@ -33,7 +33,7 @@ def op5_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(documents(spark, sf_dir))
+    return mixing.mix(documents(spark, sf_dir)).drop("positions")
 
 
 def op7_media_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
