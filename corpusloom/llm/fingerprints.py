@@ -3,7 +3,7 @@
 Each term of a text weighs as often as it occurs. For every slot a term draws r and c from Gamma(2, 1) and b from
 (0, 1), by a hash of term and slot; with t = floor(ln weight / r + b) the term's key is ln c - r (t - b + 1), and the slot
 holds a code of the (term, t) with the least key. Two texts agree in a slot with the probability of their generalised Jaccard
-similarity. The gamma draws are quantiles looked up by bits of the hash: 4,096 of r, 65,536 of ln c.
+similarity.
 
 Results for odd input: null counts as empty; a text without words has an empty fingerprint, like any other such text and
 unlike all the rest; equal texts have equal fingerprints; equal ids are ordered by a hash of their texts, null ids come
@@ -12,60 +12,41 @@ first; a single document is its own next one; an empty table gives an empty tabl
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLOTS = 64
 #: Bits of a slot's code: five hexadecimal digits.
 CODE_BITS = 20
-R_BITS, C_BITS, B_BITS = 12, 16, 16
 #: Bytes of text in a bucket of neighbouring documents, about.
 BUCKET_BYTES = 8 << 20
 SEPARATOR = r"[\x20\x09-\x0D]+"
 
 
-def gamma_quantiles(n: int) -> list[float]:
-    """Gamma(2, 1) at the middles of n equal shares: 1 - (1 + x) exp(-x) = share, by Newton's steps from the last quantile."""
-    out, x = [], 0.0
-    for k in range(n):
-        share = (k + 0.5) / n
-        x = x or math.sqrt(2 * share)
-        for _ in range(60):
-            step = (1 - (1 + x) * math.exp(-x) - share) / (x * math.exp(-x))
-            x = max(x - step, x / 2)
-            if abs(step) < 1e-12 * x:
-                break
-        out.append(x)
-    return out
-
-
-def table(values: list[float]) -> Column:
-    """A constant array, folded once by the optimizer."""
-    return F.split(F.lit(",".join(f"{v:.10g}" for v in values)), ",").cast("array<double>")
+def uniform(x: Column, low: int, bits: int) -> Column:
+    """A number within (0, 1) from some bits of a hash."""
+    return (F.shiftrightunsigned(x, low).bitwiseAND(F.lit((1 << bits) - 1)) + 0.5) * 2.0**-bits
 
 
 def signatures(terms: DataFrame, keys: list[str], term: str = "term", weight: str = "weight", slots: int = SLOTS) -> DataFrame:
     """keys, signature: for each key the code of each slot; null where no term is. terms: keys, a 64-bit term, its weight."""
-    r = gamma_quantiles(1 << R_BITS)
-    c = gamma_quantiles(1 << C_BITS)
-    rs, inverse, log_c = table(r), table([1 / x for x in r]), table([math.log(x) for x in c])
-    part = lambda x, low, bits: F.shiftrightunsigned(x, low).bitwiseAND(F.lit((1 << bits) - 1))
+    ones = (1 << CODE_BITS) - 1
 
     def key(i: int) -> Column:
-        x = F.xxhash64(F.col(term), F.lit(i))
-        at = part(x, 0, R_BITS).cast("int")
-        b = (part(x, R_BITS + C_BITS, B_BITS) + 0.5) * 2.0**-B_BITS
-        t = F.floor(F.col("_log") * F.get(inverse, at) + b)
-        value = F.get(log_c, part(x, R_BITS, C_BITS).cast("int")) - F.get(rs, at) * (t - b + 1)
+        x, y = F.xxhash64(F.col(term), F.lit(i)), F.xxhash64(F.col(term), F.lit(-1 - i))
+        # The logarithm of a product of two uniform numbers is a Gamma(2, 1) draw, less the sign.
+        r = -F.ln(uniform(x, 0, 16) * uniform(x, 16, 16))
+        c = -F.ln(uniform(x, 32, 16) * uniform(x, 48, 16))
+        b = uniform(y, 0, 32)
+        t = F.floor(F.col("_log") / r + b)
+        value = F.ln(c) - r * (t - b + 1)
         # The key, as a whole number above the code: least key first, equal keys by code.
-        code = (part(x, 64 - CODE_BITS, CODE_BITS) + t * 0x9E37).bitwiseAND(F.lit((1 << CODE_BITS) - 1))
+        code = (F.shiftrightunsigned(y, 32) + t * 0x9E37).bitwiseAND(F.lit(ones))
         return F.shiftleft(F.floor((value + 128) * 2.0**32), CODE_BITS).bitwiseOR(code)
 
     weighed = terms.select(*keys, term, F.ln(weight).alias("_log"))
     least = weighed.groupBy(*keys).agg(*[F.min(F.when(F.col(term).isNotNull(), key(i))).alias(f"_{i}") for i in range(slots)])
-    code = lambda i: F.col(f"_{i}").bitwiseAND(F.lit((1 << CODE_BITS) - 1))
+    code = lambda i: F.col(f"_{i}").bitwiseAND(F.lit(ones))
     return least.select(*keys, F.when(F.col("_0").isNotNull(), F.array(*[code(i) for i in range(slots)])).alias("signature"))
 
 
