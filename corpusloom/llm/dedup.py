@@ -35,8 +35,9 @@ SIMILARITY = 0.8
 #: 32 bands of 5 slots: a pair of similarity 0.8 shares no band with probability (1 - 0.8^5)^32 < 4e-6.
 BANDS = 32
 ROWS = 5
-#: Comparisons with one node of each band, before nodes of different classes are compared with each other.
-STARS = 2
+#: Rounds in which a band's nodes are compared with one of them, drawn anew for each band and round, before nodes of
+#: different classes are compared with each other.
+STARS = 4
 TEXTS = 512
 
 _MIX1, _MIX2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -136,7 +137,7 @@ def row_key() -> list:
 
 
 def nodes_of(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """doc_id, _k, _k2, node, bands of each document."""
+    """doc_id, _k, _k2, node, bands, n (shingles), slots (16 bits of each) of each document."""
     keyed = docs.select("doc_id", "text", *row_key())
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keyed.drop("text").schema.fields)
 
@@ -146,12 +147,15 @@ def nodes_of(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 part = batch.slice(at, TEXTS)
                 texts = pc.fill_null(part.column(1), "")
                 h, n = shingles(texts)
-                keys = band_keys(bag_signatures(*weighted(h, n), len(texts), bands * rows), bands, rows).view(np.int64)
+                signature = bag_signatures(*weighted(h, n), len(texts), bands * rows)
+                keys = band_keys(signature, bands, rows).view(np.int64)
+                slots = (mixed(np.ascontiguousarray(signature).view(np.uint64)) >> np.uint64(48)).astype(np.uint16).view(np.int16)
                 nodes = [node_key(t) for t in texts.to_pylist()]
                 lists = pa.array([k if node else None for k, node in zip(list(keys), nodes)], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], pa.array(nodes, pa.binary()), lists], names=["doc_id", "_k", "_k2", "node", "bands"])
+                short = pa.array(list(slots), pa.list_(pa.int16()))
+                yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], pa.array(nodes, pa.binary()), lists, pa.array(n, pa.int64()), short], names=["doc_id", "_k", "_k2", "node", "bands", "n", "slots"])
 
-    return keyed.mapInArrow(sign, f"{fields}, node binary, bands array<long>")
+    return keyed.mapInArrow(sign, f"{fields}, node binary, bands array<long>, n long, slots array<short>")
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -203,6 +207,16 @@ def alike(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     return with_b.mapInArrow(compare, "a binary, b binary")
 
 
+def agreeing(a, b):
+    """Slots that agree in two arrays of slots."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+
+
+def least_agreement(similarity: float, slots: int) -> int:
+    """Slots in which texts of this similarity agree at least, but for five standard deviations: a chance below 1e-6."""
+    return max(1, int(slots * similarity - 5 * (slots * similarity * (1 - similarity)) ** 0.5))
+
+
 def classes_of(links: DataFrame) -> DataFrame:
     """node, class of every node with a link: the least node it reaches.
 
@@ -232,6 +246,8 @@ def classes(docs: DataFrame, signed: DataFrame, similarity: float, stars: int) -
     shared = slots.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
     slots = cut(slots.join(shared.select("band"), "band"))
     texts = cut(texts_of(docs, slots.select("node").distinct()))
+    sizes = signed.where("node is not null").select("node", "n", "slots").dropDuplicates(["node"])
+    bands_rows = len(signed.select("slots").where("node is not null").head(1)[0][0]) if not slots.isEmpty() else 1
     tried = links = None
     label = None
     for turn in range(stars + 1):
@@ -239,14 +255,17 @@ def classes(docs: DataFrame, signed: DataFrame, similarity: float, stars: int) -
             members = slots.withColumn("class", F.col("node"))
         else:
             members = slots.join(label, "node", "left").withColumn("class", F.coalesce("class", "node"))
-        spread = members.groupBy("band").agg(F.min(F.struct("class", "node")).alias("low"), F.max(F.struct("class", "node")).alias("high")).where("low.class <> high.class")
+        drawn = F.xxhash64("node", "band", F.lit(turn))
+        spread = members.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.min(F.struct(drawn.alias("h"), "node", "class")).alias("one")).where("low <> high")
         if turn < stars:
-            one = "low" if turn % 2 == 0 else "high"
-            pairs = members.join(spread, "band").where(f"class <> {one}.class").select("node", F.col(f"{one}.node").alias("other"))
+            pairs = members.join(spread, "band").where("class <> one.class").select("node", F.col("one.node").alias("other"))
         else:
-            rest = members.join(spread.select("band"), "band", "left_semi")
-            other = rest.select("band", F.col("node").alias("other"), F.col("class").alias("class2"))
-            pairs = rest.join(other, "band").where("class < class2").select("node", "other")
+            # What is left shares bands without being alike, as texts with a passage in common do. Only nodes whose sizes
+            # and slots allow the similarity pass the join.
+            rest = members.join(spread.select("band"), "band", "left_semi").join(sizes, "node")
+            other = rest.select("band", F.col("node").alias("other"), F.col("class").alias("class2"), F.col("n").alias("n2"), F.col("slots").alias("slots2"))
+            near = (F.col("n") >= similarity * F.col("n2") - 1e-9) & (F.col("n2") >= similarity * F.col("n") - 1e-9) & (agreeing(F.col("slots"), F.col("slots2")) >= F.lit(least_agreement(similarity, bands_rows)))
+            pairs = rest.join(other, (rest["band"] == other["band"]) & (F.col("class") < F.col("class2")) & near).select("node", "other")
         pairs = pairs.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
