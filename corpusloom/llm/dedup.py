@@ -7,8 +7,8 @@ below the lesser one, and the earliest point in each of m slots agrees for two t
 weighted Jaccard similarity. Signatures are cut into bands; texts that share a band are compared on their whole multisets.
 
 Exact copies become one node first. A band's nodes are compared to one of them, not to each other; links make classes, and
-only where a band still holds several classes are nodes of different classes compared, so that no link between
-different texts is lost.
+only where a band still holds several classes are nodes of different classes compared, block by block, so that no
+link between different texts is lost.
 
 Results for odd input: null texts and texts without words are never copies and stay classes of their own; a text of fewer
 than five words is one shingle; copies of any number become one class with the least doc_id as its name; null ids come
@@ -37,7 +37,9 @@ BANDS = 32
 ROWS = 5
 #: Rounds in which a band's nodes are compared with one of them, drawn anew for each band and round, before nodes of
 #: different classes are compared with each other.
-STARS = 4
+STARS = 3
+#: Nodes of a band that are compared with each other in one task, at most.
+BLOCK = 1000
 TEXTS = 512
 
 _MIX1, _MIX2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -207,16 +209,74 @@ def alike(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     return with_b.mapInArrow(compare, "a binary, b binary")
 
 
-def agreeing(a, b):
-    """Slots that agree in two arrays of slots."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-
-
 def least_agreement(similarity: float, slots: int) -> int:
     """Slots in which texts of this similarity agree at least, but for five standard deviations: a chance below 1e-6."""
     return max(1, int(slots * similarity - 5 * (slots * similarity * (1 - similarity)) ** 0.5))
 
 
+def blocked(members: DataFrame) -> DataFrame:
+    """Adds to members of a band the pairs of blocks bi <= bj that they take part in, and their own block."""
+    sizes = members.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks"))
+    own = members.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
+    other = own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    return other.withColumn("bi", F.least("block", "_other")).withColumn("bj", F.greatest("block", "_other")).drop("_blocks", "_other")
+
+
+def across(members: DataFrame, sizes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """a, b: the links between nodes of one band and different classes.
+
+    Bands go through in pairs of blocks, so that no task holds more than two blocks. A first pass over slots and sizes keeps
+    the nodes that may have a link, the second compares whole multisets and returns links only. A pair counts in the
+    first band that it shares.
+    """
+
+    def pairs(t: pa.Table, key: tuple) -> Iterator[tuple[int, np.ndarray]]:
+        cls = t.column("class").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        block, n = t.column("block").to_numpy(), t.column("n").to_numpy()
+        matrix = lambda c: np.stack(t.column(c).to_numpy(zero_copy_only=False))
+        slots, bands = matrix("slots"), matrix("bands")
+        least = least_agreement(similarity, slots.shape[1])
+        place = np.argmax(bands[0] == key[0].as_py())
+        for i in range(len(cls) - 1):
+            j = np.arange(i + 1, len(cls))
+            j = j[(cls[j] != cls[i]) & (np.minimum(n[j], n[i]) >= similarity * np.maximum(n[j], n[i]) - 1e-9)]
+            if key[1] != key[2]:
+                j = j[block[j] != block[i]]
+            j = j[(slots[j] == slots[i]).sum(axis=1) >= least] if len(j) else j
+            if place and len(j):
+                j = j[~(bands[j][:, :place] == bands[i][:place]).any(axis=1)]
+            if len(j):
+                yield i, j
+
+    def candidates(key: tuple, t: pa.Table) -> pa.Table:
+        hit = np.zeros(t.num_rows, bool)
+        for i, j in pairs(t, key):
+            hit[i] = True
+            hit[j] = True
+        return t.select(["band", "node"]).filter(pa.array(hit))
+
+    def links(key: tuple, t: pa.Table) -> pa.Table:
+        text, h, w = weighted(*shingles(t.column("text").combine_chunks()))
+        ends = np.searchsorted(text, np.arange(t.num_rows + 1))
+        total = np.bincount(text, w, minlength=t.num_rows)
+        nodes = t.column("node").to_pylist()
+        out = []
+        for i, js in pairs(t, key):
+            hi, wi = h[ends[i] : ends[i + 1]], w[ends[i] : ends[i + 1]]
+            for j in js.tolist():
+                hj, wj = h[ends[j] : ends[j + 1]], w[ends[j] : ends[j + 1]]
+                k = np.minimum(np.searchsorted(hj, hi), len(hj) - 1)
+                both = np.minimum(wi, wj[k])[hj[k] == hi].sum()
+                if both >= similarity * (total[i] + total[j] - both) - 1e-9:
+                    out.append((max(nodes[i], nodes[j]), min(nodes[i], nodes[j])))
+        return pa.table({"a": pa.array([x[0] for x in out], pa.binary()), "b": pa.array([x[1] for x in out], pa.binary())})
+
+    rest = members.join(sizes, "node")
+    near = blocked(rest).groupBy("band", "bi", "bj").applyInArrow(lambda key, t: candidates(key, t), "band long, node binary").distinct()
+    some = rest.join(cut(near), ["band", "node"]).join(texts, "node")
+    return blocked(some).groupBy("band", "bi", "bj").applyInArrow(lambda key, t: links(key, t), "a binary, b binary").distinct()
+
+
 def classes_of(links: DataFrame) -> DataFrame:
     """node, class of every node with a link: the least node it reaches.
 
@@ -246,8 +306,7 @@ def classes(docs: DataFrame, signed: DataFrame, similarity: float, stars: int) -
     shared = slots.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
     slots = cut(slots.join(shared.select("band"), "band"))
     texts = cut(texts_of(docs, slots.select("node").distinct()))
-    sizes = signed.where("node is not null").select("node", "n", "slots").dropDuplicates(["node"])
-    bands_rows = len(signed.select("slots").where("node is not null").head(1)[0][0]) if not slots.isEmpty() else 1
+    sizes = signed.where("node is not null").select("node", "n", "slots", "bands").dropDuplicates(["node"])
     tried = links = None
     label = None
     for turn in range(stars + 1):
@@ -257,15 +316,12 @@ def classes(docs: DataFrame, signed: DataFrame, similarity: float, stars: int) -
             members = slots.join(label, "node", "left").withColumn("class", F.coalesce("class", "node"))
         drawn = F.xxhash64("node", "band", F.lit(turn))
         spread = members.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.min(F.struct(drawn.alias("h"), "node", "class")).alias("one")).where("low <> high")
-        if turn < stars:
-            pairs = members.join(spread, "band").where("class <> one.class").select("node", F.col("one.node").alias("other"))
-        else:
-            # What is left shares bands without being alike, as texts with a passage in common do. Only nodes whose sizes
-            # and slots allow the similarity pass the join.
-            rest = members.join(spread.select("band"), "band", "left_semi").join(sizes, "node")
-            other = rest.select("band", F.col("node").alias("other"), F.col("class").alias("class2"), F.col("n").alias("n2"), F.col("slots").alias("slots2"))
-            near = (F.col("n") >= similarity * F.col("n2") - 1e-9) & (F.col("n2") >= similarity * F.col("n") - 1e-9) & (agreeing(F.col("slots"), F.col("slots2")) >= F.lit(least_agreement(similarity, bands_rows)))
-            pairs = rest.join(other, (rest["band"] == other["band"]) & (F.col("class") < F.col("class2")) & near).select("node", "other")
+        if turn == stars:
+            # What is left shares bands without being alike, as texts with a passage in common do, or is alike at the edge.
+            links = links.unionAll(cut(across(members.join(spread.select("band"), "band", "left_semi"), sizes, texts, similarity)))
+            label = cut(classes_of(links))
+            break
+        pairs = members.join(spread, "band").where("class <> one.class").select("node", F.col("one.node").alias("other"))
         pairs = pairs.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
