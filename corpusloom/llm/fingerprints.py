@@ -19,7 +19,7 @@ SLOTS = 64
 #: Bits of a slot's code: five hexadecimal digits.
 CODE_BITS = 20
 #: Bytes of text in a bucket of neighbouring documents, about.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 2 << 20
 SEPARATOR = r"[\x20\x09-\x0D]+"
 
 
