@@ -122,10 +122,13 @@ def share(part: Column, whole: Column) -> Column:
 
 def overlap_score(answer: Column, context: Column) -> Column:
     """0.8 of the keyword share and 0.2 of the trigram share; trigrams alone where the answer has no keywords."""
-    terms = keywords(answer)
-    runs = F.round(F.when((F.size(trigrams(answer)) > 0) & (F.size(trigrams(context)) > 0), share(trigrams(answer), trigrams(context))).otherwise(0.0), 4)
-    both = 0.8 * share(terms, keywords(context)) + 0.2 * runs
-    return F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.when(F.size(terms) > 0, both).otherwise(runs))), 4)
+    sets = F.struct(keywords(answer).alias("a"), keywords(context).alias("c"), trigrams(answer).alias("ra"), trigrams(context).alias("rc"))
+
+    def score(x: Column) -> Column:
+        runs = F.round(share(x["ra"], x["rc"]), 4)
+        return F.when(F.size(x["a"]) > 0, 0.8 * share(x["a"], x["c"]) + 0.2 * runs).otherwise(runs)
+
+    return F.round(let(sets, score), 4)
 
 
 def language(query: Column) -> Column:

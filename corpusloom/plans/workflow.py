@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,20 +38,27 @@ def retrieve_hybrid(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return retrieve.fuse(doc(retrieve.dense_topk(vectors, asked, n)), doc(retrieve.bm25_topk(chunks, queries, n)), k)
 
 
+def held(frame: DataFrame) -> DataFrame:
+    """A small per-query result that several later steps read; lost parts are worked out again."""
+    return frame.persist(StorageLevel.DISK_ONLY)
+
+
 def analysed(queries: DataFrame) -> DataFrame:
     """Adds language, class and limits to query_id, query."""
     q = queries.withColumn("query", tx.normalized_query(F.col("query")))
-    return q.select("query_id", "query", tx.language(F.col("query")).alias("language"), tx.complexity(F.col("query")).alias("complexity"), *judge.budget(tx.complexity(F.col("query"))))
+    q = held(q.select("query_id", "query", tx.language(F.col("query")).alias("language"), tx.complexity(F.col("query")).alias("complexity")))
+    return q.select("*", *judge.budget(F.col("complexity")))
 
 
 def standard(chunks: DataFrame, queries: DataFrame, answer: Callable[[Column, Column], Column] = best_sentence) -> DataFrame:
     """query_id, query, language, complexity, policy, answer, context, n_docs, citations, confidence, status, grounded, grounding."""
     q = analysed(queries)
     hits = retrieve_hybrid(chunks, q, judge.BASE[0]).join(q.select("query_id", "hybrid_top_k", "rerank_top_k", "context_top_k"), "query_id").where(F.col("rank") <= F.col("hybrid_top_k"))
+    hits = held(hits)
     stats, sure = rank.score_stats(hits), rank.confidence(hits, ("score",))
     text = chunks.select("chunk_id", F.col("text").alias("content"))
     reranked = rank.rerank_by_score(hits.where("rank <= rerank_top_k"), judge.BASE[1]).where("rank <= context_top_k").join(text, "chunk_id")
-    packed = rank.pack(reranked, judge.BASE[2], judge.BASE[3])
+    packed = held(rank.pack(reranked, judge.BASE[2], judge.BASE[3]))
     context = packed.groupBy("query_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("slot", "content"))), lambda x: x["content"]), "\n").alias("context"),
         F.count("*").alias("n_docs"), F.transform(F.array_sort(F.collect_list(F.struct("slot", "chunk_id"))), lambda x: x["chunk_id"]).alias("citations"),
@@ -58,7 +66,7 @@ def standard(chunks: DataFrame, queries: DataFrame, answer: Callable[[Column, Co
     rows = q.join(stats, "query_id", "left").join(sure, "query_id", "left").join(context, "query_id", "left")
     rows = rows.withColumn("context", F.coalesce("context", F.lit(""))).withColumn("n_docs", F.coalesce("n_docs", F.lit(0)))
     policy = rank.cascade(F.coalesce("n_hits", F.lit(0)), F.col("top"), F.col("gap"), F.col("complexity"), F.lit("standard"), cross_encoder=False)
-    return judged(rows.withColumn("policy", policy).withColumn("answer", answer(F.col("query"), F.col("context"))))
+    return held(judged(held(rows.withColumn("policy", policy).withColumn("answer", answer(F.col("query"), F.col("context"))))))
 
 
 def judged(rows: DataFrame) -> DataFrame:
@@ -83,7 +91,7 @@ def advanced(chunks: DataFrame, queries: DataFrame, answer: Callable[[Column, Co
     done = None
     for loop in range(max_loops + 1):
         c = judge.critique(F.col("query"), F.when(F.col("status") == "answered", F.col("answer")).otherwise(""), F.col("context"), F.col("n_docs"), F.lit(loop), F.lit(max_loops))
-        rows = rows.withColumns({f"critique_{k}": v for k, v in c.items()})
+        rows = held(rows.withColumns({f"critique_{k}": v for k, v in c.items()}))
         stay = rows if loop == max_loops else rows.where(~F.col("critique_should_retry"))
         done = stay if done is None else done.unionByName(stay)
         if loop == max_loops:
