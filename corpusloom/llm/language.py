@@ -55,6 +55,8 @@ def grams(text: str, codes: np.ndarray) -> np.ndarray:
 
 
 def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(keys):
+        return keys, np.empty(0, np.int64)
     keys = np.sort(keys)
     edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     return keys[edges], np.diff(np.append(edges, len(keys)))
