@@ -316,6 +316,9 @@ def classes(docs: DataFrame, signed: DataFrame, similarity: float, stars: int) -
             members = slots.join(label, "node", "left").withColumn("class", F.coalesce("class", "node"))
         drawn = F.xxhash64("node", "band", F.lit(turn))
         spread = members.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.min(F.struct(drawn.alias("h"), "node", "class")).alias("one")).where("low <> high")
+        spread = cut(spread)
+        if links is not None and spread.isEmpty():
+            break
         if turn == stars:
             # What is left shares bands without being alike, as texts with a passage in common do, or is alike at the edge.
             links = links.unionAll(cut(across(members.join(spread.select("band"), "band", "left_semi"), sizes, texts, similarity)))
