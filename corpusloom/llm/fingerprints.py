@@ -55,11 +55,18 @@ def words_of(text: Column) -> Column:
 
 
 def counted(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """keys, term, weight: hashes of the lower-cased words of each key's text and how often they occur."""
-    words = texts.select(*keys, F.explode(words_of(F.col(text))).alias("word"))
-    # The empty string beside white space is no term, but keeps the key of a text without words.
-    terms = words.select(*keys, F.when(F.col("word") != "", F.xxhash64("word")).alias("term"))
-    return terms.groupBy(*keys, "term").agg(F.count("*").alias("weight"))
+    """keys, term, weight: hashes of the lower-cased words of each row's text and how often they occur; one null term where no word is.
+
+    Counted by the runs of the row's sorted hashes: a task holds the words of one text at a time, however many texts it has.
+    """
+    # The empty string beside white space is no term.
+    hashes = F.sort_array(F.transform(F.array_remove(words_of(F.col(text)), ""), lambda w: F.xxhash64(w)))
+    h, n = F.col("_hashes"), F.size("_hashes")
+    first = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(h, i) != F.get(h, i - 1)))
+    rows = texts.select(*keys, hashes.alias("_hashes")).select(*keys, "_hashes", F.when(n > 0, first).alias("_first"))
+    run = lambda at, after: F.struct(F.get(h, at).alias("term"), (F.coalesce(after, n) - at).cast("long").alias("weight"))
+    after = F.slice(F.col("_first"), F.lit(2), F.size("_first"))
+    return rows.select(*keys, F.explode_outer(F.zip_with("_first", after, run)).alias("_run")).select(*keys, "_run.term", "_run.weight")
 
 
 def as_text(signature: Column) -> Column:
