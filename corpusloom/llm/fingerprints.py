@@ -95,7 +95,7 @@ def neighbourhoods(docs: DataFrame) -> DataFrame:
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = total // BUCKET_BYTES + 1
     ids = docs.select("doc_id").where("doc_id is not null").repartitionByRange(n, "doc_id")
-    least = sorted(r[0] for r in ids.groupBy(F.spark_partition_id()).agg(F.min("doc_id")).collect())
+    least = sorted(r.least for r in ids.groupBy(F.spark_partition_id()).agg(F.min("doc_id").alias("least")).collect())
     kind = docs.schema["doc_id"].dataType
     whole = kind.typeName() in ("long", "integer", "short", "byte")
     bounds = (F.split(F.lit(",".join(map(str, least))), ",") if whole and least else F.array(*[F.lit(x) for x in least])).cast(f"array<{kind.simpleString()}>")

@@ -35,6 +35,19 @@ def test_fingerprints_follow_weighted_jaccard(spark):
     assert abs(np.mean(errors)) < 0.05 and np.sqrt(np.mean(np.square(errors))) < 0.12
 
 
+def test_fingerprints_across_buckets(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "BUCKET_BYTES", 400)
+    texts = {1000 - 37 * k: f"text {k} " + "x" * (k % 7) + " y" * 20 for k in range(40)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    placed = rows(fingerprints.neighbourhoods(docs).where("not _guest"))
+    assert len(placed) == 40 and max(collections.Counter(r._b for r in placed).values()) <= 20
+    ids = sorted(texts)
+    for r in rows(fingerprints.compare_with_edits(docs)):
+        t, n = texts[r.doc_id], texts[ids[(ids.index(r.doc_id) + 1) % 40]]
+        half = len(t) // 2
+        assert r.edited_sha256 == hashlib.sha256((t[: len(t) - half] + n[:half]).encode()).hexdigest()
+
+
 def test_fingerprints_odd(odd, empty):
     got = rows(fingerprints.compare_with_edits(odd))
     assert len(got) == 10 and all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
