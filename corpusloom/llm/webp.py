@@ -3,7 +3,9 @@
 A payload is stored as the green samples of an image. The reader decodes prefix codes, back-references
 and the colour cache, and inverts the predictor, cross-colour, subtract-green and palette transforms in any order and with
 any block sizes; the writer can produce all of these and picks by the pixels: a palette where few values occur, the
-colour cache where it would often hit, copies wherever pixels, or the lines of a payload, repeat.
+colour cache where it would often hit, copies wherever pixels repeat. For a payload, predictor modes and cache sizes whose
+entropy is estimated lower are tried, and the smallest file stays; red and blue are constant, so that subtract-green and
+cross-colour can only add to them.
 
 Results for odd input: null and empty texts are 64 zero bytes; equal texts give equal files; texts too long for the
 narrowest image get a wider one, whose last row is filled with zeros that reading drops; other columns are ignored.
@@ -13,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 import struct
 import zlib
 from collections.abc import Iterator
@@ -40,8 +43,12 @@ PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
 OPAQUE = 0xFF000000
 MAX_SIDE = 1 << 14
 MAX_COPY = 4096
-#: Pixels that a copy has at least, and samples that a repeated line has.
-LEAST_COPY, LEAST_LINE = 3, 12
+#: To the powers of 1, 2, 4, 8, ..., as 64 bits hold them.
+KEY_POWERS = np.array([pow(0x9E3779B97F4A7C15, 1 << k, 1 << 64) for k in range(8)], np.uint64).view(np.int64)
+#: Pixels that a copy has at least, in general and in a payload of one sample a pixel.
+LEAST_COPY, LEAST_RUN = 3, 12
+#: Samples from which entropies are estimated, sizes of the cache that are, and bits a sample that must seem saved for a try.
+ESTIMATED, CACHES, LEAST_SAVED = 512, (1, 2, 4, 6, 8), 0.1
 #: Pixels from which an image of one code group is read with all bits looked up at once.
 AHEAD = 128
 
@@ -120,7 +127,7 @@ class Table:
             raise ValueError("incomplete prefix code")
         entries = np.empty(len(filled), np.int64)
         entries[reversal(most)] = filled
-        self.bits, self.mask, self.entries = most, (1 << most) - 1, entries.tolist()
+        self.bits, self.mask, self.entries = most, (1 << most) - 1, memoryview(entries)
 
 
 # ---------------------------------------------------------------- bits
@@ -276,6 +283,49 @@ def read_pixels(r: Reader, width: int, height: int, main: bool) -> np.ndarray:
     data, at = r.data, r.at
     ahead = literals_ahead(data, at, groups[0]) if n_groups == 1 and total >= AHEAD else None
     green, red, blue, alpha, distance = groups[0]
+    if ahead is not None and not cache_bits:
+        # Without a cache the literals' pixels are needed by copies alone, so all are looked up at the end.
+        pixel, steps, after, after8 = ahead
+        eights, places, runs = [], [], []  # runs: eights and places before a copy, its length and distance
+        room = total
+        while room:
+            to = after8[at]
+            while to and room >= 8:
+                eights.append(at)
+                at = to
+                to = after8[at]
+                room -= 8
+            to = after[at]
+            while to and room:
+                places.append(at)
+                at = to
+                to = after[at]
+                room -= 1
+            if not room:
+                break
+            e = green.entries[(int.from_bytes(data[at >> 3 : (at >> 3) + 4], "little") >> (at & 7)) & green.mask]
+            if e >> 4 < 256:
+                break
+            r.at = at + (e & 15)
+            length = spread((e >> 4) - 256, r)
+            code = spread(r.symbol(distance), r)
+            at = r.at
+            length = min(length, room)
+            runs.append((len(eights), len(places), length, code - 120 if code > 120 else near[code - 1]))
+            room -= length
+        eight_pixels = pixel(steps(eights)) if eights else []
+        place_pixels = pixel(np.array(places, np.int32)) if places else []
+        was, had = 0, 0
+        for n_eights, n_places, length, back in runs:
+            out += eight_pixels[8 * was : 8 * n_eights]
+            out += place_pixels[had:n_places]
+            was, had = n_eights, n_places
+            start = len(out) - back
+            if start < 0:
+                raise ValueError("copy from before the image")
+            out += out[start : start + length] if back >= length else (out[start:] * (length // back + 1))[:length]
+        out += eight_pixels[8 * was :]
+        out += place_pixels[had:]
     while len(out) < total:
         if groups_at is not None:
             y, x = divmod(len(out), width)
@@ -564,6 +614,8 @@ def write_lengths(w: Writer, lengths: np.ndarray) -> None:
 
 def split_value(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbol, extra value, extra bits) of lengths or distance codes from 1."""
+    if not len(value):
+        return value, value, value
     v = value - 1
     top = np.floor(np.log2(np.maximum(v, 1))).astype(np.int64)
     extra = np.where(v < 4, 0, top - 1)
@@ -576,25 +628,46 @@ def copies(argb: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     n = len(argb)
     if n < 2 * least:
         return []
-    key = argb[: n - least + 1].copy()
-    for k in range(1, least):
-        key *= 0x9E3779B97F4A7C15 - (1 << 64)
-        key += argb[k : n - least + 1 + k]
-    order = np.argsort(key, kind="stable")
-    same = key[order[1:]] == key[order[:-1]]
-    at, before = order[1:][same], order[:-1][same]
+    # Keys of 1, 2, 4, ... pixels from two of half as many; the bits of `least` say which of them make its own.
+    power, part, key, size = KEY_POWERS[0], argb, None, 0
+    for bit in range(least.bit_length()):
+        if least >> bit & 1:
+            key, size = (part, 1 << bit) if key is None else (key[: n - size - (1 << bit) + 1] * power + part[size:], size + (1 << bit))
+        if 2 << bit <= least:
+            half = 1 << bit
+            part = part[:-half] * power + part[half:]
+            power = KEY_POWERS[bit + 1]
+    key = (key ^ key >> 29) * KEY_POWERS[0]  # all pixels count in the high bits
+    # Places ride in the keys' low bits, so that plain numbers are sorted and equal keys stay in the order of places.
+    mask = (1 << n.bit_length()) - 1
+    order = np.sort(key & ~mask | np.arange(len(key))) & mask
+    sorted_key = key[order]
+    same = np.flatnonzero(sorted_key[1:] == sorted_key[:-1])
+    if not len(same):
+        return []
+    before = np.full(n, -1)
+    before[order[same + 1]] = order[same]
+    starts = np.flatnonzero(before >= 0)
     out: list[tuple[int, int, int]] = []
-    end = 0
-    for k in np.argsort(at).tolist():
-        i, j = int(at[k]), int(before[k])
-        if i < end:
-            continue
-        most = min(n - i, MAX_COPY)
-        differ = np.flatnonzero(argb[i : i + most] != argb[j : j + most])
-        length = int(differ[0]) if len(differ) else most
+    k = 0
+    while k < len(starts):
+        i = int(starts[k])
+        j = int(before[i])
+        length, most, step = 0, min(n - i, MAX_COPY), 64
+        while length < most:
+            step = min(step, most - length)
+            differ = argb[i + length : i + length + step] != argb[j + length : j + length + step]
+            first = int(differ.argmax())
+            if differ[first]:
+                length += first
+                break
+            length += step
+            step *= 4
         if length >= least:
             out.append((i, length, i - j))
-            end = i + length
+            k = int(starts.searchsorted(i + length))
+        else:
+            k += 1
     return out
 
 
@@ -607,9 +680,9 @@ def cache_hits(argb: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return slot, hit
 
 
-def write_pixels(w: Writer, argb: np.ndarray, width: int, main: bool, cache_bits: int = 0, found: list[tuple[int, int, int]] | None = None) -> None:
+def write_pixels(w: Writer, argb: np.ndarray, width: int, main: bool, cache_bits: int = 0, least: int = LEAST_COPY) -> None:
     n = len(argb)
-    found = copies(argb, LEAST_COPY) if found is None else found
+    found = copies(argb, least)
     literal = np.ones(n, bool)
     for i, length, _ in found:
         literal[i : i + length] = False
@@ -646,22 +719,23 @@ def write_pixels(w: Writer, argb: np.ndarray, width: int, main: bool, cache_bits
     fields = [(column, code) for code, column in enumerate((1, 2, 0, 3)) if not lone[code]] or [(1, 0)]
     values = np.stack([words[code][parts[:, column]] for column, code in fields], axis=1).ravel()
     bits = np.stack([sizes[code][parts[:, column]] for column, code in fields], axis=1).ravel()
-    # Copies and cache indices stand before the first literal after them.
-    more_at = np.concatenate([place, cached])
-    order = np.argsort(more_at)
-    where = np.repeat(np.searchsorted(at, more_at[order]) * len(fields), 4)
-    none = np.zeros(len(cached), np.int64)
-    more = lambda copy, index: np.concatenate([np.stack(copy, axis=1), np.stack([index, none, none, none], axis=1)])[order].ravel()
-    symbol, index = length[0] + 256, slots + 256 + LENGTH_CODES
-    values = np.insert(values, where, more([words[0][symbol], length[1], words[4][distance[0]], distance[1]], words[0][index]))
-    bits = np.insert(bits, where, more([sizes[0][symbol], length[2], sizes[4][distance[0]], distance[2]], sizes[0][index]))
+    if len(found) or len(cached):
+        # Copies and cache indices stand before the first literal after them.
+        more_at = np.concatenate([place, cached])
+        order = np.argsort(more_at)
+        where = np.repeat(np.searchsorted(at, more_at[order]) * len(fields), 4)
+        none = np.zeros(len(cached), np.int64)
+        more = lambda copy, index: np.concatenate([np.stack(copy, axis=1), np.stack([index, none, none, none], axis=1)])[order].ravel()
+        symbol, index = length[0] + 256, slots + 256 + LENGTH_CODES
+        values = np.insert(values, where, more([words[0][symbol], length[1], words[4][distance[0]], distance[1]], words[0][index]))
+        bits = np.insert(bits, where, more([sizes[0][symbol], length[2], sizes[4][distance[0]], distance[2]], sizes[0][index]))
     w.extend(values, bits)
 
 
-def encode(argb: np.ndarray, width: int, height: int, transforms: tuple = (), cache_bits: int | None = None, found: list[tuple[int, int, int]] | None = None) -> bytes:
+def encode(argb: np.ndarray, width: int, height: int, transforms: tuple = (), cache_bits: int | None = None, least: int = LEAST_COPY) -> bytes:
     """A lossless WebP file. transforms: (kind, block bits, block image) for predictor modes and cross-colour
     elements, (SUBTRACT_GREEN,) and (PALETTE,), applied in this order; cache_bits None: as the pixels suggest;
-    found: copies to use, else all that are found."""
+    least: pixels that a copy has at least."""
     w = Writer()
     w.write(0x2F, 8)
     w.write(width - 1, 14)
@@ -698,7 +772,7 @@ def encode(argb: np.ndarray, width: int, height: int, transforms: tuple = (), ca
     w.write(0, 1)
     if cache_bits is None:
         cache_bits = 6 if cache_hits(argb, 6)[1].mean() > 0.15 else 0
-    write_pixels(w, argb, width, True, cache_bits, found)
+    write_pixels(w, argb, width, True, cache_bits, least)
     body = w.bytes()
     pad = bytes(len(body) & 1)
     return b"RIFF" + struct.pack("<I", 12 + len(body) + len(pad)) + b"WEBP" + b"VP8L" + struct.pack("<I", len(body)) + body + pad
@@ -713,21 +787,51 @@ def payload_of(text: str | None) -> tuple[int, bytes]:
     return len(raw), raw + bytes(max(64, -len(raw) // 64 * -64) - len(raw))
 
 
-def repeated_lines(payload: bytes) -> list[tuple[int, int, int]]:
-    """(place, length, distance) of the lines that stood before, each from its last place."""
-    out, last, at = [], {}, 0
-    for line in payload.split(b"\n"):
-        if len(line) >= LEAST_LINE:
-            before = last.get(line)
-            if before is not None:
-                out += [(at + k, min(MAX_COPY, len(line) - k), at - before) for k in range(0, len(line), MAX_COPY)]
-            last[line] = at
-        at += len(line) + 1
+XLOG2X = np.array([k * math.log2(max(k, 1)) for k in range(ESTIMATED + 1)])
+#: The cache slot of each sample, for each size of CACHES.
+SLOTS = np.array([[(OPAQUE | v << 8) * CACHE_FACTOR % (1 << 32) >> 32 - bits for v in range(256)] for bits in CACHES], np.uint8)
+
+
+def estimated(symbols: np.ndarray, size: int) -> np.ndarray:
+    """Bits that entropy codes of their own take for each row of symbols below size; at most ESTIMATED a row."""
+    rows = len(symbols)
+    counts = np.bincount((symbols + size * np.arange(rows)[:, None]).ravel(), minlength=rows * size).reshape(rows, size)
+    return XLOG2X[symbols.shape[1]] - XLOG2X[counts].sum(axis=1)
+
+
+def hopeful(samples: np.ndarray, width: int) -> list[tuple[tuple, int]]:
+    """(transforms, cache bits) that seem to save bits against neither, in a stretch of whole rows of the samples."""
+    out: list[tuple[tuple, int]] = []
+    first = max(0, (len(samples) - ESTIMATED) // 2)
+    x = samples[first : first + ESTIMATED]
+    slot = SLOTS[:, x]
+    order = np.argsort(slot, axis=1, kind="stable")
+    of, value = np.take_along_axis(slot, order, 1), x[order]
+    hit = np.zeros(of.shape, bool)
+    hit[:, 1:] = (of[:, 1:] == of[:, :-1]) & (value[:, 1:] == value[:, :-1])
+    # Cache indices stand behind the literals in one code.
+    bits = estimated(np.concatenate([x[None].astype(np.int64), np.where(hit, 256 + of.astype(np.int64), value)]), 512)
+    out += [((), c) for c, b in zip(CACHES, bits[1:].tolist()) if b < bits[0] - LEAST_SAVED * len(x)]
+    at = max(width + 1, first)
+    wide = samples[at - width - 1 : at + ESTIMATED // 2].astype(np.int16)
+    if len(wide) > 2 * width:
+        x, l, t, tr, tl = wide[width + 1 :], wide[width:-1], wide[1:-width], wide[2 : len(wide) - width + 1], wide[: -width - 1]
+        lt = l + t >> 1
+        guesses = np.stack([
+            x * 0, l, t, tr, tl, ((l + tr >> 1) + t) >> 1, l + tl >> 1, lt, tl + t >> 1, t + tr >> 1, (l + tl >> 1) + (t + tr >> 1) >> 1,
+            np.where(np.abs(t - tl) < np.abs(l - tl), l, t), np.minimum(np.maximum(l + t - tl, 0), 255), np.minimum(np.maximum(lt + ((lt - tl) + (lt < tl) >> 1), 0), 255),
+        ])
+        bits = estimated(x - guesses & 255, 256)
+        best = int(bits.argmin())
+        if bits[best] < bits[0] - LEAST_SAVED * len(x):
+            blocks = (width + 511 >> 9) * (-(-len(samples) // width) + 511 >> 9)
+            out.append((((PREDICTOR, 9, np.full(blocks, best)),), 0))
     return out
 
 
 def store(payload: bytes) -> bytes:
-    """A lossless image whose green samples are the payload's bytes; with 16 values or fewer, several share a pixel."""
+    """A lossless image whose green samples are the payload's bytes; with 16 values or fewer, several share a pixel.
+    The smallest of the files with what the samples suggest."""
     samples = np.frombuffer(payload, np.uint8)
     width = 64
     while len(samples) > width * MAX_SIDE:
@@ -735,8 +839,11 @@ def store(payload: bytes) -> bytes:
     height = -(-len(samples) // width)
     pixels = np.zeros(width * height, np.int64)
     pixels[: len(samples)] = samples
-    few = np.count_nonzero(np.bincount(samples)) <= 16
-    return encode(OPAQUE | pixels << 8, width, height, ((PALETTE,),) if few else (), 0, None if few else repeated_lines(payload))
+    argb = OPAQUE | pixels << 8
+    if np.count_nonzero(np.bincount(samples)) <= 16:
+        return min((encode(argb, width, height, ((PALETTE,),), bits) for bits in (0, None)), key=len)
+    tried = [((), 0), *hopeful(samples, width)]
+    return min((encode(argb, width, height, transforms, bits, LEAST_RUN) for transforms, bits in tried), key=len)
 
 
 def load(media: bytes, size: int) -> tuple[bytes, str]:

@@ -244,6 +244,22 @@ def test_webp_round_trips():
         webp.decode(webp.store(bytes(64)) [:20] + b"\x00" * 20)
 
 
+def test_webp_writer_picks_by_the_samples():
+    rng = np.random.default_rng(2)
+    part = lambda n: rng.integers(32, 127, n).astype(np.uint8).tobytes()
+    # A run that recurs inside lines, with no line end at all.
+    run = part(400)
+    alone, twice = run + part(624), part(100) + run + part(40) + run + part(84)
+    assert len(webp.store(twice)) < len(webp.store(alone)) - 250
+    # Samples that repeat the ones above but for small steps get a predictor, else they cost as much as noise.
+    slope = np.cumsum(rng.integers(0, 3, 4096)).astype(np.uint8).tobytes()
+    assert len(webp.store(slope)) < len(webp.store(part(4096))) / 2
+    # Samples of two slots that stay for a while each get the cache.
+    assert any(bits for _, bits in webp.hopeful(np.repeat(rng.integers(0, 256, 512), 5).astype(np.uint8), 64))
+    for p in (alone, twice, slope):
+        assert webp.load(webp.store(p), len(p))[0] == p
+
+
 def test_webp_column(odd, empty):
     got = rows(webp.media_column(odd, with_media=True))
     for r, t in zip(got, [x.text for x in odd.collect()]):
