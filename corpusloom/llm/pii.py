@@ -3,8 +3,8 @@
 Entities found by their form (email, ip, card, phone) are the seeds. The words around an occurrence are its lexical patterns.
 Pattern and instance form a graph that is scored in turn: a pattern's confidence in a kind is the share of its distinct
 instances that are known to be of that kind, given enough of them; an unknown instance's score is the noisy-or of the
-confidences of its patterns. Instances that score high join the known ones, and the next turn starts. What is found in
-this way adds spans; the seeds' spans stay.
+confidences of its patterns. Instances that score high join the known ones, and the next turn starts, until a turn adds
+none. What is found in this way adds spans; the seeds' spans stay.
 
 Results for odd input: null counts as empty; a text without digits and @ has no spans; spans of one kind never overlap;
 repeated rows each get the same spans; spans sort by start, then by kind; an empty table gives an empty table; other
@@ -13,6 +13,8 @@ columns are ignored, and kept by redact().
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +27,8 @@ LEAST_KNOWN = 3
 LEAST_CONFIDENCE = 0.6
 #: Score from which an unknown instance is taken for known.
 LEAST_SCORE = 0.6
-TURNS = 3
+#: Turns at most; None: until no instance is added, which ends as each turn adds some of the finitely many.
+TURNS = None
 #: Code points before and after an occurrence in which its context words are looked for.
 REACH = 64
 
@@ -45,6 +48,8 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][ -]?[0-9]", "phone": r"\+[0-9]"}
 #: Words with a digit or @: what may turn out to be an identifier.
 CANDIDATE = r"(?<!\S)(?=\S*?[0-9@])\S++"
+#: Numbers written with single blanks or brackets between their digits. A run begins only where no other goes on, and is read once.
+JOINED = r"(?<!\S)(?<![0-9)] )[+(]?[0-9][0-9().-]*+(?: \(?[0-9][0-9().-]*+)++(?![^\s,;:!?])"
 #: What an instance must look like, once trimmed, to be taken for a kind.
 LOOKS = {
     "email": r"^[^@]+@[^@]+$",
@@ -90,7 +95,7 @@ def context(side: str) -> str:
     """SQL: the two words before, or the word after, a span x, lower-cased; what a line begins or ends with has none."""
     if side == "left":
         near = f"substring(text, greatest(1, x.s - {REACH} + 1), least(x.s, {REACH}))"
-        return f"lower(trim(regexp_extract({near}, {quoted(r'(\S+[ \t]+)?\S+[ \t]*$')}, 0)))"
+        return f"lower(trim(regexp_extract({near}, {quoted(r'(\S+[ \t]+)?\S+[ \t]*\z')}, 0)))"
     return f"lower(regexp_extract(substring(text, x.e + 1, {REACH}), {quoted(r'^[ \t]*(\S+)')}, 1))"
 
 
@@ -101,29 +106,35 @@ def occurrences(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         rows = rows.withColumn(f"_{kind}", F.expr(f"filter({found(PATTERNS[kind], NEEDS[kind])}, x -> {VALID[kind]})"))
     tagged = [f"transform(_{k}, x -> struct(x.s as s, {i} as k, x.e as e, x.m as m))" for i, k in enumerate(KINDS)]
     rows = rows.withColumn("base", F.expr(f"array_sort(concat({', '.join(tagged)}))"))
-    rows = rows.withColumn("_loose", F.expr(found(CANDIDATE, "[0-9@]")))
     # Outer punctuation is no part of an instance.
-    trimmed = r"""transform(_loose, x -> struct(
+    trimmed = lambda column: rf"""transform({column}, x -> struct(
         x.s + length(regexp_extract(x.m, '^[^0-9A-Za-z@+(]*', 0)) as s, cast(null as int) as k,
         x.e - length(regexp_extract(x.m, '[^0-9A-Za-z)]*$', 0)) as e,
-        regexp_replace(x.m, '^[^0-9A-Za-z@+(]+|[^0-9A-Za-z)]+$', '') as m))"""
-    rows = rows.withColumn("_loose", F.expr(f"filter({trimmed}, x -> x.s < x.e and not exists(base, b -> b.s < x.e and x.s < b.e))"))
+        regexp_replace(x.m, '^[^0-9A-Za-z@+(]+|[^0-9A-Za-z)]+$', '') as m))"""
+    apart = lambda other: f"not exists({other}, b -> b.s < x.e and x.s < b.e)"
+    rows = rows.withColumn("_joined", F.expr(found(JOINED, "[0-9)] [0-9(]"))).withColumn("_loose", F.expr(found(CANDIDATE, "[0-9@]")))
+    # A joined run that looks like a number stands for its pieces; all others are left in pieces.
+    number = f"(x.m rlike {quoted(LOOKS['phone'])} or x.m rlike {quoted(LOOKS['card'])})"
+    rows = rows.withColumn("_joined", F.expr(f"filter({trimmed('_joined')}, x -> x.s < x.e and {number} and {apart('base')})"))
+    rows = rows.withColumn("_loose", F.expr(f"concat(_joined, filter({trimmed('_loose')}, x -> x.s < x.e and {apart('base')} and {apart('_joined')}))"))
     seen = f"transform(concat(base, _loose), x -> struct(x.s as s, x.k as k, x.e as e, x.m as m, {context('left')} as l, {context('right')} as r))"
     return rows.select("doc_id", "_h", *keep, "text", F.expr("transform(base, x -> struct(x.s as s, x.k as k, x.e as e))").alias("base"), F.expr(seen).alias("seen"))
 
 
-def discovered(occurred: DataFrame, turns: int = TURNS) -> DataFrame:
+def discovered(occurred: DataFrame, turns: int | None = TURNS) -> DataFrame:
     """doc_id, _h, more: the spans that patterns add, for the documents that get any."""
     edges = occurred.select("doc_id", "_h", F.explode("seen").alias("o")).select("doc_id", "_h", "o.*")
     patterns = F.array(F.concat(F.lit("2 "), "l"), F.concat(F.lit("1 "), F.element_at(F.split("l", "[ \t]+"), -1), F.lit(" | "), "r"))
-    pairs = edges.where("l <> ''").select("m", "k", F.explode(patterns).alias("p")).groupBy("m", "p").agg(F.max("k").alias("seed"))
+    # What begins a line is known by that and the word after it.
+    patterns = F.when(F.col("l") != "", patterns).otherwise(F.array(F.concat(F.lit("0 ^ | "), "r")))
+    pairs = edges.where("l <> '' or r <> ''").select("m", "k", F.explode(patterns).alias("p")).groupBy("m", "p").agg(F.max("k").alias("seed"))
     # Patterns without enough seeds in the end may get some from what is found, but never without any second instance.
     pairs = cut(pairs)
     known = cut(pairs.where("seed is not null").groupBy("m").agg(F.min("seed").alias("kind")))
     looks = F.lit(False)
     for i, kind in enumerate(KINDS):
         looks = F.when(F.col("kind") == i, F.col("m").rlike(LOOKS[kind])).otherwise(looks)
-    for _ in range(turns):
+    for _ in count() if turns is None else range(turns):
         marked = pairs.join(known, "m", "left")
         kinds = [F.count_if(F.col("kind") == i).alias(f"n{i}") for i in range(len(KINDS))]
         counts = marked.groupBy("p").agg(F.count("*").alias("n"), *kinds)
@@ -146,7 +157,7 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["k"]), x["s"], x["e"])), ",")
 
 
-def spans(docs: DataFrame, turns: int = TURNS, keep: tuple[str, ...] = ()) -> DataFrame:
+def spans(docs: DataFrame, turns: int | None = TURNS, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the kept columns, text, base and more (arrays of start, kind, end) of every row of doc_id, text."""
     occurred = occurrences(docs)
     # The scan's result without the texts feeds the turns; most documents have nothing in it.
@@ -164,7 +175,7 @@ def spans(docs: DataFrame, turns: int = TURNS, keep: tuple[str, ...] = ()) -> Da
     return joined.withColumn("base", F.coalesce("base", empty)).withColumn("more", F.coalesce("more", none, empty))
 
 
-def report(docs: DataFrame, turns: int = TURNS) -> DataFrame:
+def report(docs: DataFrame, turns: int | None = TURNS) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_more of every row of doc_id, text."""
     rows = spans(docs, turns)
     of_kind = lambda i: F.filter("base", lambda x: x["k"] == i)
@@ -173,7 +184,7 @@ def report(docs: DataFrame, turns: int = TURNS) -> DataFrame:
     return rows.select("doc_id", *counts, F.sha2(written(F.col("base")).cast("binary"), 256).alias("base_sha256"), written(both).alias("spans"), F.size("more").cast("long").alias("n_more"))
 
 
-def redact(docs: DataFrame, turns: int = TURNS) -> DataFrame:
+def redact(docs: DataFrame, turns: int | None = TURNS) -> DataFrame:
     """The documents with each span, base or found by patterns, replaced by its kind in brackets; n_chars follows the text."""
     names = ", ".join(f"'{k}'" for k in KINDS)
     masked = f"""aggregate(array_sort(concat(base, more)), struct(0 as at, '' as out),

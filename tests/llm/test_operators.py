@@ -102,6 +102,22 @@ def test_pii_patterns_find_unseen(spark, empty):
     assert rows(pii.report(empty)) == []
 
 
+def test_pii_finds_what_is_far_or_written_apart(spark):
+    # The numbers of each wave stand behind the words of the one before and behind its own; only the first are seeds.
+    sizes = [40, 24, 14, 8, 5, 3]
+    words = ["call me", "ring the", "dial this", "reach our", "phone my", "try that"]
+    texts = [f"{words[0]} +1 555 {100 + i}-{2000 + i}" for i in range(sizes[0])]
+    for k in range(1, len(words)):
+        texts += [f"{words[w]} 55{k}-{300 + i}-{4000 + i}" for i in range(sizes[k]) for w in (k - 1, k)]
+    # Written with blanks and brackets, and at the beginning of lines alone.
+    texts += ["call me (555) 123-4567", "call me 555 123 4567"]
+    texts += [f"x\n+1 555 {700 + i}-{8000 + i} logged" for i in range(3)] + ["first line\n555-900-9000 logged"]
+    got = {r.doc_id: r.spans for r in rows(pii.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))}
+    assert all("phone:" in got[i] for i in range(len(texts))), [t for i, t in enumerate(texts) if "phone:" not in got[i]]
+    at = texts.index("call me (555) 123-4567")
+    assert got[at] == "phone:8:22" and got[at + 1] == "phone:8:20" and got[len(texts) - 1] == "phone:11:23"
+
+
 def test_brown_base_and_gain(spark, odd, empty):
     rng = np.random.default_rng(1)
     texts = [(i, " ".join(rng.choice([["a", "b"], ["x", "y"]][k % 2]) for k in range(60))) for i in range(120)]
