@@ -8,7 +8,7 @@ none. What is found in this way adds spans; the seeds' spans stay.
 
 Results for odd input: null counts as empty; a text without digits and @ has no spans; spans of one kind never overlap;
 repeated rows each get the same spans; spans sort by start, then by kind; an empty table gives an empty table; other
-columns are ignored, and kept by redact().
+columns are ignored, and kept by redact(). The work on a text grows with its length, however many spans are in it.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ LEAST_CONFIDENCE = 0.6
 LEAST_SCORE = 0.6
 #: Turns at most; None: until no instance is added, which ends as each turn adds some of the finitely many.
 TURNS = None
+#: Tasks that the instances of one pattern are dealt to.
+SALTS = 16
 #: Code points before and after an occurrence in which its context words are looked for.
 REACH = 64
 
@@ -58,6 +60,10 @@ LOOKS = {
     "phone": r"^\+?[0-9(](?:[^0-9A-Za-z]*[0-9]){6,14}$",
 }
 
+#: Code points of the pieces that a text is read in around places, and elements that are folded at a time.
+PIECE = 256
+STRETCH = 64
+
 SPAN = "struct<s:int,e:int,m:string>"
 
 
@@ -66,18 +72,39 @@ def quoted(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def let(value: str, name: str, body: str) -> str:
+    """SQL: the body, with the value under a name."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def running(array: str, fold: str) -> str:
+    """SQL: for each of an array's whole numbers, 0 or more, the sum (fold +) or the greatest (fold max) of it and all before.
+
+    Folded in stretches, as an array that grows by one at a time is copied each time.
+    """
+    op = (lambda x, y: f"{x} + {y}") if fold == "+" else (lambda x, y: f"greatest({x}, {y})")
+    none = "struct(0 as at, cast(array() as array<int>) as out)"
+    value = f"get(a, b * {STRETCH} + i)"
+    part = f"aggregate(sequence(0, {STRETCH - 1}), {none}, (acc, i) -> if({value} is null, acc, struct({op('acc.at', value)} as at, concat(acc.out, array({op('acc.at', value)})) as out)))"
+    before = f"aggregate(parts, {none}, (acc, x) -> struct({op('acc.at', 'x.at')} as at, concat(acc.out, array(acc.at)) as out)).out"
+    whole = let(before, "z", f"flatten(zip_with(parts, z, (x, y) -> transform(x.out, v -> {op('y', 'v')})))")
+    return let(array, "a", let(f"transform(sequence(0, (size(a) - 1) div {STRETCH}), b -> {part})", "parts", whole))
+
+
+def first_of(array: str, holds: str) -> str:
+    """SQL: how many of an array's first elements a condition on them, `at` standing for the place, holds for; a binary search."""
+    top = f"cast(floor(log2(greatest(1, size({array})))) as int)"
+    look = holds.replace("at", f"get({array}, n + shiftleft(1, {top} - i) - 1)")
+    return f"aggregate(sequence(0, {top}), 0, (n, i) -> if({look}, n + shiftleft(1, {top} - i), n))"
+
+
 def found(pattern: str, needs: str) -> str:
     """SQL: start, end (code points, exclusive) and text of the matches. What lies between them gives their places."""
     p = quoted(pattern)
-    return f"""if(text rlike {quoted(needs)},
-      aggregate(
-        zip_with(split(text, {p}, -1), regexp_extract_all(text, {p}, 0), (g, m) -> struct(char_length(g) as g, m as m)),
-        struct(0 as at, cast(array() as array<{SPAN}>) as out),
-        (acc, x) -> if(x.m is null, acc, struct(
-          acc.at + x.g + char_length(x.m) as at,
-          concat(acc.out, array(struct(acc.at + x.g as s, acc.at + x.g + char_length(x.m) as e, x.m as m))) as out)),
-        acc -> acc.out),
-      cast(array() as array<{SPAN}>))"""
+    pieces = f"zip_with(split(text, {p}, -1), regexp_extract_all(text, {p}, 0), (g, m) -> struct(char_length(g) as g, m as m))"
+    ends = running("transform(r, x -> x.g + coalesce(char_length(x.m), 0))", "+")
+    spans = "filter(transform(r, (x, i) -> struct(get(ends, i) - char_length(x.m) as s, get(ends, i) as e, x.m as m)), x -> x.m is not null)"
+    return f"if(text rlike {quoted(needs)}, {let(pieces, 'r', let(ends, 'ends', spans))}, cast(array() as array<{SPAN}>))"
 
 
 #: SQL tests of a match x.m.
@@ -91,12 +118,22 @@ VALID = {
 }
 
 
+def pieces(text: str) -> str:
+    """SQL: the text in pieces of PIECE code points."""
+    return f"regexp_extract_all({text}, '(?s).{{1,{PIECE}}}', 0)"
+
+
 def context(side: str) -> str:
     """SQL: the two words before, or the word after, a span x, lower-cased; what a line begins or ends with has none."""
+    near = lambda at, n: f"substring(concat(coalesce(get(_pieces, {at} div {PIECE}), ''), coalesce(get(_pieces, {at} div {PIECE} + 1), '')), {at} % {PIECE} + 1, {n})"
     if side == "left":
-        near = f"substring(text, greatest(1, x.s - {REACH} + 1), least(x.s, {REACH}))"
-        return f"lower(trim(regexp_extract({near}, {quoted(r'(\S+[ \t]+)?\S+[ \t]*\z')}, 0)))"
-    return f"lower(regexp_extract(substring(text, x.e + 1, {REACH}), {quoted(r'^[ \t]*(\S+)')}, 1))"
+        return f"lower(trim(regexp_extract({near(f'greatest(0, x.s - {REACH})', f'least(x.s, {REACH})')}, {quoted(r'(\S+[ \t]+)?\S+[ \t]*\z')}, 0)))"
+    return f"lower(regexp_extract({near('x.e', REACH)}, {quoted(r'^[ \t]*(\S+)')}, 1))"
+
+
+def apart(*others: str) -> str:
+    """SQL: whether x overlaps none of the spans of each array, which are in order and apart from each other."""
+    return " and ".join(f"(size({o}) = 0 or not coalesce(get({o}, {first_of(o, 'at.s < x.e')} - 1).e > x.s, false))" for o in others)
 
 
 def occurrences(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -111,12 +148,13 @@ def occurrences(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         x.s + length(regexp_extract(x.m, '^[^0-9A-Za-z@+(]*', 0)) as s, cast(null as int) as k,
         x.e - length(regexp_extract(x.m, '[^0-9A-Za-z)]*$', 0)) as e,
         regexp_replace(x.m, '^[^0-9A-Za-z@+(]+|[^0-9A-Za-z)]+$', '') as m))"""
-    apart = lambda other: f"not exists({other}, b -> b.s < x.e and x.s < b.e)"
+    bases = [f"_{kind}" for kind in KINDS]
     rows = rows.withColumn("_joined", F.expr(found(JOINED, "[0-9)] [0-9(]"))).withColumn("_loose", F.expr(found(CANDIDATE, "[0-9@]")))
     # A joined run that looks like a number stands for its pieces; all others are left in pieces.
     number = f"(x.m rlike {quoted(LOOKS['phone'])} or x.m rlike {quoted(LOOKS['card'])})"
-    rows = rows.withColumn("_joined", F.expr(f"filter({trimmed('_joined')}, x -> x.s < x.e and {number} and {apart('base')})"))
-    rows = rows.withColumn("_loose", F.expr(f"concat(_joined, filter({trimmed('_loose')}, x -> x.s < x.e and {apart('base')} and {apart('_joined')}))"))
+    rows = rows.withColumn("_joined", F.expr(f"filter({trimmed('_joined')}, x -> x.s < x.e and {number} and {apart(*bases)})"))
+    rows = rows.withColumn("_loose", F.expr(f"concat(_joined, filter({trimmed('_loose')}, x -> x.s < x.e and {apart('_joined', *bases)}))"))
+    rows = rows.withColumn("_pieces", F.expr(f"if(size(base) + size(_loose) > 0, {pieces('text')}, cast(array() as array<string>))"))
     seen = f"transform(concat(base, _loose), x -> struct(x.s as s, x.k as k, x.e as e, x.m as m, {context('left')} as l, {context('right')} as r))"
     return rows.select("doc_id", "_h", *keep, "text", F.expr("transform(base, x -> struct(x.s as s, x.k as k, x.e as e))").alias("base"), F.expr(seen).alias("seen"))
 
@@ -139,9 +177,10 @@ def discovered(occurred: DataFrame, turns: int | None = TURNS) -> DataFrame:
         kinds = [F.count_if(F.col("kind") == i).alias(f"n{i}") for i in range(len(KINDS))]
         counts = marked.groupBy("p").agg(F.count("*").alias("n"), *kinds)
         sure = counts.select("p", "n", F.explode(F.array(*[F.struct(F.lit(i).alias("kind"), F.col(f"n{i}").alias("c")) for i in range(len(KINDS))])).alias("x")).select("p", "x.kind", (F.col("x.c") / F.col("n")).alias("confidence"), "x.c")
-        sure = sure.where((F.col("c") >= LEAST_KNOWN) & (F.col("confidence") >= LEAST_CONFIDENCE))
-        unknown = marked.where("kind is null").select("m", "p")
-        votes = unknown.join(sure, "p").groupBy("m", "kind").agg((1 - F.exp(F.sum(F.ln(F.greatest(F.lit(1e-9), 1 - F.col("confidence")))))).alias("score"))
+        # A pattern of a very common word is dealt out over SALTS tasks; few patterns are sure.
+        sure = sure.where((F.col("c") >= LEAST_KNOWN) & (F.col("confidence") >= LEAST_CONFIDENCE)).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        unknown = marked.where("kind is null").select("m", "p", F.pmod(F.xxhash64("m"), F.lit(SALTS)).cast("int").alias("_salt"))
+        votes = unknown.join(sure, ["p", "_salt"]).groupBy("m", "kind").agg((1 - F.exp(F.sum(F.ln(F.greatest(F.lit(1e-9), 1 - F.col("confidence")))))).alias("score"))
         new = votes.where((F.col("score") >= LEAST_SCORE) & looks).groupBy("m").agg(F.max(F.struct("score", -F.col("kind"))).alias("best"))
         new = cut(new.select("m", (-F.col("best.col2")).alias("kind")))
         if new.isEmpty():
@@ -187,15 +226,23 @@ def report(docs: DataFrame, turns: int | None = TURNS) -> DataFrame:
 def redact(docs: DataFrame, turns: int | None = TURNS) -> DataFrame:
     """The documents with each span, base or found by patterns, replaced by its kind in brackets; n_chars follows the text."""
     names = ", ".join(f"'{k}'" for k in KINDS)
-    masked = f"""aggregate(array_sort(concat(base, more)), struct(0 as at, '' as out),
-      (acc, x) -> if(x.s < acc.at, struct(greatest(acc.at, x.e) as at, acc.out as out), struct(
-        x.e as at, concat(acc.out, substring(text, acc.at + 1, x.s - acc.at), '[', element_at(array({names}), x.k + 1), ']') as out)),
-      acc -> concat(acc.out, substring(text, acc.at + 1)))"""
+    # Spans that overlap make one run, named by its first; a run ends with the greatest end in it.
+    runs = let("filter(sequence(0, size(x) - 1), i -> i = 0 or get(x, i).s >= get(m, i - 1))", "f", "zip_with(f, slice(f, 2, size(f)), (i, j) -> struct(get(x, i).s as s, get(m, coalesce(j, size(x)) - 1) as e, get(x, i).k as k))")
+    runs = let("array_sort(concat(base, more))", "x", let(running("transform(x, y -> y.e)", "max"), "m", runs))
+    # Each piece of the text is masked alone; a run's name stands where it begins.
+    first, after = first_of("_runs", f"at.e <= j * {PIECE}"), first_of("_runs", f"at.s < (j + 1) * {PIECE}")
+    a, z = f"greatest(0, y.s - j * {PIECE})", f"least({PIECE}, y.e - j * {PIECE})"
+    mask = f"""aggregate(transform(sequence(k.first, k.after - 1), i -> get(_runs, i)), struct(0 as at, '' as out),
+      (acc, y) -> struct({z} as at, concat(acc.out, substring(t, acc.at + 1, {a} - acc.at), if(y.s >= j * {PIECE}, concat('[', element_at(array({names}), y.k + 1), ']'), '')) as out),
+      acc -> concat(acc.out, substring(t, acc.at + 1)))"""
+    piece = let(f"struct({first} as first, {after} as after)", "k", f"if(k.first < k.after, {mask}, t)")
+    masked = f"if(size(_runs) = 0, text, array_join(transform({pieces('text')}, (t, j) -> {piece}), ''))"
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     # Names of their own keep the columns of the documents apart from those used here; a null text stays null.
     inner = docs.select("doc_id", "text", F.col("text").isNull().alias("_null"), *[F.col(f"`{c}`").alias(f"_col_{i}") for i, c in enumerate(others)])
     kept = [f"_col_{i}" for i in range(len(others))]
-    rows = spans(inner, turns, ("_null", *kept)).withColumn("text", F.when(~F.col("_null"), F.expr(masked)))
+    rows = spans(inner, turns, ("_null", *kept)).withColumn("_runs", F.expr(f"if(size(base) + size(more) = 0, cast(array() as array<struct<s:int,e:int,k:int>>), {runs})"))
+    rows = rows.withColumn("text", F.when(~F.col("_null"), F.expr(masked)))
     place = {c: F.col(f"_col_{i}") for i, c in enumerate(others)} | {c: F.col(c) for c in ("doc_id", "text")}
     if "n_chars" in others:
         place["n_chars"] = F.when(~F.col("_null"), F.char_length("text")).otherwise(place["n_chars"]).cast(docs.schema["n_chars"].dataType)
