@@ -8,7 +8,9 @@ entropy is estimated lower are tried, and the smallest file stays; red and blue
 cross-colour can only add to them.
 
 Results for odd input: null and empty texts are 64 zero bytes; equal texts give equal files; texts too long for the
-narrowest image get a wider one, whose last row is filled with zeros that reading drops; other columns are ignored.
+narrowest image get a wider one, whose last row is filled with zeros that reading drops; the reader looks up a stretch of
+the stream at a time, so that a long text takes some dozens of bytes a byte; texts over 256 MB, which no image holds, are an
+error; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -51,6 +53,8 @@ LEAST_COPY, LEAST_RUN = 3, 12
 ESTIMATED, CACHES, LEAST_SAVED = 512, (1, 2, 4, 6, 8), 0.1
 #: Pixels from which an image of one code group is read with all bits looked up at once.
 AHEAD = 128
+#: Bytes of a stream whose bits are looked up at once.
+STRETCH = 1 << 16
 
 
 @lru_cache(maxsize=64)
@@ -226,7 +230,8 @@ def literals_ahead(data: bytes, at: int, group: list[Table]) -> tuple:
     """Of the literal pixels in a stream: (the pixels at given bits, the bits where eight pixels begin from the first's, and for each bit the bit after the
     one or eight pixels that begin there, or 0 if there are none).
 
-    All bits of the stream are looked up at once, whether a pixel begins there or not; walking from bit to bit is then short.
+    All bits of a stretch of the stream are looked up at once, whether a pixel begins there or not; walking from bit to bit is
+    then short.
     """
     raw = np.frombuffer(data, np.uint8).astype(np.uint32)
     words = raw[:-3] | raw[1:-2] << 8 | raw[2:-1] << 16 | raw[3:] << 24
@@ -281,14 +286,16 @@ def read_pixels(r: Reader, width: int, height: int, main: bool) -> np.ndarray:
     shift = 32 - cache_bits
     cached = 0  # pixels that the cache has seen
     data, at = r.data, r.at
-    ahead = literals_ahead(data, at, groups[0]) if n_groups == 1 and total >= AHEAD else None
+    quick = n_groups == 1 and total >= AHEAD
     green, red, blue, alpha, distance = groups[0]
-    if ahead is not None and not cache_bits:
-        # Without a cache the literals' pixels are needed by copies alone, so all are looked up at the end.
-        pixel, steps, after, after8 = ahead
+    room = total
+    while quick and not cache_bits and room:
+        # Without a cache the literals' pixels are needed by copies alone, so those of a stretch are looked up at its end.
+        base, before = at & ~7, room
+        pixel, steps, after, after8 = literals_ahead(data[base >> 3 : (base >> 3) + STRETCH], at - base, groups[0])
+        at -= base
         eights, places, runs = [], [], []  # runs: eights and places before a copy, its length and distance
-        room = total
-        while room:
+        while room and at + 64 < len(after):
             to = after8[at]
             while to and room >= 8:
                 eights.append(at)
@@ -303,13 +310,13 @@ def read_pixels(r: Reader, width: int, height: int, main: bool) -> np.ndarray:
                 room -= 1
             if not room:
                 break
-            e = green.entries[(int.from_bytes(data[at >> 3 : (at >> 3) + 4], "little") >> (at & 7)) & green.mask]
+            e = green.entries[(int.from_bytes(data[base + at >> 3 : (base + at >> 3) + 4], "little") >> (at & 7)) & green.mask]
             if e >> 4 < 256:
                 break
-            r.at = at + (e & 15)
+            r.at = base + at + (e & 15)
             length = spread((e >> 4) - 256, r)
             code = spread(r.symbol(distance), r)
-            at = r.at
+            at = r.at - base
             length = min(length, room)
             runs.append((len(eights), len(places), length, code - 120 if code > 120 else near[code - 1]))
             room -= length
@@ -326,15 +333,24 @@ def read_pixels(r: Reader, width: int, height: int, main: bool) -> np.ndarray:
             out += out[start : start + length] if back >= length else (out[start:] * (length // back + 1))[:length]
         out += eight_pixels[8 * was :]
         out += place_pixels[had:]
+        at += base
+        if room == before:
+            break
+    base = until = 0
     while len(out) < total:
         if groups_at is not None:
             y, x = divmod(len(out), width)
             green, red, blue, alpha, distance = groups[groups_at[(y >> block_bits) * across + (x >> block_bits)]]
-        if ahead is not None:
-            pixel, steps, after, after8 = ahead
+        if quick and cache_bits:
+            if at >= until:
+                base = at & ~7
+                pixel, steps, after, after8 = literals_ahead(data[base >> 3 : (base >> 3) + STRETCH], at - base, groups[0])
+                until = base + len(after) - 128
+                until = until if (base >> 3) + STRETCH < len(data) else len(data) * 8
+            at -= base
             room = total - len(out)
             eights = []
-            to = after8[at]
+            to = after8[at] if at < len(after) else 0
             while to and room >= 8:
                 eights.append(at)
                 at = to
@@ -343,7 +359,7 @@ def read_pixels(r: Reader, width: int, height: int, main: bool) -> np.ndarray:
             if eights:
                 out += pixel(steps(eights))
             places = []
-            to = after[at]
+            to = after[at] if at < len(after) else 0
             while to and room:
                 places.append(at)
                 at = to
@@ -351,6 +367,7 @@ def read_pixels(r: Reader, width: int, height: int, main: bool) -> np.ndarray:
                 room -= 1
             if places:
                 out += pixel(np.array(places, np.int32))
+            at += base
             if not room:
                 break
         w = int.from_bytes(data[at >> 3 : (at >> 3) + 9], "little") >> (at & 7)
@@ -832,6 +849,8 @@ def hopeful(samples: np.ndarray, width: int) -> list[tuple[tuple, int]]:
 def store(payload: bytes) -> bytes:
     """A lossless image whose green samples are the payload's bytes; with 16 values or fewer, several share a pixel.
     The smallest of the files with what the samples suggest."""
+    if len(payload) > MAX_SIDE * MAX_SIDE:
+        raise ValueError(f"an image holds {MAX_SIDE * MAX_SIDE} samples")
     samples = np.frombuffer(payload, np.uint8)
     width = 64
     while len(samples) > width * MAX_SIDE:
