@@ -337,15 +337,18 @@ def classes(docs: DataFrame, signed: DataFrame, similarity: float, stars: int) -
 
 
 def groups(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, stars: int = STARS) -> DataFrame:
-    """doc_id, class_id, n_links of every document of doc_id, text: its class and the verified links and copies of its text."""
+    """doc_id, class_id, links_found of every document of doc_id, text.
+
+    links_found counts its copies and the links verified on the way: enough to join the class, not all pairs in it.
+    """
     signed = cut(nodes_of(docs, bands, rows))
     label, links = classes(docs, signed, similarity, stars)
-    degree = links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
+    degree = links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("links_found"))
     copies = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
     named = copies.join(label, "node", "left").withColumn("class", F.coalesce("class", "node")).join(degree, "node", "left")
     names = named.groupBy("class").agg(F.min("first").alias("class_id"))
-    named = named.join(names, "class").select("node", "class_id", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return signed.select("doc_id", "node").join(named, "node", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    named = named.join(names, "class").select("node", "class_id", (F.coalesce("links_found", F.lit(0)) + F.col("copies") - 1).alias("links_found"))
+    return signed.select("doc_id", "node").join(named, "node", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links_found", F.lit(0)).cast("long").alias("links_found"))
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, stars: int = STARS) -> DataFrame:

@@ -90,12 +90,10 @@ def profiles(labelled: DataFrame, size: int = PROFILE, lang: str = "lang", text:
             for name, t in zip(batch.column(0).to_pylist(), batch.column(1)):
                 t = t.as_py()
                 h = held.setdefault(name, {"texts": [], "chars": 0, "keys": None, "counts": None})
-                for i in range(0, len(t), CHUNK):
-                    h["texts"].append(t[i : i + CHUNK])
-                    h["chars"] += len(h["texts"][-1])
-                    if h["chars"] >= CHUNK:
-                        fold(name)
-                        h = held[name]
+                h["texts"].append(t)
+                h["chars"] += len(t)
+                if h["chars"] >= CHUNK:
+                    fold(name)
         for name in held:
             fold(name)
             keys, counts = held[name]["keys"], held[name]["counts"]

@@ -1,6 +1,7 @@
 """License scans: an Aho-Corasick automaton over words finds notices and tags; a shunting-yard parser evaluates expressions.
 
-Results for odd input: null and empty texts have no words, no labels and score 0;
+Results for odd input: null and empty texts have no words, no labels and score 0, the score of no licence; a long text is
+scanned word by word in one pass;
 a malformed expression after a tag still yields the identifiers in it, valued by their minimum;
 repeated rows are scanned each by itself; other columns are ignored; an empty table gives an empty table.
 """
@@ -40,7 +41,7 @@ NOTICES = {
 }
 TAG = "spdx license identifier"
 
-# Labels of identifiers, by their beginning, and how free a label is (1: no conditions on use).
+# Labels of identifiers, by their name before version words, and how free a label is (1: no conditions on use).
 IDENTIFIERS = {
     "mit": "mit", "apache-2": "apache-2", "bsd": "bsd", "isc": "isc", "cc0": "cc0", "unlicense": "unlicense",
     "agpl-3": "agpl-3", "lgpl": "lgpl", "gpl-3": "gpl-3", "gpl-2": "gpl-2", "mpl-2": "mpl-2", "epl": "epl",
@@ -49,7 +50,7 @@ IDENTIFIERS = {
 FREEDOM = {
     "mit": 1.0, "apache-2": 1.0, "bsd": 1.0, "isc": 1.0, "cc0": 1.0, "unlicense": 1.0, "cc-by": 0.9,
     "mpl-2": 0.7, "epl": 0.7, "lgpl": 0.6, "cc-by-sa": 0.5, "gpl-2": 0.4, "gpl-3": 0.4, "agpl-3": 0.3,
-    "cc-by-nc": 0.1, "all-rights-reserved": 0.0,
+    "cc-by-nc": 0.1, "all-rights-reserved": 0.05,
 }
 UNKNOWN_FREEDOM = 0.2
 EXCEPTION_GAIN = 0.2
@@ -59,6 +60,8 @@ WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256)
 )
 TAG_LINE = re.compile(r"spdx-license-identifier:[ \t]*([^\r\n]*)", re.I)
+#: What may stand behind the name of a licence: versions and their words.
+VERSION = re.compile(r"(?:[.-](?:v?[0-9]+|clause|only|or|later|universal|international))*")
 EXPRESSION_TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+-]*")
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 
@@ -93,7 +96,8 @@ def automaton(phrases: dict[str, object]) -> tuple[list[dict[bytes, int]], list[
 
 def label_of(identifier: str) -> str:
     name = identifier.lower().rstrip("+")
-    return next((label for start, label in sorted(IDENTIFIERS.items(), key=lambda x: -len(x[0])) if name.startswith(start)), name)
+    known = (label for start, label in sorted(IDENTIFIERS.items(), key=lambda x: -len(x[0])) if name.startswith(start) and VERSION.fullmatch(name, len(start)))
+    return next(known, name)
 
 
 def evaluate(expression: str) -> tuple[set[str], float]:

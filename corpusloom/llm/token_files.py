@@ -6,7 +6,8 @@ reduces the block to its first partial document, its whole documents and its las
 the small table of blocks then stitches the partial documents together.
 
 Results for odd input: null and empty texts are documents of no tokens; tokens after the last separator of a file count
-as no document; an empty file and an empty table have none; repeated rows are documents of their own.
+as no document; an empty file and an empty table have none; repeated rows are documents of their own; a long text is
+many blocks, each scanned by itself.
 """
 
 from __future__ import annotations
@@ -111,4 +112,5 @@ def count(files: DataFrame, folder: str, end: int = END, block: int = BLOCK) ->
 def count_documents(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """doc_id, n_tokens, file, ordinal of every document: writes the token files, scans them and names what it found."""
     listed = write(docs, folder)
-    return listed.join(count(listed, folder), ["file", "ordinal"]).select("doc_id", "n_tokens", "ordinal")
+    # Both sides grow with the documents: merged by file, whatever their sizes look like.
+    return listed.join(count(listed, folder).hint("merge"), ["file", "ordinal"]).select("doc_id", "n_tokens", "ordinal")
