@@ -35,17 +35,51 @@ def test_fingerprints_follow_weighted_jaccard(spark):
     assert abs(np.mean(errors)) < 0.05 and np.sqrt(np.mean(np.square(errors))) < 0.12
 
 
-def test_fingerprints_across_buckets(spark, monkeypatch):
-    monkeypatch.setattr(fingerprints, "BUCKET_BYTES", 400)
-    texts = {1000 - 37 * k: f"text {k} " + "x" * (k % 7) + " y" * 20 for k in range(40)}
-    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    placed = rows(fingerprints.neighbourhoods(docs).where("not _guest"))
-    assert len(placed) == 40 and max(collections.Counter(r._b for r in placed).values()) <= 20
+def test_fingerprints_in_order_of_ids(spark):
+    texts = {1000 - 37 * k: f"text {k} " + "x" * (k % 7) + " y" * (k * 11 % 23) for k in range(40)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r for r in rows(fingerprints.compare_with_edits(docs))}
+    assert len(got) == 40
     ids = sorted(texts)
-    for r in rows(fingerprints.compare_with_edits(docs)):
-        t, n = texts[r.doc_id], texts[ids[(ids.index(r.doc_id) + 1) % 40]]
+    share = lambda a, b: sum(a[k : k + 5] == b[k : k + 5] for k in range(0, 320, 5)) / 64
+    for k, i in enumerate(ids):
+        r, t, n = got[i], texts[i], texts[ids[(k + 1) % 40]]
         half = len(t) // 2
         assert r.edited_sha256 == hashlib.sha256((t[: len(t) - half] + n[:half]).encode()).hexdigest()
+        assert r.near_next == share(r.fingerprint, got[ids[(k + 1) % 40]].fingerprint) and r.near_edited == share(r.fingerprint, r.edited_fingerprint)
+
+
+def test_fingerprints_equal_a_plain_loop(spark):
+    """Each slot holds the code of the term with the least key, drawn one by one."""
+    docs = spark.createDataFrame([(1, "a b b c c c d d d d"), (2, "b a e f f g")], "doc_id long, text string")
+    got = {r.doc_id: r for r in rows(fingerprints.compare_with_edits(docs))}
+    names = sorted(set("abcdefg"))
+    draws = spark.createDataFrame([(w, s) for w in names for s in range(64)], "w string, s int")
+    term = F.shiftright(F.xxhash64("w"), 1)
+    draws = draws.select("w", "s", F.xxhash64(term, "s").alias("x")).withColumn("y", F.xxhash64("x"))
+    table = {(r.w, r.s): (r.x % 2**64, r.y % 2**64) for r in draws.collect()}
+    def slot(bag, s):
+        keys = []
+        for w, n in bag.items():
+            x, y = table[w, s]
+            u, v, p, q = ((z % 2**32 + 0.5) / 2**32 for z in (x >> 32, x, y, y >> 32))
+            r, c = -math.log(u) - math.log(v), -math.log(p) - math.log(q)
+            b = -math.log(v) / r
+            t = math.floor(math.log(n) / r + b)
+            keys.append((c * math.exp(-r * (t - b + 1)), w, t))
+        return min(keys)[1:]
+
+    codes = {}
+    for i, text in ((1, "a b b c c c d d d d"), (2, "b a e f f g")):
+        half = len(text) // 2
+        other = {1: "b a e f f g", 2: "a b b c c c d d d d"}[i]
+        edited = text[: len(text) - half] + other[:half]
+        for t, f in ((text, got[i].fingerprint), (edited, got[i].edited_fingerprint)):
+            assert len(f) == 320
+            for s in range(64):
+                # One code for each least (term, t) of a slot, another for each other.
+                codes.setdefault((s, slot(collections.Counter(t.split()), s)), set()).add(f[5 * s : 5 * s + 5])
+    assert all(len(c) == 1 for c in codes.values()) and len({(k[0], *c) for k, c in codes.items()}) == len(codes)
 
 
 def test_fingerprints_odd(odd, empty):
@@ -118,6 +152,19 @@ def test_pii_finds_what_is_far_or_written_apart(spark):
     assert got[at] == "phone:8:22" and got[at + 1] == "phone:8:20" and got[len(texts) - 1] == "phone:11:23"
 
 
+def test_pii_in_a_long_text(spark):
+    """Some 5 MB of numbers, among them addresses and phone numbers, in one text."""
+    piece = "call me at +1 555 123-4567 or a@b.co 10.0.0.1, " + " ".join(str(1000 + k) for k in range(40)) + "\n"
+    text = piece * (5_000_000 // len(piece))
+    n = text.count("a@b.co")
+    docs = spark.createDataFrame([(1, text), (2, "call me at 555-321-7654 today"), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in rows(pii.report(docs))}
+    assert (got[1].n_email, got[1].n_ip, got[1].n_phone) == (n, n, n)
+    assert got[1].base_sha256 == hashlib.sha256(base_spans(text).encode()).hexdigest()
+    masked = {r.doc_id: r.text for r in rows(pii.redact(docs))}
+    assert masked[1] == text.replace("+1 555 123-4567", "[phone]").replace("a@b.co", "[email]").replace("10.0.0.1", "[ip]")
+
+
 def test_brown_base_and_gain(spark, odd, empty):
     rng = np.random.default_rng(1)
     texts = [(i, " ".join(rng.choice([["a", "b"], ["x", "y"]][k % 2]) for k in range(60))) for i in range(120)]
@@ -129,11 +176,70 @@ def test_brown_base_and_gain(spark, odd, empty):
         p = lambda x: math.log10((x + 0.5) / (n + 0.5 * (v + 1)))
         assert abs(got[i].base_score - sum(p(c[w]) for w in words(t)) - p(len(train))) < 1e-6
         assert got[i].n_tokens == 61 and got[i].train_tokens == n and got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 1)
+        assert abs(math.log10(got[i].perplexity) + got[i].score / 61) < 1e-9
     held = [r for r in got.values() if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)  # alternation is learned
     assert len(rows(brown.score_corpus(odd))) == 10 and rows(brown.score_corpus(empty)) == []
 
 
+@pytest.mark.parametrize("share", [1e-4, 0.02, 2.0])
+def test_brown_scores_equal_a_plain_count(spark, monkeypatch, share):
+    """The score from the classes that words got, with transitions and emissions counted one by one; few, some or all words are rare."""
+    rng = np.random.default_rng(4)
+    texts = [(i, " ".join(f"w{int(60 * rng.random() ** 3)}" for _ in range(rng.integers(0, 30)))) for i in range(150)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").withColumn("held_out", F.col("doc_id") % 5 == 1)
+    kept, own = [], brown.vocabulary
+    monkeypatch.setattr(brown, "vocabulary", lambda *a: kept.append(own(*a)) or kept[0])
+    got = {r.doc_id: r for r in rows(brown.score(docs, docs.where("not held_out"), share=share, classes=6))}
+    table = {r["word"]: (r["c"], r["class"]) for r in kept[0].collect()}
+    train = [words(t) for i, t in texts if i % 5 != 1]
+    c = collections.Counter(w for t in train for w in t)
+    assert {w.decode(): n for w, n in c.items()} == {w: n for w, (n, _) in table.items()} and all(0 <= k < 6 for _, k in table.values())
+    end = 6
+    kind = lambda t: [table[w.decode()][1] for w in t] + [end]
+    pairs, mass, sizes = collections.Counter(), collections.Counter(), collections.Counter(k for _, k in table.values())
+    for t in train:
+        k = kind(t)
+        mass.update(k)
+        pairs.update(zip([end, *k], k))
+    alone = {k: (mass[k] + 0.5) / (sum(mass.values()) + 0.5 * 7) for k in range(7)}
+    out = {a: sum(pairs[a, b] for b in range(7)) for a in range(7)}
+    for i, t in texts:
+        t = words(t)
+        if all(w in c for w in t):
+            k = kind(t)
+            want = sum(math.log10((pairs[a, b] + brown.PRIOR * alone[b]) / (out[a] + brown.PRIOR)) for a, b in zip([end, *k], k))
+            want += sum(math.log10((c[w] + 0.5) / (mass[b] + 0.5 * (sizes[b] + 1))) for w, b in zip(t, k))
+            assert abs(got[i].score - want) < 1e-6
+
+
+def test_rare_words_go_to_the_best_class():
+    rng = np.random.default_rng(6)
+    right = rng.integers(0, 30, (5, 7)).astype(float)
+    table = np.concatenate([right, right[:, ::-1]], axis=1)  # a class's words have as many neighbours on either side
+    codes, ns, sizes, old = [], [], [], []
+    for k in range(40):
+        right, left = rng.choice(7, 3, replace=False), rng.choice(7, 3, replace=False)
+        n = rng.integers(1, 5, 3)
+        codes += [*sorted(right), *(7 + np.sort(left))]
+        ns += [*n, *n]
+        sizes.append(6)
+        old.append(k % 6 - 1)
+        if old[-1] >= 0:
+            np.add.at(table[old[-1]], codes[-6:], ns[-6:])
+    codes, ns = np.array(codes), np.array(ns)
+    got = brown.best_of_rare(np.array(old), codes, ns, np.array(sizes), table)
+    for k in range(40):
+        here, worth = slice(6 * k, 6 * k + 6), []
+        for b in range(5):
+            t = table.copy()
+            if old[k] >= 0:
+                np.subtract.at(t[old[k]], codes[here], ns[here])
+            np.add.at(t[b], codes[here], ns[here])
+            worth.append(brown.information(t[:, :7]) + brown.information(t[:, 7:]))
+        assert worth[got[k]] >= max(worth) - 1e-6
+
+
 def similar(a, b):
     both = sum((a & b).values())
     return both / (sum(a.values()) + sum(b.values()) - both)
@@ -276,6 +382,22 @@ def test_webp_writer_picks_by_the_samples():
         assert webp.load(webp.store(p), len(p))[0] == p
 
 
+def test_webp_of_long_texts(monkeypatch):
+    rng = np.random.default_rng(3)
+    long = rng.integers(32, 127, 3 << 20).astype(np.uint8).tobytes()
+    assert webp.load(webp.store(long), len(long))[0] == long
+    # Streams that end and go on at any place of a stretch, with copies, and with the cache.
+    run = rng.integers(0, 20, 300).astype(np.uint8)
+    mixed = np.concatenate([np.append(rng.integers(0, 256, rng.integers(1, 90)).astype(np.uint8), run) for _ in range(60)])
+    mixed = mixed[: len(mixed) // 64 * 64]
+    for stretch in (64, 100, 257):
+        monkeypatch.setattr(webp, "STRETCH", stretch)
+        assert webp.load(webp.store(mixed.tobytes()), len(mixed))[0] == mixed.tobytes()
+        argb = webp.OPAQUE | mixed.astype(np.int64) << 8
+        for cache in (0, 4):
+            assert (webp.decode(webp.encode(argb, 64, len(mixed) // 64, (), cache))[2] == argb).all()
+
+
 def test_webp_column(odd, empty):
     got = rows(webp.media_column(odd, with_media=True))
     for r, t in zip(got, [x.text for x in odd.collect()]):
@@ -289,6 +411,7 @@ def test_licenses(spark, odd, empty):
     assert licenses.evaluate("MIT OR GPL-3.0-only AND Apache-2.0")[1] == 1.0
     assert licenses.evaluate("(MIT OR GPL-3.0-only) AND CC-BY-NC-4.0") == ({"mit", "gpl-3", "cc-by-nc"}, 0.1)
     assert licenses.evaluate("GPL-2.0 WITH Classpath-exception-2.0")[1] == pytest.approx(0.6)
+    assert licenses.evaluate("MITRE-1.0 OR ISCTE")[0] == {"mitre-1.0", "iscte"} and licenses.evaluate("LGPL-2.1-or-later")[0] == {"lgpl"}
     assert licenses.evaluate("MIT AND (")[0] == {"mit"} and licenses.evaluate("")[1] == 0.0
     text = "x Under  the MIT-License! CC BY-NC y apache license, version 2.0\n// SPDX-License-Identifier: (MIT OR BSD-3-Clause)\n"
     got = {r.doc_id: r for r in rows(licenses.scan(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")))}
@@ -310,6 +433,81 @@ def test_language(spark, odd, empty):
     assert kept.columns == odd.columns and kept.count() == 7
 
 
+def test_license_places_equal_a_plain_search(spark):
+    rng = np.random.default_rng(8)
+    parts = ["under", "the", "MIT", "license", "apache", "License", "version", "2", "cc", "by", "nc", "é", "x_y", "2.0", "under the mit license", "cc-by-nc"]
+    texts = [(" -,\n"[rng.integers(4)]).join(rng.choice(parts, rng.integers(0, 60))) for _ in range(200)]
+    got = {r.doc_id: r for r in rows(licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))}
+    for i, t in enumerate(texts):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.encode().lower().decode())
+        at = [(k, label) for p, label in licenses.BASE_PHRASES.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
+        r = got[i]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(w), len(at), min((k for k, _ in at), default=None), max((k for k, _ in at), default=None))
+        assert r.base_labels == ",".join(sorted({x for _, x in at})) and {x for _, x in at} <= set(r.labels.split(","))
+
+
+def test_language_equals_plain_distances(spark):
+    """Profiles, distances and ties worked out gram by gram."""
+    import unicodedata
+
+    rng = np.random.default_rng(9)
+    letters = {"aa": "abcde é", "bb": "cdefg ü1", "cc": "xyzab -"}
+    docs = [(i, "".join(rng.choice(list(letters[k]), rng.integers(0, 400))), k) for i, k in enumerate(list(letters) * 40)]
+    got = {r.doc_id: r for r in rows(language.identify(spark.createDataFrame(docs, "doc_id long, text string, lang string")))}
+
+    def grams(t):
+        s = re.sub(" +", " ", "".join(x.lower() if unicodedata.category(x)[0] == "L" else " " for x in f" {t} "))
+        points = [0 if x == " " else ord(x) for x in s]
+        if len(points) < 3:
+            return collections.Counter()
+        out = [(a, 0) for a in points if a] + [(a << 20 | b, 1) for a, b in zip(points, points[1:])]
+        return collections.Counter(x << 2 | n for x, n in out + [(a << 40 | b << 20 | c, 2) for a, b, c in zip(points, points[1:], points[2:]) if b])
+
+    best = lambda c: [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[: language.PROFILE]]
+    learned = collections.defaultdict(collections.Counter)
+    for i, t, k in docs:
+        if zlib.crc32(str(i).encode()) % 4 != 2:
+            learned[k] += grams(t)
+    places = {k: {g: r for r, g in enumerate(best(c))} for k, c in learned.items()}
+    for i, t, _ in docs:
+        own = best(grams(t))
+        if not own:
+            assert got[i].lang_pred == "und"
+            continue
+        far = {k: sum(abs(p[g] - r) if g in p else language.PROFILE for r, g in enumerate(own)) for k, p in places.items()}
+        want = min(sorted(far), key=far.get)
+        assert got[i].lang_pred == want and abs(got[i].score - (1 - far[want] / (language.PROFILE * len(own)))) < 1e-9
+
+
+def test_mixing_equals_a_plain_fill(spark):
+    """Targets by filling level by level; taken words by running sums in the order of the hash."""
+    rng = np.random.default_rng(10)
+    docs = [(i, "w " * int(rng.integers(0, 12)), [None, "a", "b", "c", "d"][int(5 * rng.random() ** 2)]) for i in range(400)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in rows(mixing.mix(frame))}
+    hashes = {r.doc_id: r.h for r in frame.select("doc_id", F.xxhash64("doc_id", "text").alias("h")).collect()}
+    size = {i: len(t.split()) for i, t, _ in docs}
+    total = collections.Counter()
+    for i, _, s in docs:
+        total[s] += size[i]
+    order = sorted((s for s in total if s is not None)) + [None]
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}
+    target, rest, open_ = {}, 1.5 * sum(total.values()), set(order)
+    while open_:
+        level = rest / sum(weight[s] for s in open_)
+        full = {s for s in open_ if level * weight[s] >= 2 * total[s]}
+        for s in full or open_:
+            target[s] = 2.0 * total[s] if full else level * weight[s]
+        rest -= sum(target[s] for s in full)
+        open_ -= full or open_
+    for s in order:
+        goal, begin = math.floor(target[s] + 1e-9), 0
+        for i in sorted((i for i, _, x in docs if x == s), key=lambda i: (hashes[i], i)):
+            passes = goal // total[s]
+            assert got[i].taken == passes * size[i] + max(0, min(size[i], goal - passes * total[s] - begin)) and abs(got[i].target - target[s]) < 1e-6
+            begin += size[i]
+
+
 @pytest.mark.parametrize("block", [1, 3, 65536])
 def test_token_counts(spark, odd, empty, block):
     folder = scratch(spark, "tokens")
