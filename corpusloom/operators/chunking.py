@@ -41,7 +41,7 @@ def heading(text: Column, hint: Column) -> Column:
     """Whether a paragraph is a heading."""
     n = F.size(words(text))
     line = ~F.contains(text, F.lit("\n"))
-    return text.startswith("#") | (hint & (n <= 24)) | (text.endswith(":") & (n <= 18)) | (line & (n <= 10) & text.rlike(r"^\p{Lu}") & ~text.rlike(r"[.!?]$"))
+    return (n > 0) & (text.startswith("#") | (hint & (n <= 24)) | (text.endswith(":") & (n <= 18)) | (line & (n <= 10) & text.rlike(r"^\p{Lu}")))
 
 
 def packed(units: Column, size: Column, separator: str) -> Column:
@@ -58,6 +58,34 @@ def packed(units: Column, size: Column, separator: str) -> Column:
     return F.aggregate(units, zero, step, lambda acc: F.when(acc["open"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["open"]))))
 
 
+def merged(paragraphs: Column, size: Column, hint: Column) -> Column:
+    """Paragraphs packed up to the size. A heading that would stand alone takes in the paragraph after it whatever its size;
+    what is left under a quarter of the size, 16 words at most, goes to the piece before it if it fits. hint: whether the
+    first paragraph is said to be a heading."""
+    unit = "struct<t:string,n:int>"
+    state = lambda out, t, n, parts: F.struct(out.cast(f"array<{unit}>").alias("out"), t.alias("t"), n.cast("int").alias("n"), parts.cast("int").alias("parts"))
+    pair = lambda t, n: F.struct(t.alias("t"), n.cast("int").alias("n")).cast(unit)
+    zero = state(F.array(), F.lit(None).cast("string"), F.lit(0), F.lit(0))
+
+    def step(acc: Column, u: Column) -> Column:
+        lone = (acc["parts"] == 1) & heading(acc["t"], hint & (F.size(acc["out"]) == 0))
+        grown = state(acc["out"], F.concat(acc["t"], F.lit("\n\n"), u["t"]), acc["n"] + u["n"], acc["parts"] + 1)
+        closed = state(F.concat(acc["out"], F.array(pair(acc["t"], acc["n"]))), u["t"], u["n"], F.lit(1))
+        return F.when(acc["parts"] == 0, state(acc["out"], u["t"], u["n"], F.lit(1))).when((acc["n"] + u["n"] <= size) | lone, grown).otherwise(closed)
+
+    counted = F.filter(F.transform(paragraphs, lambda p: pair(p, F.size(words(p)))), lambda u: u["n"] > 0)
+    closed = F.aggregate(counted, zero, step, lambda acc: F.when(acc["parts"] == 0, acc["out"]).otherwise(F.concat(acc["out"], F.array(pair(acc["t"], acc["n"])))))
+    least = F.greatest(F.lit(1), F.least(F.lit(16), F.floor(size / 4)))
+
+    def fold(acc: Column, u: Column) -> Column:
+        last = F.get(acc, F.size(acc) - 1)
+        both = pair(F.concat(last["t"], F.lit("\n\n"), u["t"]), last["n"] + u["n"])
+        small = (F.size(acc) > 0) & (u["n"] < least) & (last["n"] + u["n"] <= size)
+        return F.when(small, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(both))).otherwise(F.concat(acc, F.array(u))).cast(f"array<{unit}>")
+
+    return F.transform(F.aggregate(closed, F.array().cast(f"array<{unit}>"), fold), lambda u: u["t"])
+
+
 def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(F.regexp_replace(text, "\n", " "), r"(?<=[.!?])\s+"), tx.stripped), lambda s: s != "")
 
@@ -90,18 +118,18 @@ def grouped_blocks(blocks: DataFrame, cap: int) -> DataFrame:
     joins = (F.col("block_type") == "text") & (before("block_type") == "text") & (same | under)
     runs = blocks.withColumn("_run", F.sum(F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).over(order))
     listed = runs.groupBy("doc_id", "_run").agg(F.array_sort(F.collect_list(F.struct("block_index", "content", "is_heading"))).alias("b"), F.first("block_type").alias("block_type"), F.max("title").alias("title"), F.max_by("section", "block_index").alias("section"))
-    item = "struct<content:string,n:int,lone:boolean>"
-    make = lambda c, n, lone: F.struct(c.alias("content"), n.cast("int").alias("n"), lone.alias("lone"))
+    item = "struct<content:string,n:int,lone:boolean,hint:boolean>"
+    make = lambda c, n, lone, hint: F.struct(c.alias("content"), n.cast("int").alias("n"), lone.alias("lone"), hint.alias("hint"))
 
     def step(acc: Column, x: Column) -> Column:
         n = F.char_length(x["content"])
         last = F.element_at(acc, -1)
         fits = (F.size(acc) > 0) & ((last["n"] + n + 2 <= cap) | last["lone"])
-        grown = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(make(F.concat(last["content"], F.lit("\n\n"), x["content"]), last["n"] + n + 2, F.lit(False))))
-        return F.when(fits, grown.cast(f"array<{item}>")).otherwise(F.concat(acc, F.array(make(x["content"], n, x["is_heading"]))).cast(f"array<{item}>"))
+        grown = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(make(F.concat(last["content"], F.lit("\n\n"), x["content"]), last["n"] + n + 2, F.lit(False), last["hint"])))
+        return F.when(fits, grown.cast(f"array<{item}>")).otherwise(F.concat(acc, F.array(make(x["content"], n, x["is_heading"], x["is_heading"]))).cast(f"array<{item}>"))
 
     folded = F.aggregate("b", F.array().cast(f"array<{item}>"), step)
-    return listed.select("doc_id", "_run", "block_type", "title", "section", F.posexplode(folded).alias("part", "g")).select("doc_id", "_run", "part", "block_type", "title", "section", F.col("g.content").alias("content"))
+    return listed.select("doc_id", "_run", "block_type", "title", "section", F.posexplode(folded).alias("part", "g")).select("doc_id", "_run", "part", "block_type", "title", "section", F.col("g.content").alias("content"), F.coalesce("g.hint", F.lit(False)).alias("is_heading"))
 
 
 def chunk(blocks: DataFrame, size: int = SIZE, overlap: int = OVERLAP, cap: int | None = None, with_prefix: bool = True) -> DataFrame:
@@ -110,7 +138,7 @@ def chunk(blocks: DataFrame, size: int = SIZE, overlap: int = OVERLAP, cap: int
     head = prefix(F.col("title"), F.col("section")) if with_prefix else F.lit("")
     groups = groups.withColumn("_head", head).withColumn("_head", F.when(F.size(words(F.col("_head"))) < size, F.col("_head")).otherwise(""))
     room = size - F.size(words(F.col("_head")))
-    pieces = F.flatten(F.transform(packed(tx.paragraphs(F.col("content")), room, "\n\n"), lambda p: F.when(F.size(words(p)) <= room, F.array(p)).otherwise(split_long(p, room, overlap))))
+    pieces = F.flatten(F.transform(merged(tx.paragraphs(F.col("content")), room, F.col("is_heading")), lambda p: F.when(F.size(words(p)) <= room, F.array(p)).otherwise(split_long(p, room, overlap))))
     text = F.when(F.col("block_type") == "text", pieces).otherwise(F.array("content"))
     rows = groups.select("doc_id", "_run", "part", "block_type", "title", "section", "_head", F.posexplode(text).alias("_i", "piece"))
     held = words(F.col("piece"))

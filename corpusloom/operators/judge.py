@@ -108,6 +108,68 @@ def distinct_rewrites(rewrites: Column, most: int = 4) -> Column:
     return F.slice(F.transform(tx.let(pairs, first), lambda p: p["r"]), 1, most)
 
 
+# Words of requests that always get the strict path, and of vague ones.
+HIGH_RISK_TERMS = (
+    "legal advice", "attorney", "luật sư", "tu van phap ly", "tư vấn pháp lý", "medical advice", "chẩn đoán", "chan doan",
+    "kê đơn", "ke don", "điều trị", "dieu tri", "đầu tư", "dau tu", "financial advice", "tax advice", "thuế", "thue",
+    "compliance", "trách nhiệm pháp lý", "trach nhiem phap ly",
+)
+AMBIGUOUS_PATTERN = r"(?i)\b(?:help|assist|gợi ý|goi y|khuyên|khuyen|nên làm gì|nen lam gi|advice)\b"
+INTERPRETATION_PATTERN = r"(?i)\b(?:interpret|analysis|analyze|đánh giá|danh gia|phân tích|phan tich)\b"
+
+
+def high_risk(query: Column) -> Column:
+    low = F.lower(tx.stripped(query))
+    out = tx.any_match(query, (INTERPRETATION_PATTERN,))
+    for term in HIGH_RISK_TERMS:
+        out = out | F.contains(low, F.lit(term))
+    return out
+
+
+def asks_model_gate(query: Column, complexity: Column, reason: Column, strict: bool = False) -> Column:
+    """Whether a model is to decide on retrieval: never where the rules were sure, else for strict, risky, complex or vague queries."""
+    sure = reason.isin("empty_query", "forced_retrieval", "small_talk", "small_talk_short")
+    body = tx.stripped(query)
+    vague = (body != "") & ((F.size(F.split(body, r"\s+")) <= 2) | tx.any_match(query, (AMBIGUOUS_PATTERN,)))
+    return ~sure & (F.lit(strict) | high_risk(query) | (complexity == "complex") | vague)
+
+
+def asks_model_critic(query: Column, complexity: Column, citations: Column, score: Column, length: Column, confidence: Column, strict: bool = False) -> Column:
+    """Whether a model is to criticise an answer: strict, risky, uncited, badly grounded, complex, long or unsure ones."""
+    weak_ground = F.coalesce(score < 0.06, F.lit(False))
+    return F.lit(strict) | high_risk(query) | (citations <= 0) | weak_ground | (complexity == "complex") | (length >= 420) | F.coalesce(confidence < 0.35, F.lit(False))
+
+
+def asks_strict_refine(query: Column, complexity: Column, citations: Column, score: Column, hallucination: Column, strict: bool = False) -> Column:
+    """Whether an answer that says more than its context is to be refined strictly."""
+    return hallucination & (F.lit(strict) | high_risk(query) | (complexity == "complex") | (citations <= 0) | F.coalesce(score < 0.035, F.lit(False)))
+
+
+def refined(answer: Column, missing: Column, lead: Column, language: Column) -> Column:
+    """The draft with its missing aspects and the source that supports it named, in the language of the answer."""
+    aspects = F.array_join(F.slice(F.filter(F.split(missing, ","), lambda x: x != ""), 1, 3), ", ")
+    vi = language == "vi"
+    # The two notes, with their line ends as written.
+    cover = F.when(vi, "\\n\\nBổ sung nội dung: ").otherwise("\\n\\nAdditional coverage: ")
+    note = F.when(vi, "\\n\\nGhi chú bằng chứng: được hỗ trợ bởi ").otherwise("\\n\\nEvidence note: supported by ")
+    return F.concat(tx.stripped(answer), F.when(aspects != "", F.concat(cover, aspects, F.lit("."))).otherwise(""), F.when(lead.isNotNull(), F.concat(note, lead, F.lit("."))).otherwise(""))
+
+
+def cautious(context: Column, language: Column, otherwise: Column) -> Column:
+    """The beginning of the first context in a sentence that promises little; without one, what stands for no evidence."""
+    lead = tx.stripped(F.substring(F.replace(tx.stripped(context), F.lit("\n"), F.lit(" ")), 1, 220))
+    # The two templates.
+    vi = F.concat(F.lit("Theo ngữ cảnh hiện có, thông tin liên quan là: "), lead, F.lit("\n\nLưu ý: Bằng chứng còn hạn chế, cần đối chiếu thêm trong tài liệu."))
+    en = F.concat(F.lit("Based on the available context, relevant information is: "), lead, F.lit("\n\nNote: evidence is limited and may need additional verification."))
+    return F.when(F.coalesce(lead, F.lit("")) == "", otherwise).when(language == "vi", vi).otherwise(en)
+
+
+def note_category(note: Column) -> Column:
+    """The category that a critique's note begins with, else null."""
+    found = F.regexp_extract(F.lower(tx.stripped(note)), "^(no_evidence|weak_evidence|incomplete_answer|hallucination|grounded):", 1)
+    return F.nullif(found, F.lit(""))
+
+
 def branch_score(citations: Column, grounded: Column, status: Column, hallucination: Column, mismatch: Column, fallback: Column, confidence: Column) -> Column:
     unit = lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(x, F.lit(0.0))))
     return F.round(

@@ -9,10 +9,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..sources.tables import stored
 from . import index
 
 K1, B = 1.5, 0.75
@@ -30,15 +32,18 @@ def ranked(hits: DataFrame, k: int, score: str = "score", tie: str = "chunk_id")
 def bm25_scores(chunks: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """query_id, chunk_id, score of all chunks that share a term with a query.
 
-    Only tokens that occur in some query leave the scan; document lengths travel with them.
+    The texts are split once: only tokens that occur in some query leave the scan, with their chunk's length, and one row
+    a chunk without a term, from which the number of chunks and their mean length are taken.
     """
-    stats = index.corpus_stats(chunks).first()
-    n, average = stats["n_chunks"], stats["avg_tokens"]
     asked = queries.select("query_id", F.explode(tx.tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
     # The length is worked out below the explode, once a chunk.
     split = chunks.select("chunk_id", tx.tokens(F.col("text")).alias("_t")).select("chunk_id", "_t", F.size("_t").alias("dl"))
-    exploded = split.select("chunk_id", "dl", F.explode("_t").alias("term"))
-    postings = exploded.join(asked.select("term").distinct(), "term", "left_semi").groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
+    exploded = split.select("chunk_id", "dl", F.explode(F.concat("_t", F.array(F.lit(None).cast("string")))).alias("term"))
+    wanted = asked.select(F.col("term").alias("_w")).distinct().unionAll(asked.sparkSession.createDataFrame([(None,)], "_w string"))
+    kept = exploded.join(wanted, exploded["term"].eqNullSafe(wanted["_w"]), "left_semi")
+    postings = stored(kept.groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf")))
+    n, average = postings.where("term is null").agg(F.sum("tf"), F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).first()
+    n, average, postings = n or 0, average or 0.0, postings.where("term is not null")
     stats_by_term = postings.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", index.idf(F.col("df"), F.lit(n)))
     tf, dl = F.col("tf"), F.col("dl")
     part = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / average)) * F.col("qf")
@@ -70,30 +75,27 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, block: int = QUER
         lengths = np.linalg.norm(matrix, axis=1)
 
         def best(it: Iterator[pa.RecordBatch], ids=ids, matrix=matrix, lengths=lengths) -> Iterator[pa.RecordBatch]:
-            held_c = np.empty((len(ids), 0), object)
-            held_s = np.empty((len(ids), 0))
+            # Of each query the k best so far: scores, and places in the pool of the chunks that any query keeps.
+            pool, at, held = None, np.empty((len(ids), 0), np.int64), np.empty((len(ids), 0))
             for batch in it:
                 if not batch.num_rows:
                     continue
-                chunk = np.array(batch.column(0).to_pylist(), object)
-                v = np.array(batch.column(1).to_pylist(), float)
+                v = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
                 down = np.outer(lengths, np.linalg.norm(v, axis=1))
                 s = np.divide(matrix @ v.T, down, out=np.zeros_like(down), where=down > 0)
-                held_s = np.concatenate([held_s, s], axis=1)
-                held_c = np.concatenate([held_c, np.broadcast_to(chunk, s.shape)], axis=1)
-                keep_s, keep_c = [], []
-                for row_s, row_c in zip(held_s, held_c):
-                    at = sorted(np.argpartition(-np.round(row_s, 9), min(k, len(row_s)) - 1)[:k].tolist()) if len(row_s) > k else range(len(row_s))
-                    floor = np.round(row_s[list(at)], 9).min()
-                    at = np.flatnonzero(np.round(row_s, 9) >= floor)
-                    at = sorted(at.tolist(), key=lambda j: (-np.round(row_s[j], 9), row_c[j]))[:k]
-                    keep_s.append(row_s[at])
-                    keep_c.append(row_c[at])
-                held_s, held_c = np.array(keep_s), np.array(keep_c, object)
-            n = held_s.shape[1]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x for x in ids for _ in range(n)]), pa.array(held_c.ravel().tolist()), pa.array(held_s.ravel(), pa.float64())], names=["query_id", "chunk_id", "score"]
-            ) if n else pa.RecordBatch.from_pydict({"query_id": pa.array([], pa.from_numpy_dtype(np.int64)), "chunk_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+                before = 0 if pool is None else len(pool)
+                pool = batch.column(0) if pool is None else pa.concat_arrays([pool, batch.column(0)])
+                place = np.empty(len(pool), np.int64)
+                place[pc.sort_indices(pool).to_numpy()] = np.arange(len(pool))
+                held = np.concatenate([held, s], axis=1)
+                at = np.concatenate([at, np.broadcast_to(before + np.arange(batch.num_rows), s.shape)], axis=1)
+                first = np.lexsort((place[at], -np.round(held, 9)), axis=1)[:, :k]
+                held, at = np.take_along_axis(held, first, 1), np.take_along_axis(at, first, 1)
+                used, at = np.unique(at, return_inverse=True)
+                pool, at = pool.take(pa.array(used)), at.reshape(held.shape)
+            if pool is not None:
+                asked = pa.array([x for x in ids for _ in range(held.shape[1])])
+                yield pa.RecordBatch.from_arrays([asked, pool.take(pa.array(at.ravel())), pa.array(held.ravel(), pa.float64())], names=["query_id", "chunk_id", "score"])
 
         part = vectors.select("chunk_id", "vec").mapInArrow(best, f"query_id {q_kind}, chunk_id {kind}, score double")
         out = part if out is None else out.unionAll(part)

@@ -8,14 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import chunking, index, judge, rank, retrieve
+from ..sources.tables import stored
 
 MAX_LOOPS = 1
+# The messages of no evidence.
 INSUFFICIENT = {"vi": "Không đủ thông tin từ tài liệu để trả lời", "en": "Insufficient evidence to provide a grounded answer."}
 
 
@@ -38,35 +39,32 @@ def retrieve_hybrid(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return retrieve.fuse(doc(retrieve.dense_topk(vectors, asked, n)), doc(retrieve.bm25_topk(chunks, queries, n)), k)
 
 
-def held(frame: DataFrame) -> DataFrame:
-    """A small per-query result that several later steps read; lost parts are worked out again."""
-    return frame.persist(StorageLevel.DISK_ONLY)
-
-
 def analysed(queries: DataFrame) -> DataFrame:
     """Adds language, class and limits to query_id, query."""
     q = queries.withColumn("query", tx.normalized_query(F.col("query")))
-    q = held(q.select("query_id", "query", tx.language(F.col("query")).alias("language"), tx.complexity(F.col("query")).alias("complexity")))
+    q = stored(q.select("query_id", "query", tx.language(F.col("query")).alias("language"), tx.complexity(F.col("query")).alias("complexity")))
     return q.select("*", *judge.budget(F.col("complexity")))
 
 
 def standard(chunks: DataFrame, queries: DataFrame, answer: Callable[[Column, Column], Column] = best_sentence) -> DataFrame:
-    """query_id, query, language, complexity, policy, answer, context, n_docs, citations, confidence, status, grounded, grounding."""
+    """query_id, query, language, complexity, policy, answer, context, lead, n_docs, n_citations, confidence, status, grounded, grounding.
+
+    lead: the first context's chunk."""
     q = analysed(queries)
     hits = retrieve_hybrid(chunks, q, judge.BASE[0]).join(q.select("query_id", "hybrid_top_k", "rerank_top_k", "context_top_k"), "query_id").where(F.col("rank") <= F.col("hybrid_top_k"))
-    hits = held(hits)
+    hits = stored(hits)
     stats, sure = rank.score_stats(hits), rank.confidence(hits, ("score",))
     text = chunks.select("chunk_id", F.col("text").alias("content"))
     reranked = rank.rerank_by_score(hits.where("rank <= rerank_top_k"), judge.BASE[1]).where("rank <= context_top_k").join(text, "chunk_id")
-    packed = held(rank.pack(reranked, judge.BASE[2], judge.BASE[3]))
+    packed = stored(rank.pack(reranked, judge.BASE[2], judge.BASE[3]))
     context = packed.groupBy("query_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("slot", "content"))), lambda x: x["content"]), "\n").alias("context"),
-        F.count("*").alias("n_docs"), F.transform(F.array_sort(F.collect_list(F.struct("slot", "chunk_id"))), lambda x: x["chunk_id"]).alias("citations"),
+        F.count("*").alias("n_docs"), F.min_by("chunk_id", "slot").cast("string").alias("lead"), F.transform(F.array_sort(F.collect_list(F.struct("slot", "chunk_id"))), lambda x: x["chunk_id"]).alias("citations"),
     )
     rows = q.join(stats, "query_id", "left").join(sure, "query_id", "left").join(context, "query_id", "left")
     rows = rows.withColumn("context", F.coalesce("context", F.lit(""))).withColumn("n_docs", F.coalesce("n_docs", F.lit(0)))
     policy = rank.cascade(F.coalesce("n_hits", F.lit(0)), F.col("top"), F.col("gap"), F.col("complexity"), F.lit("standard"), cross_encoder=False)
-    return held(judged(held(rows.withColumn("policy", policy).withColumn("answer", answer(F.col("query"), F.col("context"))))))
+    return stored(judged(stored(rows.withColumn("policy", policy).withColumn("answer", answer(F.col("query"), F.col("context"))))))
 
 
 def judged(rows: DataFrame) -> DataFrame:
@@ -74,51 +72,78 @@ def judged(rows: DataFrame) -> DataFrame:
     status = F.when(F.col("answer").isNull(), "insufficient_evidence").otherwise("answered")
     rows = rows.withColumn("status", status).withColumn("answer", F.coalesce("answer", insufficient(F.col("language"))))
     rows = rows.withColumn("grounded", F.when(F.col("status") == "answered", tx.overlap_score(F.col("answer"), F.col("context"))).otherwise(0.0))
-    n = F.when(F.col("status") == "answered", F.size(F.coalesce("citations", F.array().cast("array<bigint>")))).otherwise(0)
+    n = F.when(F.col("status") == "answered", F.coalesce(F.array_size("citations"), F.lit(0))).otherwise(0)
     grounding = judge.grounding(F.col("status"), F.col("answer"), F.col("grounded"), F.col("n_docs"), n)
     return rows.select(
-        "query_id", "query", "language", "complexity", "policy", "answer", "context", "n_docs", n.alias("n_citations"),
+        "query_id", "query", "language", "complexity", "policy", "answer", "context", "lead", "n_docs", n.alias("n_citations"),
         F.coalesce("confidence", F.lit(0.0)).alias("confidence"), "status", "grounded", grounding.alias("grounding"),
     )
 
 
-def advanced(chunks: DataFrame, queries: DataFrame, answer: Callable[[Column, Column], Column] = best_sentence, max_loops: int = MAX_LOOPS) -> DataFrame:
+def guarded(rows: DataFrame) -> DataFrame:
+    """Answers that the critique wants refined, refined; those that say more than their context, cut back to what it holds.
+
+    Adds status, fallback and stop_reason of the final answer, which is grounded anew.
+    """
+    language, relevant = F.col("language"), F.col("critique_category") != "no_evidence"
+    refine = F.col("critique_should_refine") & (F.col("status") == "answered")
+    rows = rows.withColumn("_refine", refine).withColumn("answer", F.when(refine, judge.refined(F.col("answer"), F.col("critique_missing"), F.col("lead"), language)).otherwise(F.col("answer")))
+    score = lambda: F.when(F.col("status") == "answered", tx.overlap_score(F.col("answer"), F.col("context"))).otherwise(0.0)
+    rows = stored(rows.withColumn("grounded", F.when(F.col("_refine"), score()).otherwise(F.col("grounded"))))
+    ground = judge.grounding(F.col("status"), F.col("answer"), F.col("grounded"), F.col("n_docs"), F.col("n_citations"))
+    wrong = ground.endswith("/true")
+    strict = judge.asks_strict_refine(F.col("query"), F.col("complexity"), F.col("n_citations"), F.col("grounded"), wrong)
+    # The strict form without a model abstains; the cautious one takes its place where there is any context.
+    fallback = relevant & strict & (F.col("n_docs") > 0)
+    careful = judge.cautious(F.substring_index("context", "\n", 1), language, insufficient(language))
+    rows = rows.withColumn("fallback", fallback).withColumn("answer", F.when(fallback, careful).otherwise(F.col("answer")))
+    rows = stored(rows.withColumn("grounded", F.when(F.col("fallback"), tx.overlap_score(F.col("answer"), F.col("context"))).otherwise(F.col("grounded"))))
+    final = judge.grounding(F.col("status"), F.col("answer"), F.col("grounded"), F.col("n_docs"), F.col("n_citations"))
+    status = judge.advanced_status(relevant, F.col("grounded"), F.col("n_citations"), F.col("n_docs"), final.endswith("/true"))
+    stop = (
+        F.when(F.col("critique_should_retry"), "max_loop_reached").when(~relevant, "no_relevant_context").when(F.col("fallback"), "cautious_fallback")
+        .when(F.col("_refine"), "refined_with_context").otherwise("grounded")
+    )
+    return rows.withColumns({"grounding": final, "status": status, "stop_reason": stop}).drop("_refine")
+
+
+def advanced(chunks: DataFrame, queries: DataFrame, answer: Callable[[Column, Column], Column] = best_sentence, max_loops: int = MAX_LOOPS, first: DataFrame | None = None) -> DataFrame:
     """The standard rows of the queries that pass the gate, criticised; those that ask for it run once more with a better
-    query. Each further pass takes only the rows that still ask."""
+    query. Each further pass takes only the rows that still ask. first: the standard rows of the same queries, if there are any."""
     gated = queries.withColumn("gate", tx.gate_reason(F.col("query")))
     go = gated.where(F.col("gate").isin("default_retrieval", "forced_retrieval"))
-    rows = standard(chunks, go.select("query_id", "query"), answer).withColumn("loops", F.lit(1))
+    rows = standard(chunks, go.select("query_id", "query"), answer) if first is None else first.join(go.select("query_id"), "query_id", "left_semi")
+    rows = rows.withColumn("loops", F.lit(1))
     done = None
     for loop in range(max_loops + 1):
         c = judge.critique(F.col("query"), F.when(F.col("status") == "answered", F.col("answer")).otherwise(""), F.col("context"), F.col("n_docs"), F.lit(loop), F.lit(max_loops))
-        rows = held(rows.withColumns({f"critique_{k}": v for k, v in c.items()}))
+        rows = stored(rows.withColumns({f"critique_{k}": v for k, v in c.items()}))
         stay = rows if loop == max_loops else rows.where(~F.col("critique_should_retry"))
         done = stay if done is None else done.unionByName(stay)
-        if loop == max_loops:
+        again = rows.where("critique_should_retry")
+        if loop == max_loops or again.isEmpty():
             break
-        again = rows.where("critique_should_retry").select("query_id", F.get(judge.better_queries(F.col("query"), F.col("critique_missing")), F.lit(0)).alias("query"))
+        again = again.select("query_id", F.get(judge.better_queries(F.col("query"), F.col("critique_missing")), F.lit(0)).alias("query"))
         rows = standard(chunks, again, answer).withColumn("loops", F.lit(loop + 2))
-    relevant = F.col("critique_category") != "no_evidence"
-    final = judge.advanced_status(relevant, F.col("grounded"), F.col("n_citations"), F.col("n_docs"), F.col("grounding").endswith("/true"))
-    stop = F.when(F.col("critique_should_retry"), "max_loop_reached").when(~relevant, "no_relevant_context").when(F.col("critique_should_refine"), "refined_with_context").otherwise("grounded")
-    out = done.select("query_id", "language", "answer", "n_docs", "n_citations", F.col("critique_confidence").alias("confidence"), final.alias("status"), "grounded", "grounding", "loops", stop.alias("stop_reason"))
+    out = guarded(done).select("query_id", "language", "answer", "n_docs", "n_citations", F.col("critique_confidence").alias("confidence"), "status", "grounded", "grounding", "loops", "fallback", "stop_reason")
     refused = gated.where(~F.col("gate").isin("default_retrieval", "forced_retrieval"))
     language = tx.language(F.col("query"))
     return out.unionByName(refused.select(
         "query_id", language.alias("language"), insufficient(language).alias("answer"), F.lit(0).cast("long").alias("n_docs"), F.lit(0).alias("n_citations"), F.lit(0.0).alias("confidence"),
-        F.lit("insufficient_evidence").alias("status"), F.lit(0.0).alias("grounded"), F.lit("insufficient_evidence/false").alias("grounding"), F.lit(0).alias("loops"), F.col("gate").alias("stop_reason"),
+        F.lit("insufficient_evidence").alias("status"), F.lit(0.0).alias("grounded"), F.lit("insufficient_evidence/false").alias("grounding"), F.lit(0).alias("loops"), F.lit(False).alias("fallback"), F.col("gate").alias("stop_reason"),
     ))
 
 
 def compare(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """Both modes of each query, their scores, deltas and the verdict."""
+    """Both modes of each query, their scores, deltas and the verdict. Advanced starts from the standard rows."""
     def side(frame: DataFrame, name: str) -> DataFrame:
         h, m = F.col("grounding").endswith("/true"), tx.language_mismatch(F.col("answer"), F.col("language"))
-        six = (F.col("n_citations"), F.col("grounded"), F.col("status"), h, m, F.lit(False))
+        six = (F.col("n_citations"), F.col("grounded"), F.col("status"), h, m, F.col("fallback"))
         s = F.struct(F.col("n_citations").alias("citations"), "status", h.alias("hallucination"), judge.branch_score(*six, F.col("confidence")).alias("score"), judge.weak(*six).alias("weak"), "grounded", "confidence")
-        return frame.select("query_id", s.alias(name))
+        return stored(frame.select("query_id", s.alias(name)))
 
-    both = side(standard(chunks, queries), "standard").join(side(advanced(chunks, queries), "advanced"), "query_id")
+    first = standard(chunks, queries)
+    both = side(first.withColumn("fallback", F.lit(False)), "standard").join(side(advanced(chunks, queries, first=first), "advanced"), "query_id")
     fields = lambda n: {k: F.col(f"{n}.{k}") for k in ("citations", "status", "hallucination", "score", "weak")}
     delta = lambda k: F.round(F.col(f"advanced.{k}") - F.col(f"standard.{k}"), 6)
     verdict = judge.winner(fields("standard"), fields("advanced"))
@@ -132,7 +157,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         return chunks, asked
 
     return {
-        "workflow_standard": lambda spark, d: standard(*inputs(spark, d)).drop("context"),
+        "workflow_standard": lambda spark, d: standard(*inputs(spark, d)).drop("context", "lead"),
         "workflow_advanced": lambda spark, d: advanced(*inputs(spark, d)),
         "workflow_compare": lambda spark, d: compare(*inputs(spark, d)),
     }
