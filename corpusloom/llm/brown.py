@@ -27,18 +27,20 @@ from pyspark.sql import functions as F
 from .common import cut, remainder
 
 SHARE = 1e-4
-CLASSES = 128
+CLASSES = 64
 SPELLINGS = 64
 #: Share by which a turn must raise the mutual information.
-LEAST_GAIN = 1e-4
+LEAST_GAIN = 5e-3
 #: Texts and bytes of text that a task takes at a time, and bytes of text in a scoring block, about.
-TEXTS = 1024
+TEXTS = 4096
 SLICE_BYTES = 8 << 20
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 12 << 20
 #: Partitions at most that the blocks are dealt to.
 PARTITIONS = 1 << 14
 #: Counts of a word's neighbours that are weighed at a time.
-COUNTS = 1 << 15
+COUNTS = 1 << 14
+#: Counts up to which gains are looked up.
+LOOKED_UP = 16
 #: Weight of the class's own frequency against what followed the class before it, in tokens.
 PRIOR = 10.0
 
@@ -293,33 +295,49 @@ def rare_neighbours(train: DataFrame, frequent: pa.Array, of: np.ndarray, total:
     return train.select("text").mapInArrow(count, schema).repartition("word").sortWithinPartitions("word").mapInArrow(merged, schema)
 
 
-def best_of_rare(old: np.ndarray, codes: np.ndarray, ns: np.ndarray, sizes: np.ndarray, table: np.ndarray) -> np.ndarray:
+class Gains:
+    """What words add to and take from what the classes tell of their neighbours, by a table of classes x codes."""
+
+    def __init__(self, table: np.ndarray):
+        n = np.arange(1, LOOKED_UP + 1)[:, None, None]
+        self.table, self.half = table, table.shape[1] // 2
+        self.mass = table[:, : self.half].sum(1)
+        self.add = (xlogx(table.T + n) - xlogx(table.T)).astype(np.float32)
+        self.joins = 2 * (xlogx(self.mass + n[:, 0]) - xlogx(self.mass)).astype(np.float32)
+
+    def of(self, code: np.ndarray, n: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(words x classes: gain of joining a class, tokens of each word) of words whose counts begin at the starts."""
+        each, often = self.add[np.minimum(n, LOOKED_UP) - 1, code], np.flatnonzero(n > LOOKED_UP)
+        here = self.table[:, code[often]].T
+        each[often] = xlogx(here + n[often, None]) - xlogx(here)
+        c = np.add.reduceat(np.where(code < self.half, n, 0), starts)
+        joins, often = self.joins[np.minimum(c, LOOKED_UP) - 1], np.flatnonzero(c > LOOKED_UP)
+        joins[often] = 2 * (xlogx(self.mass + c[often, None]) - xlogx(self.mass))
+        return np.add.reduceat(each, starts, axis=0) - joins, c
+
+
+def best_of_rare(old: np.ndarray, codes: np.ndarray, ns: np.ndarray, sizes: np.ndarray, gains: Gains) -> np.ndarray:
     """For each word the class that adds most to what the classes tell of their neighbours; old -1 is in no class yet.
 
-    codes, ns: the words' counts one after another, sizes how many each has; table: classes x codes.
+    codes, ns: the words' counts one after another, sizes how many each has.
     """
-    own = xlogx(table)
-    mass = table[:, : table.shape[1] // 2].sum(1)
-    out = np.empty_like(old)
+    out, table, mass = np.empty_like(old), gains.table, gains.mass
     ends = np.cumsum(sizes)
     at = 0
     while at < len(old):
         begin = int(ends[at - 1]) if at else 0
         to = max(at + 1, int(np.searchsorted(ends, begin + COUNTS, "right")))
-        code, n = codes[begin : ends[to - 1]], ns[begin : ends[to - 1]].astype(float)
+        code, n = codes[begin : ends[to - 1]], ns[begin : ends[to - 1]]
         starts = ends[at:to] - sizes[at:to] - begin
-        c = np.add.reduceat(np.where(code < table.shape[1] // 2, n, 0.0), starts)
-        gain = np.add.reduceat(xlogx(table[:, code] + n) - own[:, code], starts, axis=1)
-        gain -= 2 * (xlogx(mass[:, None] + c) - xlogx(mass)[:, None])
+        gain, c = gains.of(code, n, starts)
         # What a word adds to the class it is in is what would go without it.
         mine = np.flatnonzero(old[at:to] >= 0)
         if len(mine):
-            a = np.repeat(old[at:to], sizes[at:to])
-            here = np.maximum(a, 0)
-            lost = np.add.reduceat(own[here, code] - xlogx(np.maximum(table[here, code] - n, 0)), starts)[mine]
+            here = table[np.maximum(np.repeat(old[at:to], sizes[at:to]), 0), code]
+            lost = np.add.reduceat(xlogx(here) - xlogx(np.maximum(here - n, 0)), starts)[mine]
             k = old[at:to][mine]
-            gain[k, mine] = lost - 2 * (xlogx(mass[k]) - xlogx(np.maximum(mass[k] - c[mine], 0))) + 1e-9
-        out[at:to] = gain.argmax(0)
+            gain[mine, k] = lost - 2 * (xlogx(mass[k]) - xlogx(np.maximum(mass[k] - c[mine], 0))) + 1e-5
+        out[at:to] = gain.argmax(1)
         at = to
     return out
 
@@ -328,52 +346,75 @@ def counts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def rare_table(rare: DataFrame, classes: int, total: int) -> np.ndarray:
-    """Classes x codes of the rarer words."""
+def exchanged(it: Iterator[pa.RecordBatch], steps: list[tuple[int, np.ndarray]]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, tuple]]:
+    """Each batch of word, codes, ns with the words' classes after some turns, and the counts.
 
-    def fold(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(classes * 2 * total, np.int64)
-        for b in it:
+    A word's moves hang on its own counts and the tables of the turns alone, so that they are gone through again in place of
+    being kept. In the first turn all words take part, later one half.
+    """
+    gains = [(turn, Gains(table)) for turn, table in steps]
+    for b in it:
+        if b.num_rows:
             (code, sizes), (n, _) = counts_of(b.column(1)), counts_of(b.column(2))
-            table += np.bincount(np.repeat(b.column(0).to_numpy().astype(np.int64), sizes) * 2 * total + code, n, minlength=len(table)).astype(np.int64)
-        at = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at])], names=["at", "n"])
+            kind, side = np.full(b.num_rows, -1), spelling(b.column(0)) % 2
+            for turn, table in gains:
+                mine = (side == turn % 2) | (turn == 0)
+                if mine.any():
+                    here = np.repeat(mine, sizes)
+                    kind[mine] = best_of_rare(kind[mine], code[here], n[here], sizes[mine], table)
+            yield b, kind, (code, n, sizes)
 
-    out = np.zeros(classes * 2 * total)
-    for row in rare.select("class", "codes", "ns").mapInArrow(fold, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
-        out[row["at"]] = row["n"]
-    return out.reshape(classes, 2 * total)
+
+def summed(tables: DataFrame) -> np.ndarray:
+    """The sum of tables of counts, one a row, by way of a few tasks; the driver gets a row of each."""
+
+    def add(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = None
+        for b in it:
+            for row in b.column(0):
+                table = np.frombuffer(row.as_py(), np.int64)
+                out = table.copy() if out is None else out + table
+        if out is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["counts"])
+
+    rows = tables.repartition(8).mapInArrow(add, "counts binary").collect()
+    return sum((np.frombuffer(r["counts"], np.int64) for r in rows), np.zeros(1, np.int64))
 
 
 def cluster_rare(rare: DataFrame, table: np.ndarray, classes: int) -> DataFrame:
-    """word, class, codes, ns: exchange of the rarer words, the classes of the frequent ones as they are.
+    """word, c, class: exchange of the rarer words, the classes of the frequent ones as they are.
 
-    table: the frequent words' class table. After the first turn, which all take part in, one half moves at a time.
+    table: the frequent words' class table.
     """
     total = len(table)
     fixed = np.concatenate([table[:classes], table[:, :classes].T], axis=1).astype(float)
     worth = lambda t: information(t[:, :total]) + information(t[:, total:])
-    state, held, best = rare.withColumn("class", F.lit(-1)), fixed, 0.0
-    turn, failed = 0, 0
-    while failed < 2:
+    steps, held, best, turn, failed = [], fixed, 0.0, 0, 0
 
-        def moves(it: Iterator[pa.RecordBatch], held=held, turn=turn) -> Iterator[pa.RecordBatch]:
-            for b in it:
-                old = b.column(1).to_numpy().astype(np.int64)
-                (code, sizes), (n, _) = counts_of(b.column(2)), counts_of(b.column(3))
-                new = best_of_rare(old, code, n, sizes, held) if len(old) else old
-                if turn:
-                    new = np.where(spelling(b.column(0)) % 2 == turn % 2, new, old) if len(old) else old
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(new.astype(np.int32)), b.column(2), b.column(3)], names=["word", "class", "codes", "ns"])
-
-        moved = cut(state.select("word", "class", "codes", "ns").mapInArrow(moves, "word string, class int, codes array<short>, ns array<int>"))
-        counted = fixed + rare_table(moved, classes, total)
+    def counted(tried: list) -> np.ndarray:
+        def fold(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros(classes * 2 * total, np.int64)
+            for _, kind, (code, n, sizes) in exchanged(it, tried):
+                out += np.bincount(np.repeat(kind, sizes) * 2 * total + code, n, minlength=len(out)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["counts"])
+
+        return fixed + summed(rare.mapInArrow(fold, "counts binary")).reshape(classes, 2 * total)
+
+    while failed < 2:
+        tried = [*steps, (turn, held)]
+        now = counted(tried)
         turn += 1
-        if turn == 1 or worth(counted) > best * (1 + LEAST_GAIN):
-            state, held, best, failed = moved, counted, worth(counted), 0
+        if turn == 1 or worth(now) > best * (1 + LEAST_GAIN):
+            steps, held, best, failed = tried, now, worth(now), 0
         else:
             failed += 1
-    return state
+
+    def named(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, kind, (code, n, sizes) in exchanged(it, steps):
+            c = np.add.reduceat(np.where(code < total, n, 0), np.cumsum(sizes) - sizes)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c), pa.array(kind.astype(np.int32))], names=["word", "c", "class"])
+
+    return rare.mapInArrow(named, "word string, c long, class int")
 
 
 def vocabulary(train: DataFrame, counts: DataFrame, n_words: int, share: float, classes: int) -> DataFrame:
@@ -384,9 +425,8 @@ def vocabulary(train: DataFrame, counts: DataFrame, n_words: int, share: float,
     pairs = cut(unit_bigrams(train, frequent))
     of, table = cluster(pairs, len(frequent), classes)
     rare = cluster_rare(cut(rare_neighbours(train, frequent, of, len(table))), table, classes)
-    after = F.aggregate(F.zip_with("codes", "ns", lambda k, n: F.when(k < len(table), n).otherwise(0)), F.lit(0).cast("long"), lambda a, n: a + n)
     known = counts.sparkSession.createDataFrame([(r["word"], r["c"], int(of[i])) for i, r in enumerate(rows)], "word string, c long, class int")
-    return cut(rare.select("word", after.alias("c"), "class").unionByName(known))
+    return cut(rare.unionByName(known))
 
 
 def class_sizes(vocab: DataFrame, classes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -430,7 +470,7 @@ def coded(docs: DataFrame, vocab: DataFrame, like: np.ndarray, n_all: int, v_all
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), block, np.int32)), words], names=["_block", "word"])
 
     # All columns of the blocks go in, so that both uses read one shuffle of the texts.
-    asked = blocked.mapInArrow(words_of, "_block int, word string").distinct().join(vocab, "word")
+    asked = blocked.mapInArrow(words_of, "_block int, word string").join(vocab, "word")
 
     def encoded(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         known = right.column("word").combine_chunks()

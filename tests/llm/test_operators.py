@@ -220,7 +220,7 @@ def test_rare_words_go_to_the_best_class():
     codes, ns, sizes, old = [], [], [], []
     for k in range(40):
         right, left = rng.choice(7, 3, replace=False), rng.choice(7, 3, replace=False)
-        n = rng.integers(1, 5, 3)
+        n = rng.integers(1, 5, 3) * (1 + 20 * (k % 3))
         codes += [*sorted(right), *(7 + np.sort(left))]
         ns += [*n, *n]
         sizes.append(6)
@@ -228,7 +228,7 @@ def test_rare_words_go_to_the_best_class():
         if old[-1] >= 0:
             np.add.at(table[old[-1]], codes[-6:], ns[-6:])
     codes, ns = np.array(codes), np.array(ns)
-    got = brown.best_of_rare(np.array(old), codes, ns, np.array(sizes), table)
+    got = brown.best_of_rare(np.array(old), codes, ns, np.array(sizes), brown.Gains(table))
     for k in range(40):
         here, worth = slice(6 * k, 6 * k + 6), []
         for b in range(5):
@@ -237,7 +237,7 @@ def test_rare_words_go_to_the_best_class():
                 np.subtract.at(t[old[k]], codes[here], ns[here])
             np.add.at(t[b], codes[here], ns[here])
             worth.append(brown.information(t[:, :7]) + brown.information(t[:, 7:]))
-        assert worth[got[k]] >= max(worth) - 1e-6
+        assert worth[got[k]] >= max(worth) - 1e-3
 
 
 def similar(a, b):
