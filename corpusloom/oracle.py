@@ -50,10 +50,11 @@ CONTENT = f"{bm25(K)}, ct as (select bm.*, text as content from bm join document
 SQUASH = "case when {0} <= 0 then 0::double when {0} <= 1 then round({0}, 4) else round({0} / (1 + {0}), 4) end"
 STATS = f"""{bm25(K)}, sq as (select query_id, {SQUASH.format('score')} as s, row_number() over (partition by query_id order by {SQUASH.format('score')} desc, rank) as r from bm),
 ss as (select query_id, count(*) as n_hits, max(s) as top, round(greatest(0::double, max(s) - max(s) filter (where r = 2)), 4) as gap from sq group by query_id)"""
-GOLD = r"""dw as (select doc_id, regexp_extract_all(text, '[^\s]+') as w from documents),
-dr as (select distinct doc_id, array_to_string(w[i:i + 7], ' ') as run from (select doc_id, w, unnest(generate_series(1, len(w) - 7)) as i from dw where len(w) >= 8)),
-iw as (select item_id as query_id, regexp_extract_all(text, '[^\s]+') as w from benchmark),
-gold as (select distinct query_id, doc_id from dr join (select query_id, array_to_string(w[1:8], ' ') as run from iw where len(w) >= 8) using (run))"""
+GOLD = r"""iw as (select item_id as query_id, regexp_extract_all(text, '[^\s]+') as w, least(8, len(regexp_extract_all(text, '[^\s]+'))) as n from benchmark),
+ir as (select distinct query_id, n, array_to_string(w[i:i + n - 1], ' ') as run from (select query_id, w, n, unnest(generate_series(1, len(w) - n + 1)) as i from iw where n > 0)),
+dw as (select doc_id, regexp_extract_all(text, '[^\s]+') as w from documents),
+dr as (select distinct doc_id, n, array_to_string(w[i:i + n - 1], ' ') as run from (select doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) as i from dw, (select distinct n from ir) where len(w) >= n)),
+gold as (select query_id, doc_id from (select query_id, doc_id, count(*) as c from ir join dr using (n, run) group by all) join (select query_id, count(*) as n_runs from ir group by 1) using (query_id) where 2 * c >= n_runs)"""
 
 SPACED = r"trim(regexp_replace(coalesce({0}, ''), '\s+', ' ', 'g'))"
 OUTSIDE = r"[^A-Za-zÀ-ỹĐđ0-9\s''_+]"
@@ -64,10 +65,21 @@ PACKED = f"replace({MATCH}, ' ', '')"
 TRIGRAMS = f"case when length({PACKED}) < 3 then []::varchar[] else list_distinct(list_transform(generate_series(1, length({PACKED}) - 2), lambda i: substring({PACKED}, i, 3))) end"
 SHARE = "case when len({0}) > 0 then len(list_intersect({0}, {1}))::double / len({0}) else 0::double end"
 TERMS = "list_filter(list_distinct(" + T + "), lambda x: length(x) > 2)"
-ANSWERED = f"""{CONTENT}, an as (select query_id, max(case when rank = 1 then substring(content, 1, 300) end) as answer,
-  string_agg(substring(content, 301, 2000), ' ' order by rank) as context, count(*) as n_docs from ct where rank <= 3 group by query_id),
+ANSWERED = f"""{CONTENT}, an as (select query_id, max(case when rank = 1 then content end) as answer,
+  coalesce(string_agg(content, ' ' order by rank) filter (where rank > 1), '') as context, count(*) as n_docs from ct where rank <= 3 group by query_id),
 aq as (select an.*, text as query from an join benchmark on item_id = query_id)"""
 
+SQL = lambda p: p.replace("'", "''")
+LOW = SPACED.join(("lower(", ")"))
+HINTED = " or ".join(f"contains({LOW}, '{h}')" for h in tx.COMPLEX_HINTS)
+EXTRACT = " or ".join(f"regexp_matches({{0}}, '{SQL(p)}')" for p in tx.EXTRACTIVE_PATTERNS)
+NAMED = f"regexp_matches({LOW}, '{SQL(tx.ENTITY_PATTERN)}') or regexp_matches({{0}}, '{SQL(tx.QUOTED_PATTERN)}') or regexp_matches({{0}}, '{SQL(tx.UPPER_PATTERN).replace('{', '{{').replace('}', '}}')}')"
+COMPLEXITY = f"case when {LOW} = '' then 'normal' when {HINTED} then 'complex' when {EXTRACT.replace('{1,}', '{{1,}}').replace('{0,40}', '{{0,40}}').replace('{0,30}', '{{0,30}}')} or (len(string_split({LOW}, ' ')) <= 10 and ({NAMED.replace('{2,}', '{{2,}}')})) then 'simple_extractive' else 'normal' end"
+MISMATCH = rf"""select conv_id, turn, case when b = '' then false when regexp_matches(b, '{tx.CJK}') then true when regexp_matches(lower(b), '{tx.DIACRITIC}') then false when len(f) = 0 then false
+else (vi = 0 and en >= greatest(3, len(f) // 5)) or (vi < 2 and len(f) >= 8) end as mismatch from (select *, len(list_filter(f, lambda x: x in ({', '.join(f"'{w}'" for w in tx.VI_COMMON)}))) as vi, len(list_filter(f, lambda x: x in ({', '.join(f"'{w}'" for w in tx.EN_COMMON)}))) as en
+from (select *, list_transform(regexp_extract_all(b, '[A-Za-zÀ-ỹĐđ0-9'']+'), lambda x: lower(x)) as f from (select conv_id, turn, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') as b from conversations)))"""
+GENERIC = " or ".join(f"contains(m, '{p}')" for p in tx.GENERIC_PHRASES)
+
 EVAL = """ev as (select event_id // 2 as example_id, event_id as seq, case when event_id % 2 = 0 then 'standard' else 'advanced' end as mode,
   event_type as category, value as latency_ms, json_extract_string(props, '$.k')::double / 100 as confidence,
   user_id % 2 = 0 as retried, event_type = 'error' as abstained, value > 10 as cited from events)"""
@@ -126,8 +138,29 @@ k as (select *, case when qc <= 0 then 'no_evidence' when ac < 0.02 then 'halluc
 n_docs > 1 and ((contains(body, 'however') and contains(body, 'therefore')) or contains(body, 'conflict')) as conflict from m)
 select query_id, category, array_to_string(miss, ',') as missing, conflict, category = 'no_evidence' as should_retry, category in ('weak_evidence', 'incomplete_answer', 'hallucination') as should_refine,
 case category when 'grounded' then case when conflict then 0.65::double else 0.82::double end when 'incomplete_answer' then 0.62::double when 'weak_evidence' then 0.42::double when 'hallucination' then 0.28::double else 0.35::double end as confidence from k""",
-        "dedupe_rewrites": r"""with r as (select conv_id, turn, regexp_replace(substring(text, 1, 12), '^\s+|\s+$', '', 'g') as r from conversations), f as (select *, row_number() over (partition by conv_id, lower(r) order by turn) as n from r where r <> ''),
+        "dedupe_rewrites": r"""with r as (select conv_id, turn, regexp_replace(text, '^\s+|\s+$', '', 'g') as r from conversations), f as (select *, row_number() over (partition by conv_id, lower(r) order by turn) as n from r where r <> ''),
 p as (select conv_id, r, row_number() over (partition by conv_id order by turn) - 1 as place from f where n = 1) select conv_id, place::int as place, r as rewrite from p where place < 4""",
+        "query_complexity": f"select conv_id, turn, {COMPLEXITY.format('text')} as complexity from conversations where role = 'user'",
+        "query_budget": f"""with c as (select conv_id, turn, {COMPLEXITY.format('text')} as k from conversations where role = 'user')
+select conv_id, turn, case k when 'simple_extractive' then 3 when 'normal' then 5 else 8 end as hybrid_top_k, case k when 'simple_extractive' then 3 when 'normal' then 5 else 6 end as rerank_top_k, case k when 'simple_extractive' then 2 when 'normal' then 3 else 4 end as context_top_k,
+case k when 'simple_extractive' then 1600 when 'normal' then 3000 else 4000 end as context_max_chars, case k when 'simple_extractive' then 384 when 'normal' then 768 else 1536 end as max_tokens from c""",
+        "rerank_policy": f"""with {STATS}, p as (select item_id as query_id, coalesce(n_hits, 0) as n, top, gap, {COMPLEXITY.format('text')} as k from benchmark left join ss on ss.query_id = item_id)
+select query_id, case when n = 0 then 'skipped/no_candidates' when k = 'simple_extractive' then 'score_only/simple_extractive_skip' when n < 4 then 'score_only/few_candidates_skip' when top >= 0.75 and gap >= 0.2 then 'score_only/high_confidence_clear_gap_skip'
+when k in ('normal', 'complex') and (gap is null or gap < 0.2) then 'cross_encoder/ambiguous_scores_use_cross_encoder' else 'score_only/score_only_default' end as policy from p""",
+        "language_mismatch": MISMATCH,
+        "grounding_class": f"""with {ANSWERED}, k as (select query_id, n_docs, query_id % 2 as cited, {MATCH.format('answer')} as m, {KEYWORDS.format('answer')} as a, {KEYWORDS.format('context')} as c, {PACKED.format('answer')} as pa, {PACKED.format('context')} as pc from aq),
+g as (select *, case when length(pa) < 3 then []::varchar[] else list_distinct(list_transform(generate_series(1, length(pa) - 2), lambda i: substring(pa, i, 3))) end as r from k),
+t as (select *, round(case when len(r) > 0 then len(list_filter(r, lambda x: contains(pc, x)))::double / len(r) else 0::double end, 4) as runs from g),
+v as (select *, round(case when len(a) > 0 then 0.8::double * {SHARE.format('a', 'c')} + 0.2::double * runs else runs end, 4) as s from t)
+select query_id, case when cited > 0 then case when s >= 0.12 then 'strong_overlap_with_citations/false' when s >= 0.02 then 'weak_overlap_with_citations/false' when s >= 0.005 then 'very_low_overlap_with_citations/false' else 'almost_no_overlap_even_with_citations/true' end
+when m = '' or {GENERIC} or len(a) <= 2 then 'generic_answer_without_citations/true' when s >= 0.12 then 'strong_overlap_without_citations/false' when s >= 0.04 then 'weak_overlap_without_citations/false' else 'low_overlap_without_citations/true' end as grounding from v""",
+        "extractive_answer": r"""with l as (select doc_id, doc_id % 50 as n, coalesce(source, 'x') as s, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\r\n|[\n\r]'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') as ls from documents),
+b as (select *, regexp_replace(substring(array_to_string(ls, ' '), 1, 900), '^\s+|\s+$', '', 'g') as body from l)
+select doc_id, case when doc_id % 3 = 0 then 'title_article_match' when doc_id % 3 = 1 and body <> '' then 'article_content_match' else 'not_simple_query' end as reason,
+case when doc_id % 3 = 0 then 'Tên của Điều ' || n || ' là: ' || s || '.' when doc_id % 3 = 1 and body <> '' then 'Điều ' || n || ' quy định:' || chr(10) || body end as answer from b""",
+        "gold_selector_metrics": f"""with {bm25(K)}, {GOLD}, g as (select query_id, count(*) as n_gold from gold group by 1), r as (select query_id, count(*) as n_ranked from bm group by 1),
+f as (select query_id, min(rank) as first, sum(1 / log2(rank + 1)) as dcg from bm join gold using (query_id, doc_id) group by 1)
+select query_id, n_gold, coalesce(n_ranked, 0) as n_ranked, first is not null as hit, round(coalesce(1::double / first, 0), 6) as mrr, round(coalesce(dcg, 0) / list_sum(list_transform(generate_series(1, greatest(1, least(n_gold, n_ranked))), lambda i: 1 / log2(i + 1))), 6) as ndcg from g left join r using (query_id) left join f using (query_id)""",
         "ocr_decision": rf"""with b as (select doc_id, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') as b, doc_id % 2 as images from documents), t as (select *, {T.format('b')} as t, length(regexp_replace(b, '[^\p{{L}}\p{{N}}]', '', 'g')) as an from b)
 select doc_id, case when length(b) < 100 then 'short_text' when contains(b, chr(65533)) then 'replacement_characters' when images > 0 and len(t) <= 6 then 'few_tokens_with_images' when images > 0 and an::double / length(b) < 0.45 then 'low_alnum_with_images'
 when len(t) >= 12 and len(list_distinct(t))::double / len(t) < 0.25 then 'repetitive' else 'none' end as decision from t""",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as tx
-from .operators import chunking, evaluate, index, judge, rank, retrieve
+from .operators import chunking, evaluate, extract, index, judge, rank, retrieve, selectors
 
 K = 10
 
@@ -234,11 +234,11 @@ def history_trim(spark, sf_dir):
 
 
 def answered(spark, sf_dir):
-    """The best document's first 300 characters as an answer to each item; the first 2,000 of the best three as its context."""
+    """The best document, whole, as an answer to each item; the next two, whole, as its context."""
     best = contents(spark, sf_dir, 3)
-    piece = F.when(F.col("rank") == 1, F.substring("content", 1, 300))
-    context = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.substring("content", 301, 2000).alias("c")))), lambda x: x["c"]), " ")
-    grouped = best.groupBy("query_id").agg(F.max(piece).alias("answer"), context.alias("context"), F.count("*").alias("n_docs"))
+    answer = F.max(F.when(F.col("rank") == 1, F.col("content")))
+    context = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("rank") > 1, F.struct("rank", "content")))), lambda x: x["content"]), " ")
+    grouped = best.groupBy("query_id").agg(answer.alias("answer"), context.alias("context"), F.count("*").alias("n_docs"))
     return grouped.join(asked(spark, sf_dir), "query_id")
 
 
@@ -266,10 +266,19 @@ def critique_heuristic(spark, sf_dir):
 
 def dedupe_rewrites(spark, sf_dir):
     """A conversation's texts as rewrites of one query: distinct but for case, in the order of turns, the first four."""
-    lists = turns(spark, sf_dir).groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.substring("text", 1, 12).alias("t")))), lambda x: x["t"]).alias("r"))
+    lists = turns(spark, sf_dir).groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.col("text").alias("t")))), lambda x: x["t"]).alias("r"))
     return lists.select("conv_id", F.posexplode(judge.distinct_rewrites(F.col("r"))).alias("place", "rewrite"))
 
 
+def extractive_answer(spark, sf_dir):
+    """Questions for the title or the text of an article, the article being a document under a heading; every third asks for neither."""
+    d = table(spark, sf_dir, "documents").withColumn("n", (F.col("doc_id") % 50).cast("string"))
+    content = F.concat(F.lit("Điều "), "n", F.lit(". "), F.coalesce("source", F.lit("x")), F.lit("\n"), F.coalesce("text", F.lit("")))
+    query = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Tên Điều "), "n", F.lit(" là gì?"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("Điều "), "n", F.lit(" quy định gì?"))).otherwise("Kể về nó")
+    d = d.select("doc_id", query.alias("q"), content.alias("c"))
+    return d.select("doc_id", extract.extractive(F.col("q"), F.col("c"), F.lit("vi"), F.lit(0.9)).alias("x")).select("doc_id", "x.reason", "x.answer")
+
+
 def ocr_decision(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", judge.needs_ocr(F.col("text"), F.pmod("doc_id", F.lit(2))).alias("decision"))
 
@@ -278,12 +287,24 @@ def ocr_decision(spark, sf_dir):
 
 
 def gold(spark, sf_dir):
-    """query_id, key: documents that hold the first eight words of an item."""
-    first = F.array_join(F.slice(chunking.words(F.col("query")), 1, 8), " ")
-    items = asked(spark, sf_dir).where(F.size(chunking.words(F.col("query"))) >= 8).select("query_id", first.alias("run"))
-    runs = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - 7)), lambda i: F.array_join(F.slice(w, i, F.lit(8)), " "))
-    held = chunks(spark, sf_dir).select(F.col("chunk_id").alias("key"), F.explode(F.array_distinct(tx.let(chunking.words(F.col("text")), runs))).alias("run"))
-    return held.join(items, "run").select("query_id", "key").distinct()
+    """query_id, key: documents that hold at least half of an item's distinct runs of eight words, or of all its words if these are fewer."""
+    split = asked(spark, sf_dir).select("query_id", chunking.words(F.col("query")).alias("w")).where(F.size("w") > 0).withColumn("n", F.least(F.lit(8), F.size("w")))
+    runs = lambda w, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.xxhash64(F.slice(w, i, n))))
+    items = split.select("query_id", "n", runs(F.col("w"), F.col("n")).alias("runs")).select("query_id", "n", F.size("runs").alias("n_runs"), F.explode("runs").alias("run"))
+    # At most eight lengths. Documents keep the runs that some item has before anything is shuffled.
+    lengths = sorted(r["n"] for r in split.select("n").distinct().collect())
+    docs = chunks(spark, sf_dir).select(F.col("chunk_id").alias("key"), chunking.words(F.col("text")).alias("w"), F.explode(F.array(*[F.lit(n) for n in lengths])).alias("n")).where(F.size("w") >= F.col("n"))
+    held = docs.select("key", "n", F.explode(runs(F.col("w"), F.col("n"))).alias("run")).join(items, ["n", "run"])
+    return held.groupBy("query_id", "key", "n_runs").agg(F.count("*").alias("c")).where(2 * F.col("c") >= F.col("n_runs")).select("query_id", "key")
+
+
+def gold_selector_metrics(spark, sf_dir):
+    """The metrics again with selectors for the gold documents: a document's id for even ones, the name of its file for odd ones."""
+    key = F.col("key").cast("string")
+    golds = gold(spark, sf_dir).select(F.col("query_id").alias("example_id"), F.when(F.col("key") % 2 == 0, F.concat(F.lit("doc_id="), key)).otherwise(F.concat(key, F.lit(".md"))).alias("gold"))
+    doc = F.col("chunk_id").cast("string")
+    ranked = bm25_hits(spark, sf_dir).select(F.col("query_id").alias("example_id"), "rank", F.concat(doc, F.lit("_chunk_0")).alias("chunk_id"), F.lit(None).cast("string").alias("doc_id"), F.concat(F.lit("docs/"), doc, F.lit(".md")).alias("source"), *[F.lit(None).cast("string").alias(c) for c in ("path", "title", "section")])
+    return selectors.greedy_metrics(golds, ranked).withColumnRenamed("example_id", "query_id")
 
 
 def retrieval_metrics(spark, sf_dir):
@@ -358,7 +379,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         score_statistics, rerank_policy, retrieval_confidence, context_prefix, context_pack, citations, clean_text,
         paragraph_split, overlap_windows, chunk_documents, query_complexity, query_budget, language_detect, language_mismatch,
         retrieval_gate, history_trim, keyword_overlap, char_trigram_precision, grounding_class, critique_heuristic,
-        dedupe_rewrites, ocr_decision, retrieval_metrics, citation_gold_overlap, eval_category_summary, paired_delta,
+        dedupe_rewrites, ocr_decision, extractive_answer, retrieval_metrics, gold_selector_metrics, citation_gold_overlap, eval_category_summary, paired_delta,
         latency_percentiles, compare_verdict, advanced_status,
     )
     return {f.__name__: f for f in own} | workflow.queries()
