@@ -34,7 +34,7 @@ LEAST_GAIN = 5e-3
 #: Texts and bytes of text that a task takes at a time, and bytes of text in a scoring block, about.
 TEXTS = 4096
 SLICE_BYTES = 8 << 20
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 #: Partitions at most that the blocks are dealt to.
 PARTITIONS = 1 << 14
 #: Counts of a word's neighbours that are weighed at a time.
