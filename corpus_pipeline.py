@@ -1,14 +1,17 @@
-"""The corpus pipeline: language ID, near-dedup, PII, source mixing and BPE encoding, each over all that the one before kept."""
+"""The corpus pipeline: language ID, near-dedup, PII, source mixing and BPE encoding, each over all that the one before kept.
+
+Null texts and texts without a letter go in the first stage; of equal rows one stays; null ids and sources are kept as they
+are; an empty table gives an empty table; other columns pass through all stages but the last.
+"""
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm import bpe, dedup, language, mixing, pii
 from corpusloom.llm.common import cut, documents
 
-TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+TOKENIZER = "word_bpe_49k.json"
 
 
 def tell_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +36,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and the hash of the decoded text of every document of the mix."""
-    return bpe.encode(docs, TOKENIZER, outputs=("n_tokens", "ids", "decoded_sha256"))
+    import public_tokenizers
+
+    return bpe.encode(docs, public_tokenizers.path(TOKENIZER), outputs=("n_tokens", "ids", "decoded_sha256"))
 
 
 STAGES = [
