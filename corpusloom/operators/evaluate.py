@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
+from . import judge
+
 
 def retrieval_metrics(ranked: DataFrame, gold: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, n_gold, n_ranked, hit, mrr, ndcg of query_id, rank, key against query_id, key; each gold counts once."""
@@ -37,6 +40,29 @@ def category_summary(rows: DataFrame) -> DataFrame:
     )
 
 
+def behavior(expected: Column, status: Column, loops: Column, stop_reason: Column) -> dict[str, Column]:
+    """abstain_match: whether the run abstained where it was expected, and only there; retry_used: a second loop, or a stop reason that names a retry."""
+    abstained = F.lower(F.coalesce(status, F.lit("answered"))).isin("abstained", "insufficient_evidence")
+    again = F.coalesce(loops > 1, F.lit(False)) | F.coalesce(F.lower(stop_reason).contains("retry"), F.lit(False))
+    return {"abstain_match": F.coalesce(expected == "abstain", F.lit(False)) == abstained, "retry_used": again}
+
+
+def term_metrics(answer: Column, reference: Column, context: Column) -> dict[str, Column]:
+    """keyword_hit: whether answer and reference share a term, null without a reference; groundedness_proxy: the share of the
+    answer's terms in the context, null without a context."""
+    a, none = judge.terms(answer), F.lit("")
+    share = tx.let(a, lambda t: F.when(F.size(t) > 0, F.round(F.size(F.array_intersect(t, judge.terms(context))) / F.size(t), 6)).otherwise(0.0))
+    return {
+        "keyword_hit": F.when(tx.stripped(F.coalesce(reference, none)) != "", F.arrays_overlap(a, judge.terms(reference))),
+        "groundedness_proxy": F.when(F.coalesce(context, none) != "", share),
+    }
+
+
+def with_branches(direct: DataFrame, branches: DataFrame) -> DataFrame:
+    """All direct rows, and the branches of compared runs whose example and mode have no direct row; both with the same columns."""
+    return direct.unionByName(branches.join(direct.select("example_id", "mode").distinct(), ["example_id", "mode"], "left_anti"))
+
+
 def paired_delta(rows: DataFrame, base: str = "standard", other: str = "advanced") -> DataFrame:
     """n_pairs and mean differences of other less base, of examples that have both; the last row of an example counts."""
     last = Window.partitionBy("example_id", "mode").orderBy(F.desc("seq"))

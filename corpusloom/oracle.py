@@ -125,6 +125,18 @@ select query_id, rank::int as rank, round(score, 4) as score from (select *, row
         "overlap_windows": r"""with w as (select doc_id, len(regexp_extract_all(text, '[^\s]+'))::int as n_words from documents), k as (select *, greatest(0, ceil((n_words - 320) / 280.0))::int as k from w where n_words > 0),
 l as (select *, case when k > 0 and n_words - k * 280 <= 1 then k - 1 else k end as last from k) select doc_id, n_words, (unnest(generate_series(0, last)) * 280)::int as start from l""",
         "history_trim": r"select conv_id, turn, role from (select *, row_number() over (partition by conv_id order by turn desc) as n from conversations) where n <= 6 and role in ('user', 'assistant') and regexp_replace(text, '^\s+|\s+$', '', 'g') <> ''",
+        "history_render": r"""with m as (select conv_id, turn, role, regexp_replace(text, '^\s+|\s+$', '', 'g') as t, row_number() over (partition by conv_id order by turn desc) as n from conversations),
+k as (select *, row_number() over (partition by conv_id order by turn) as i from m where n <= 6 and role in ('user', 'assistant') and t <> ''),
+h as (select conv_id, string_agg(i || '. ' || case when role = 'user' then 'User' else 'Assistant' end || ': ' || t, chr(10) order by i) as history from k group by conv_id)
+select c.conv_id, coalesce(history, '(empty)') as history from (select distinct conv_id from conversations) c left join h on h.conv_id = c.conv_id""",
+        "behavior_metrics": f"with {EVAL} select seq, (seq % 3 = 1) = coalesce(abstained, false) as abstain_match, seq % 4 > 1 or seq % 5 = 0 as retry_used from ev",
+        "term_metrics": f"""with {ANSWERED}, k as (select query_id, query, context, {TERMS.format('answer')} as a, {TERMS.format('query')} as q, {TERMS.format('context')} as c from aq)
+select query_id, case when trim(query) <> '' then len(list_intersect(a, q)) > 0 end as keyword_hit, case when context <> '' then round(case when len(a) > 0 then len(list_intersect(a, c))::double / len(a) else 0::double end, 6) end as groundedness_proxy from k""",
+        "direct_and_branches": f"with {EVAL}, d as (select example_id, mode, seq from ev where seq % 3 = 0) select *, 'direct' as run from d union all select example_id, mode, seq, 'compare' as run from ev where not exists (select 1 from d where d.example_id = ev.example_id and d.mode = ev.mode)",
+        "coerced_values": """with e as (select event_id, event_type, json_extract_string(props, '$.k') as k from events)
+select event_id, coalesce(lower(k) in ('true', '1', 'yes', 'y'), false) as flag, coalesce(try_cast(k as double), -1) as number, greatest(0, coalesce(try_cast(k as bigint), 0)) as ms,
+case when event_id % 8 > 0 then greatest(0, coalesce(round(try_cast(k as double) / (event_id % 8), 6), 0)) else 0::double end as share,
+case when event_id % 2 = 0 then 'grounded' when event_type in ('no_evidence', 'weak_evidence', 'incomplete_answer', 'hallucination', 'grounded') then event_type end as category from e""",
         "keyword_overlap": f"with {ANSWERED}, k as (select query_id, {KEYWORDS.format('answer')} as a, {KEYWORDS.format('context')} as c from aq) select query_id, len(a)::int as n_keywords, round({SHARE.format('a', 'c')}, 6) as overlap from k",
         "char_trigram_precision": f"with {ANSWERED}, p as (select query_id, {PACKED.format('answer')} as a, {PACKED.format('context')} as c from aq), g as (select query_id, case when length(a) < 3 then []::varchar[] else list_distinct(list_transform(generate_series(1, length(a) - 2), lambda i: substring(a, i, 3))) end as a, c from p) select query_id, round(case when len(a) > 0 then len(list_filter(a, lambda x: contains(c, x)))::double / len(a) else 0::double end, 6) as precision from g",
         "retrieval_gate": rf"""with n as (select conv_id, turn, lower(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')) as q from conversations), t as (select *, list_distinct({T.format('q')}) as t from n)

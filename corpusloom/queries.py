@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as tx
-from .operators import chunking, evaluate, extract, index, judge, rank, retrieve, selectors
+from .operators import chunking, evaluate, extract, index, judge, rank, replies, retrieve, selectors
 
 K = 10
 
@@ -233,6 +233,12 @@ def history_trim(spark, sf_dir):
     return last.where(F.col("role").isin("user", "assistant") & (tx.stripped(F.col("text")) != "")).select("conv_id", "turn", "role")
 
 
+def history_render(spark, sf_dir):
+    """The same messages as numbered lines, a row for each conversation."""
+    kept = history_trim(spark, sf_dir).join(turns(spark, sf_dir), ["conv_id", "turn", "role"])
+    return replies.history_lines(kept, turns(spark, sf_dir))
+
+
 def answered(spark, sf_dir):
     """The best document, whole, as an answer to each item; the next two, whole, as its context."""
     best = contents(spark, sf_dir, 3)
@@ -329,6 +335,36 @@ def eval_rows(spark, sf_dir):
     )
 
 
+def behavior_metrics(spark, sf_dir):
+    """What was expected of a run by its number: an answer, an abstention or a retry; up to three loops."""
+    r = eval_rows(spark, sf_dir)
+    expected = F.element_at(F.array(*[F.lit(x) for x in ("answer", "abstain", "retry")]), (F.col("seq") % 3 + 1).cast("int"))
+    status = F.when(F.col("abstained"), "Insufficient_Evidence").when(F.col("cited"), "answered")
+    m = evaluate.behavior(expected, status, F.col("seq") % 4, F.when(F.col("seq") % 5 == 0, "Retry_limit"))
+    return r.select("seq", *[v.alias(k) for k, v in m.items()])
+
+
+def term_metrics(spark, sf_dir):
+    m = evaluate.term_metrics(F.col("answer"), F.col("query"), F.col("context"))
+    return answered(spark, sf_dir).select("query_id", *[v.alias(k) for k, v in m.items()])
+
+
+def direct_and_branches(spark, sf_dir):
+    """Runs whose number is divisible by 3 as direct ones, all runs as branches."""
+    r = eval_rows(spark, sf_dir).select("example_id", "mode", "seq")
+    return evaluate.with_branches(r.where("seq % 3 = 0").withColumn("run", F.lit("direct")), r.withColumn("run", F.lit("compare")))
+
+
+def coerced_values(spark, sf_dir):
+    """Words, numbers and their ratios out of the properties of events, and an event's category out of a note."""
+    e = table(spark, sf_dir, "events")
+    k, note = F.get_json_object("props", "$.k"), F.concat(F.lit(" "), F.when(F.col("event_id") % 2 == 0, "Grounded").otherwise(F.col("event_type")), F.lit(": x"))
+    return e.select(
+        "event_id", replies.to_bool(k, False).alias("flag"), replies.to_double(k, -1.0).alias("number"), replies.non_negative(k).alias("ms"),
+        replies.ratio(k, F.col("event_id") % 8).alias("share"), replies.note_category(note).alias("category"),
+    )
+
+
 def eval_category_summary(spark, sf_dir):
     return evaluate.category_summary(eval_rows(spark, sf_dir))
 
@@ -378,8 +414,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         flat_ip_topk, dense_zero_norm, rrf_fusion, doc_dedupe, post_filter_topk, active_doc_semijoin, score_only_rerank,
         score_statistics, rerank_policy, retrieval_confidence, context_prefix, context_pack, citations, clean_text,
         paragraph_split, overlap_windows, chunk_documents, query_complexity, query_budget, language_detect, language_mismatch,
-        retrieval_gate, history_trim, keyword_overlap, char_trigram_precision, grounding_class, critique_heuristic,
-        dedupe_rewrites, ocr_decision, extractive_answer, retrieval_metrics, gold_selector_metrics, citation_gold_overlap, eval_category_summary, paired_delta,
+        retrieval_gate, history_trim, history_render, keyword_overlap, char_trigram_precision, grounding_class, critique_heuristic,
+        dedupe_rewrites, ocr_decision, extractive_answer, retrieval_metrics, gold_selector_metrics, citation_gold_overlap, behavior_metrics, term_metrics, direct_and_branches, coerced_values, eval_category_summary, paired_delta,
         latency_percentiles, compare_verdict, advanced_status,
     )
     return {f.__name__: f for f in own} | workflow.queries()
