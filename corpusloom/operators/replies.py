@@ -53,3 +53,44 @@ def history_lines(messages: DataFrame, conversations: DataFrame) -> DataFrame:
     )
     lines = messages.groupBy("conv_id").agg(F.array_join(m, "\n").alias("history"))
     return conversations.select("conv_id").distinct().join(lines, "conv_id", "left").select("conv_id", F.coalesce("history", F.lit("(empty)")).alias("history"))
+
+
+# The fence of a block of JSON, and the answer to an empty reply.
+FENCE = r"(?is)```(?:json)?\s*(.*?)\s*```"
+NO_REPLY = "Insufficient evidence to answer reliably."
+
+
+def json_payload(reply: Column) -> Column:
+    """The first text in a reply that is JSON: a fenced block, the whole, from the first brace to the last, from the first
+    bracket to the last. Null where there is none."""
+    text = tx.stripped(F.coalesce(reply, F.lit("")))
+    tried = F.concat(
+        F.regexp_extract_all(text, F.lit(FENCE), F.lit(1)),
+        F.array(text, F.regexp_extract(text, r"(?s)\{.*\}", 0), F.regexp_extract(text, r"(?s)\[.*\]", 0)),
+    )
+    return F.get(F.filter(tried, lambda x: (x != "") & F.try_parse_json(x).isNotNull()), F.lit(0))
+
+
+def json_object(reply: Column) -> Column:
+    """The payload if it is an object, else null."""
+    return tx.let(json_payload(reply), lambda p: F.when(p.startswith("{"), p))
+
+
+def json_list(reply: Column) -> Column:
+    """The payload if it is a list, else null."""
+    return tx.let(json_payload(reply), lambda p: F.when(p.startswith("["), p))
+
+
+def text_field(payload: Column, name: str) -> Column:
+    """A field of a JSON object if it is a string, else null."""
+    field = F.try_variant_get(F.try_parse_json(payload), f"$.{name}", "variant")
+    return F.when(F.schema_of_variant(field) == "STRING", F.try_variant_get(field, "$", "string"))
+
+
+def structured_answer(reply: Column) -> Column:
+    """Struct of answer and status: the answer field of a reply's JSON object, once more unwrapped if it holds such an object
+    itself; else the whole reply as text; an empty reply has no evidence."""
+    plain, found = tx.stripped(F.coalesce(reply, F.lit(""))), text_field(json_object(reply), "answer")
+    nested = tx.let(found, lambda a: F.coalesce(F.nullif(tx.stripped(text_field(json_object(a), "answer")), F.lit("")), tx.stripped(a)))
+    status = F.coalesce(F.when(found.isNotNull(), text_field(json_object(reply), "status")), F.when((plain == "") & found.isNull(), "insufficient_evidence"), F.lit("answered"))
+    return F.struct(F.coalesce(nested, F.when(plain == "", NO_REPLY).otherwise(plain)).alias("answer"), status.alias("status"))

@@ -49,3 +49,22 @@ def test_branches_without_a_direct_run(spark):
     branches = spark.createDataFrame([(1, "standard", "c"), (1, "advanced", "c"), (2, "standard", "c")], schema)
     got = sorted(map(tuple, evaluate.with_branches(direct, branches).collect()))
     assert got == [(1, "advanced", "c"), (1, "standard", "d"), (1, "standard", "d2"), (2, "standard", "c")]
+
+
+def test_json_in_replies(spark):
+    replies_of = {
+        '{"answer": " yes ", "status": "partial"}': ('{"answer": " yes ", "status": "partial"}', ("yes", "partial")),
+        'Sure:\n```json\n{"answer": "a"}\n```\nbye {': ('{"answer": "a"}', ("a", "answered")),
+        "```\nnot json\n```\n[1, 2]": ("[1, 2]", ("```\nnot json\n```\n[1, 2]", "answered")),
+        'x {"answer": "{\\"answer\\": \\"in\\"}"} y': ('{"answer": "{\\"answer\\": \\"in\\"}"}', ("in", "answered")),
+        '{"answer": 3}': ('{"answer": 3}', ('{"answer": 3}', "answered")),
+        "just words": (None, ("just words", "answered")),
+        "} broken {": (None, ("} broken {", "answered")),
+        " ": (None, ("Insufficient evidence to answer reliably.", "insufficient_evidence")),
+        None: (None, ("Insufficient evidence to answer reliably.", "insufficient_evidence")),
+    }
+    t = spark.createDataFrame([(r,) for r in replies_of], "r string")
+    got = t.select(replies.json_payload(F.col("r")), replies.structured_answer(F.col("r"))).collect()
+    assert [(a, tuple(b)) for a, b in got] == list(replies_of.values())
+    kinds = spark.createDataFrame([("[1]",), ('{"a": 1}',), ("7",)], "r string").select(replies.json_object(F.col("r")), replies.json_list(F.col("r"))).collect()
+    assert [tuple(r) for r in kinds] == [(None, "[1]"), ('{"a": 1}', None), (None, None)]
