@@ -164,6 +164,41 @@ def cautious(context: Column, language: Column, otherwise: Column) -> Column:
     return F.when(F.coalesce(lead, F.lit("")) == "", otherwise).when(language == "vi", vi).otherwise(en)
 
 
+# Bounds of the semantic score of grounding.
+SEMANTIC_LEAST, SEMANTIC_WEIGHT = 0.58, 0.35
+LONG_ANSWER, LOW_CONFIDENCE, LOW_LEXICAL = 320, 0.35, 0.04
+
+
+def semantic_policy(mode: Column, complexity: Column, lexical: Column, citations: Column, length: Column, confidence: Column, fast_path: Column, policy: str = "adaptive", modes: tuple[str, ...] = ("advanced", "compare")) -> Column:
+    """Struct of use and reason: whether a model's likeness is asked for beside the lexical score, and why.
+
+    modes are those that may ask a model; policy is adaptive, strict, or one of off, lexical and lexical_only.
+    """
+    say = lambda use, reason: F.struct(F.lit(use).alias("use"), (F.lit(reason) if isinstance(reason, str) else reason).alias("reason"))
+    allowed = mode.isin(*modes)
+    off = F.concat(mode, F.lit("_semantic_disabled"))
+    body = F.when(fast_path, say(False, "fast_path_lexical_only"))
+    if policy in ("off", "lexical", "lexical_only"):
+        return body.otherwise(say(False, "policy_lexical_only"))
+    if policy == "strict":
+        return body.when(allowed, say(True, "strict_policy")).otherwise(say(False, off))
+    risks = F.concat_ws(
+        ",", F.when(citations <= 0, "no_citations"), F.when(length >= LONG_ANSWER, "long_answer"),
+        F.when(confidence < LOW_CONFIDENCE, "low_retrieval_confidence"), F.when(lexical < LOW_LEXICAL, "low_lexical_score"),
+    )
+    plain = mode == "standard"
+    body = body.when(plain & complexity.isin("simple", "simple_extractive"), say(False, "standard_simple_lexical_only")).when(plain & ~allowed, say(False, off))
+    body = body.when(plain & (complexity == "complex"), say(True, "standard_complex_semantic_allowed"))
+    body = body.when(plain & (risks != ""), say(True, F.concat(F.lit("standard_normal_risky:"), risks))).when(plain, say(False, "standard_normal_lexical_ok"))
+    return body.when(allowed, say(True, F.concat(mode, F.lit("_semantic_allowed")))).otherwise(say(False, off))
+
+
+def blended(lexical: Column, semantic: Column) -> Column:
+    """The lexical score, raised by a model's likeness where that is sure enough; never lower than it was."""
+    mixed = (1 - SEMANTIC_WEIGHT) * lexical + SEMANTIC_WEIGHT * semantic
+    return F.when(semantic >= SEMANTIC_LEAST, F.round(F.greatest(lexical, F.least(F.lit(1.0), mixed)), 4)).otherwise(lexical)
+
+
 def note_category(note: Column) -> Column:
     """The category that a critique's note begins with, else null."""
     found = F.regexp_extract(F.lower(tx.stripped(note)), "^(no_evidence|weak_evidence|incomplete_answer|hallucination|grounded):", 1)

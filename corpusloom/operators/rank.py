@@ -108,5 +108,9 @@ def citations(hits: DataFrame, most: int = 5, snippet: int = 360) -> DataFrame:
     return placed.select("query_id", "place", "chunk_id", F.substring("content", 1, snippet).alias("snippet"))
 
 
-def citation_line(place: Column, source: Column, doc_id: Column, chunk_id: Column) -> Column:
-    return F.concat_ws(" | ", F.concat(F.lit("["), place.cast("string"), F.lit("]")), F.concat(F.lit("source="), source), F.concat(F.lit("doc="), doc_id.cast("string")), F.concat(F.lit("chunk="), chunk_id.cast("string")))
+def citation_line(place: Column, title: Column, source: Column, doc_id: Column, chunk_id: Column, section: Column, page: Column) -> Column:
+    """A numbered line; a section or page that is not there is left out."""
+    text = lambda c: F.coalesce(c.cast("string"), F.lit("None"))
+    head = F.concat(F.lit("["), place.cast("string"), F.lit("] "), F.coalesce(F.nullif(title, F.lit("")), F.lit("Untitled")))
+    named = [F.concat(F.lit(f"{n}="), text(c)) for n, c in (("source", source), ("doc_id", doc_id), ("chunk_id", chunk_id))]
+    return F.concat_ws(" | ", head, *named, F.concat(F.lit("section="), F.nullif(section, F.lit(""))), F.concat(F.lit("page="), page.cast("string")))

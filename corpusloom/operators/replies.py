@@ -94,3 +94,50 @@ def structured_answer(reply: Column) -> Column:
     nested = tx.let(found, lambda a: F.coalesce(F.nullif(tx.stripped(text_field(json_object(a), "answer")), F.lit("")), tx.stripped(a)))
     status = F.coalesce(F.when(found.isNotNull(), text_field(json_object(reply), "status")), F.when((plain == "") & found.isNull(), "insufficient_evidence"), F.lit("answered"))
     return F.struct(F.coalesce(nested, F.when(plain == "", NO_REPLY).otherwise(plain)).alias("answer"), status.alias("status"))
+
+
+def rendered(template: Column, variables: dict[str, Column]) -> Column:
+    """A template with $name and ${name} replaced by values (null: empty); other names stay as they are and $$ is one $.
+
+    A value is never looked at again, so names inside of it stay.
+    """
+    pieces = F.regexp_extract_all(template, F.lit(r"(?s)(\$\$|\$\{[a-zA-Z_][a-zA-Z0-9_]*\}|\$[a-zA-Z_][a-zA-Z0-9_]*|\$|[^$]+)"), F.lit(1))
+
+    def filled(piece: Column) -> Column:
+        out = F.when(piece == "$$", "$")
+        for name, value in variables.items():
+            out = out.when(piece.isin(f"${name}", f"${{{name}}}"), F.coalesce(value.cast("string"), F.lit("")))
+        return out.otherwise(piece)
+
+    return F.array_join(F.transform(pieces, filled), "")
+
+
+def cache_key(*parts: Column) -> Column:
+    """The first 24 hexadecimal digits of the SHA-256 of the parts, joined by bars; null reads None."""
+    text = F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("None")) for p in parts])
+    return F.substring(F.sha2(text.cast("binary"), 256), 1, 24)
+
+
+def short_error(message: Column, most: int = 240) -> Column:
+    """A message with single blanks, cut to a length with dots at its end."""
+    text = tx.stripped(F.regexp_replace(F.coalesce(message, F.lit("None")), r"(?U)\s+", " "))
+    return F.when(F.char_length(text) <= most, text).otherwise(F.concat(F.substring(text, 1, most - 3), F.lit("...")))
+
+
+def reply_latency(reply: Column) -> Column:
+    """latency_ms of a reply in JSON; of a compared run without one, that of its first branch that has one, or the branch's last
+    compare_total_ms in its trace. Whole and at least 0; null where there is no number."""
+    v = F.try_parse_json(reply)
+
+    def number(path: str) -> Column:
+        kind = F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+        return F.when(kind.startswith("BIGINT") | kind.startswith("DECIMAL") | kind.startswith("DOUBLE"), F.try_variant_get(v, path, "double"))
+
+    def traced(branch: str) -> Column:
+        totals = F.transform(F.try_variant_get(v, f"$.{branch}.trace", "array<variant>"), lambda s: F.try_variant_get(s, "$.compare_total_ms", "double"))
+        return F.get(F.reverse(F.filter(totals, lambda t: t.isNotNull())), F.lit(0))
+
+    compared = F.lower(tx.stripped(F.coalesce(F.try_variant_get(v, "$.mode", "string"), F.lit("")))) == "compare"
+    inner = F.coalesce(*[c for b in ("standard", "advanced") for c in (number(f"$.{b}.latency_ms"), traced(b))])
+    found = F.coalesce(number("$.latency_ms"), F.when(compared, inner)).cast("long")
+    return F.when(found < 0, 0).otherwise(found)

@@ -94,6 +94,12 @@ SCORED = BRANCH + """, sb as (select *, round(1.8::double * least(citations, 4)
 pr as (select s.example_id, s as s, a as a from sb s join sb a on s.example_id = a.example_id and s.mode = 'standard' and a.mode = 'advanced')"""
 
 
+STORED = """st as (select doc_id % 10 as query_id, doc_id::varchar as doc_id, 's3://raw/Docs/F' || doc_id % 7 || '.' || (['md', 'txt', 'docx'])[doc_id % 3 + 1] as source, case when doc_id % 4 = 0 then 'dir/Own' || doc_id % 7 || '.MD' end as file_name,
+case when doc_id % 5 = 0 then '.PDF' end as file_type, case when doc_id % 6 = 0 then 'OCR_text' else 'text' end as block_type, doc_id % 11 = 0 as ocr, case when doc_id % 8 <> 0 then '2024-01-' || lpad((doc_id % 28 + 1)::varchar, 2, '0') end as uploaded_at from documents)"""
+STATES = """sl as (select *, list_position(['uploaded', 'splitting', 'embedding', 'indexing', 'ready', 'failed', 'deleted'], status) as place from
+(select user_id::varchar as doc_id, case event_type when 'error' then 'failed' when 'login' then 'uploaded' when 'purchase' then 'deleted' else 'ready' end as status, ts, epoch_us(ts) as updated_us from events))"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "tokenize_stats": f"with {TOKENS} select doc_id, len(t)::bigint as n_tokens, len(list_distinct(t))::bigint as n_distinct from tok",
@@ -190,4 +196,35 @@ case when n_gold > 0 then round(coalesce(dcg, 0) / list_sum(list_transform(gener
 case when s.status = 'insufficient_evidence' and a.status <> 'insufficient_evidence' and a.citations > 0 then 'advanced' when a.status = 'insufficient_evidence' and s.status <> 'insufficient_evidence' and s.citations > 0 then 'standard'
 when s.hallucination and not a.hallucination then 'advanced' when a.hallucination and not s.hallucination then 'standard' when s.weak and a.weak then 'both_weak'
 when a.citations <= 0 and a.score > s.score and s.citations > 0 then 'standard' when abs(a.score - s.score) <= 0.35 then 'tie' when a.score > s.score then 'advanced' else 'standard' end as winner from pr""",
+        "metadata_filters": f"""with {STORED}, d as (select *, case when file_name is not null then lower(split_part(file_name, '/', -1)) else lower(split_part(source, '/', -1)) end as name from st),
+k as (select *, case when file_type is not null then 'pdf' else split_part(name, '.', -1) end as kind, block_type = 'OCR_text' or ocr as is_ocr from d)
+select query_id, doc_id from k where case query_id when 0 then doc_id in ('10', '20') when 1 then name in ('f1.txt', 'f5.md') when 2 then kind in ('md', 'txt')
+when 3 then coalesce(uploaded_at between '2024-01-10' and '2024-01-20', false) when 4 then is_ocr when 5 then not is_ocr
+when 6 then name in ('own6.md', 'f6.md', 'f6.txt') and kind in ('md', 'pdf') and uploaded_at is not null and not is_ocr else true end""",
+        "scope_guard": "select doc_id % 10 as query_id, doc_id::varchar as doc_id from documents where doc_id % 10 >= 7",
+        "document_registry": f"""with {STATES}, r as (select doc_id, arg_max(status, (updated_us, place)) as status, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') as created_at, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') as updated_at from sl group by doc_id)
+select doc_id, case when status = 'ready' and doc_id::int % 3 = 0 then 'failed' else status end as status, case when status = 'ready' and doc_id::int % 3 = 0 then true when status = 'failed' then false end as file_gone, created_at, updated_at from r where status <> 'deleted'""",
+        "ready_documents": f"with {STATES} select doc_id from sl group by doc_id having arg_max(status, (updated_us, place)) = 'ready' and doc_id::int % 3 <> 0",
+        "block_counts": """select conv_id as doc_id, count(*) as total_blocks, count(*) filter (turn % 4 = 0) as text_blocks, count(*) filter (turn % 4 = 1) as table_blocks, count(*) filter (turn % 4 = 2) as image_blocks,
+count(*) filter (turn % 4 = 3 or turn % 5 = 0) as ocr_blocks from conversations group by conv_id""",
+        "trace_rankings": """with d as (select conv_id as run_id, turn // 3 as step_no, case when turn // 3 % 2 = 0 then 'retrieve' else 'rerank' end as kind, turn % 3 as doc_no, case when turn % 4 <> 3 then 'd' || turn % 5 || '_chunk_0' else '' end as chunk_id,
+case when turn % 4 <> 3 then 'd' || turn % 5 else '' end as doc_id, 'a/s' || turn % 2 || '.md' as path, case when turn % 5 <> 0 then length(text) % 10 end as ds, case when turn % 5 <> 1 then length(text) % 3 end as ss from conversations),
+m as (select *, max(step_no) filter (kind = 'retrieve') over (partition by run_id) as l, max(step_no) filter (kind = 'rerank') over (partition by run_id) as r from d),
+e as (select *, 'dense' as strategy, -ds as s from m where kind = 'retrieve' and step_no = l and ds is not null union all select *, 'bm25', -ss from m where kind = 'retrieve' and step_no = l and ss is not null
+union all select *, 'hybrid', 0 from m where l is null or (kind = 'retrieve' and step_no = l) union all select *, 'hybrid_rerank', 0 from m where kind = 'rerank' and step_no = r),
+f as (select *, row_number() over (partition by run_id, strategy, case when chunk_id <> '' then chunk_id else path end order by s, step_no, doc_no) as n from e)
+select run_id, strategy, row_number() over (partition by run_id, strategy order by s, step_no, doc_no)::int as rank, chunk_id, doc_id, path from f where n = 1""",
+        "strategy_summary": "select event_type as strategy, count(*) as n, round(avg((value > 10)::int::double), 6) as hit_rate, round(avg(1 / (1 + user_id % 4)::double), 6) as avg_mrr, round(avg(case when event_id % 3 > 0 then event_id % 8 / 8.0::double else 0 end), 6) as avg_ndcg from events group by event_type",
+        "semantic_policy": """with e as (select event_id, (['standard', 'advanced', 'compare'])[event_id % 3 + 1] as m, (['simple', 'normal', 'complex', 'normal'])[event_id // 3 % 4 + 1] as c, event_id % 50 / 500.0::double as x, case when event_id % 4 > 0 then user_id % 10 / 10.0::double end as f,
+case when event_id % 6 > 0 then event_id % 101 / 100.0::double end as y from events),
+r as (select *, concat_ws(',', case when event_id % 3 <= 0 then 'no_citations' end, case when event_id % 7 * 60 >= 320 then 'long_answer' end, case when f < 0.35 then 'low_retrieval_confidence' end, case when x < 0.04 then 'low_lexical_score' end) as k from e),
+p as (select *, case when event_id % 13 = 0 then 'fast_path_lexical_only' when m = 'standard' and c = 'simple' then 'standard_simple_lexical_only' when m = 'standard' and c = 'complex' then 'standard_complex_semantic_allowed'
+when m = 'standard' and k <> '' then 'standard_normal_risky:' || k when m = 'standard' then 'standard_normal_lexical_ok' when m = 'compare' then 'compare_semantic_allowed' else 'advanced_semantic_disabled' end as reason from r)
+select event_id, contains(reason, 'allowed') or contains(reason, 'risky') as use, reason, round(case when y >= 0.58 then greatest(x, least(1, 0.65::double * x + 0.35::double * y)) else x end, 4) as score from p""",
+        "reply_fields": """with e as (select *, case when event_type <> 'error' then event_type end as t, trim(regexp_replace(repeat(' ' || props || chr(10) || chr(9), (event_id % 40)::int) || event_id, '\\s+', ' ', 'g')) as m from events)
+select event_id, 'Q: $kind ' || event_id || ' (' || coalesce(t, '') || ') costs $5, $other$' as prompt, substring(sha256(event_id || '|' || coalesce(t, 'None')), 1, 24) as key,
+case when length(m) <= 240 then m else substring(m, 1, 237) || '...' end as error, case event_id % 3 when 0 then event_id % 90 when 1 then 7 else -1 end as latency_ms from e""",
+        "citation_lines": """select doc_id, '[' || (doc_id % 5 + 1) || '] ' || coalesce(case when doc_id % 2 = 0 then nullif(lang, '') end, 'Untitled') || ' | source=' || coalesce(source, 'None') || ' | doc_id=' || doc_id || ' | chunk_id=' || doc_id || '_chunk_0'
+|| case when doc_id % 4 = 0 then ' | section=S' else '' end || case when doc_id % 6 = 0 then ' | page=' || doc_id else '' end as line from documents""",
+        "display_names": "select doc_id, case when doc_id % 3 = 1 then 'a_b.md' else substring(sha256(doc_id::varchar), 1, (doc_id % 3 + 9)::int) || '_a_b.md' end as name from documents",
     }

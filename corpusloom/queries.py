@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as tx
-from .operators import chunking, evaluate, extract, index, judge, rank, replies, retrieve, selectors
+from .operators import chunking, evaluate, extract, index, judge, rank, replies, retrieve, scope, selectors, traces
 
 K = 10
 
@@ -365,6 +365,123 @@ def coerced_values(spark, sf_dir):
     )
 
 
+def stored_hits(spark, sf_dir):
+    """Documents as hits of ten queries: names and types come from the row, from its source, or not at all; some have no time."""
+    n = F.col("doc_id")
+    kind = F.element_at(F.array(F.lit("md"), F.lit("txt"), F.lit("docx")), (n % 3 + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select(
+        (n % 10).alias("query_id"), n.cast("string").alias("doc_id"), F.concat(F.lit("s3://raw/Docs/F"), (n % 7).cast("string"), F.lit("."), kind).alias("source"),
+        F.when(n % 4 == 0, F.concat(F.lit("dir/Own"), (n % 7).cast("string"), F.lit(".MD"))).alias("file_name"), F.when(n % 5 == 0, F.lit(".PDF")).alias("file_type"),
+        F.when(n % 6 == 0, "OCR_text").otherwise("text").alias("block_type"), (n % 11 == 0).alias("ocr"),
+        F.when(n % 8 != 0, F.concat(F.lit("2024-01-"), F.lpad((n % 28 + 1).cast("string"), 2, "0"))).alias("uploaded_at"), F.lit(None).cast("string").alias("created_at"),
+    )
+
+
+def filter_requests(spark):
+    """A query for each kind of filter, one with all kinds, one whose filters are all empty; queries 8 and 9 have no row."""
+    rows = [
+        (0, [" 10 ", "20", "10", ""], None, None, None, None, None), (1, None, ["x/f1.TXT", "f5.md"], None, None, None, None), (2, None, None, [".MD", "txt"], None, None, None),
+        (3, None, None, None, "2024-01-10T00:00:00Z", "2024-01-20", None), (4, None, None, None, None, None, True), (5, None, None, None, None, None, False),
+        (6, None, ["own6.md", "f6.md", "f6.txt"], ["md", "pdf"], "2024-01-01", None, False), (7, [], [" "], ["."], "soon", "", None),
+    ]
+    return spark.createDataFrame(rows, "query_id long, doc_ids array<string>, filenames array<string>, file_types array<string>, uploaded_after string, uploaded_before string, include_ocr boolean")
+
+
+def metadata_filters(spark, sf_dir):
+    return scope.filtered(stored_hits(spark, sf_dir), filter_requests(spark)).select("query_id", "doc_id")
+
+
+def scope_guard(spark, sf_dir):
+    """The same with the seeded collection active: only queries without a filter keep their hits."""
+    return scope.filtered(stored_hits(spark, sf_dir), filter_requests(spark), "seeded").select("query_id", "doc_id")
+
+
+def state_log(spark, sf_dir):
+    """Events as states of a user's document."""
+    place = {name: i for i, name in enumerate(("click", "error", "login", "purchase", "view"))}
+    state = F.element_at(F.array(*[F.lit(x) for x in ("ready", "failed", "uploaded", "deleted", "ready")]), F.coalesce(*[F.when(F.col("event_type") == k, i + 1) for k, i in place.items()], F.lit(5)).cast("int"))
+    user = F.col("user_id").cast("string")
+    return table(spark, sf_dir, "events").select(user.alias("doc_id"), state.alias("status"), F.col("props").alias("message"), F.concat(F.lit("raw/"), user).alias("stored_path"), F.col("ts").alias("updated_at"))
+
+
+def document_registry(spark, sf_dir):
+    """The registry where the files of every third document are gone."""
+    from .plans import lifecycle
+
+    log = state_log(spark, sf_dir)
+    return lifecycle.registry(log, log.where("doc_id % 3 <> 0").select("stored_path")).select("doc_id", "status", F.when(F.col("status") == "failed", F.col("message") == lifecycle.MISSING_FILE).alias("file_gone"), *[F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c) for c in ("created_at", "updated_at")])
+
+
+def ready_documents(spark, sf_dir):
+    from .plans import lifecycle
+
+    log = state_log(spark, sf_dir)
+    return lifecycle.ready(log, log.where("doc_id % 3 <> 0").select("stored_path")).select("doc_id")
+
+
+def block_counts(spark, sf_dir):
+    """Turns as blocks of a conversation."""
+    from .plans import lifecycle
+
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("text", "table", "image", "ocr_text")]), (F.col("turn") % 4 + 1).cast("int"))
+    return lifecycle.block_counts(turns(spark, sf_dir).select(F.col("conv_id").alias("doc_id"), kind.alias("block_type"), (F.col("turn") % 5 == 0).alias("ocr")))
+
+
+def trace_docs(spark, sf_dir):
+    """Turns as documents of a run's steps: three to a step, retrievals and rerankings in turn, every fifth without a score."""
+    n, none = F.col("turn"), F.lit(None).cast("string")
+    step = F.floor(n / 3)
+    fields = {"chunk_id": F.when(n % 4 != 3, F.concat(F.lit("D"), (n % 5).cast("string"), F.lit("_chunk_0"))), "doc_id": none, "source": F.concat(F.lit("a//S"), (n % 2).cast("string"), F.lit(".md")), "path": none, "title": none, "section": none}
+    return turns(spark, sf_dir).select(
+        F.col("conv_id").alias("run_id"), step.alias("step_no"), F.when(step % 2 == 0, "retrieve").otherwise("rerank").alias("kind"), (n % 3).alias("doc_no"), *[v.alias(k) for k, v in fields.items()],
+        F.when(n % 5 != 0, (F.char_length("text") % 10).cast("double")).alias("dense_score"), F.when(n % 5 != 1, (F.char_length("text") % 3).cast("double")).alias("sparse_score"),
+    )
+
+
+def trace_rankings(spark, sf_dir):
+    return traces.rankings(trace_docs(spark, sf_dir)).select("run_id", "strategy", "rank", "chunk_id", "doc_id", "path")
+
+
+def strategy_summary(spark, sf_dir):
+    """Events' types as strategies."""
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("strategy"), (F.col("value") > 10).alias("hit"), (1 / (1 + F.col("user_id") % 4)).alias("mrr"), F.when(F.col("event_id") % 3 > 0, (F.col("event_id") % 8) / 8).alias("ndcg"))
+    return traces.strategy_summary(e)
+
+
+def semantic_policy(spark, sf_dir):
+    """Runs of three modes and classes with their scores."""
+    e, n = table(spark, sf_dir, "events"), F.col("event_id")
+    pick = lambda xs, by: F.element_at(F.array(*[F.lit(x) for x in xs]), (by % len(xs) + 1).cast("int"))
+    lexical, confidence = (n % 50) / 500, F.when(n % 4 > 0, (F.col("user_id") % 10) / 10)
+    p = judge.semantic_policy(pick(("standard", "advanced", "compare"), n), pick(("simple", "normal", "complex", "normal"), F.floor(n / 3)), lexical, n % 3, (n % 7) * 60, confidence, n % 13 == 0, modes=("standard", "compare"))
+    score = judge.blended(lexical, F.when(n % 6 > 0, (n % 101) / 100))
+    return e.select("event_id", p.alias("p"), F.round(score, 4).alias("score")).select("event_id", "p.use", "p.reason", "score")
+
+
+def reply_fields(spark, sf_dir):
+    """Prompts, cache keys, errors and latencies of the events."""
+    e, n = table(spark, sf_dir, "events"), F.col("event_id").cast("string")
+    prompt = replies.rendered(F.lit("Q: $query (${kind}) costs $$5, $other$"), {"query": F.concat(F.lit("$kind "), n), "kind": F.nullif(F.col("event_type"), F.lit("error"))})
+    whole = F.concat(F.lit('{"latency_ms": '), (F.col("event_id") % 90).cast("string"), F.lit(".7}"))
+    branch = F.concat(F.lit('{"mode": " Compare", "standard": {"trace": [{"compare_total_ms": 7}, {"x": 1}]}, "advanced": {"latency_ms": '), n, F.lit("}}"))
+    latency = replies.reply_latency(F.when(F.col("event_id") % 3 == 0, whole).when(F.col("event_id") % 3 == 1, branch).otherwise("no JSON"))
+    error = replies.short_error(F.concat(F.repeat(F.concat(F.lit(" "), F.col("props"), F.lit("\n\t")), (F.col("event_id") % 40).cast("int")), n))
+    return e.select("event_id", prompt.alias("prompt"), replies.cache_key(n, F.nullif(F.col("event_type"), F.lit("error"))).alias("key"), error.alias("error"), F.coalesce(latency, F.lit(-1).cast("long")).alias("latency_ms"))
+
+
+def citation_lines(spark, sf_dir):
+    n = F.col("doc_id")
+    line = rank.citation_line(n % 5 + 1, F.when(n % 2 == 0, F.col("lang")).when(n % 3 == 0, ""), F.col("source"), n, F.concat(n.cast("string"), F.lit("_chunk_0")), F.when(n % 4 == 0, F.lit("S")), F.when(n % 6 == 0, n))
+    return table(spark, sf_dir, "documents").select("doc_id", line.alias("line"))
+
+
+def display_names(spark, sf_dir):
+    from .sources import files
+
+    hashed = F.substring(F.sha2(F.col("doc_id").cast("string").cast("binary"), 256), 1, (F.col("doc_id") % 3 + 9).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", files.display_name(F.concat(hashed, F.lit("_a_b.md"))).alias("name"))
+
+
 def eval_category_summary(spark, sf_dir):
     return evaluate.category_summary(eval_rows(spark, sf_dir))
 
@@ -416,6 +533,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         paragraph_split, overlap_windows, chunk_documents, query_complexity, query_budget, language_detect, language_mismatch,
         retrieval_gate, history_trim, history_render, keyword_overlap, char_trigram_precision, grounding_class, critique_heuristic,
         dedupe_rewrites, ocr_decision, extractive_answer, retrieval_metrics, gold_selector_metrics, citation_gold_overlap, behavior_metrics, term_metrics, direct_and_branches, coerced_values, eval_category_summary, paired_delta,
-        latency_percentiles, compare_verdict, advanced_status,
+        latency_percentiles, compare_verdict, advanced_status, metadata_filters, scope_guard, document_registry, ready_documents, block_counts,
+        trace_rankings, strategy_summary, semantic_policy, reply_fields, citation_lines, display_names,
     )
     return {f.__name__: f for f in own} | workflow.queries()

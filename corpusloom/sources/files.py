@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 
 BLOCKS = "path string, block_index int, block_type string, section string, is_heading boolean, content string, parser_fallback boolean"
+#: Files that a parser knows.
+SUPPORTED = "*.{md,markdown,txt,docx}"
 QUESTIONS = "id string, question string, expected_behavior string, reference_answer string, gold_sources array<string>, category string, notes string"
 #: Tried in this order; the last decodes anything.
 ENCODINGS = ("utf-8-sig", "utf-8", "cp1258", "latin-1")
@@ -99,9 +101,33 @@ def blocks_of(path: str, raw: bytes) -> list[tuple]:
         return [("text", None, False, decoded(raw), True)]
 
 
-def read_blocks(spark: SparkSession, folder: str, glob: str = "*.{md,markdown,txt,docx}") -> DataFrame:
+def file_names() -> tuple[Column, Column]:
+    """The doc_id of a file's path, and the name shown for it: without the ten hexadecimal digits that an upload puts first."""
+    name = F.element_at(F.split("path", "/"), -1)
+    stem = F.regexp_replace(F.lower(F.regexp_replace(name, r"\.[^.]*$", "")), " ", "_")
+    return F.concat(stem, F.lit("_"), F.substring(F.sha1(F.col("path").cast("binary")), 1, 10)), display_name(name)
+
+
+def display_name(name: Column) -> Column:
+    return F.regexp_replace(name, "^[0-9a-fA-F]{10}_(?=.)", "")
+
+
+def scanned(spark: SparkSession, folder: str, glob: str = SUPPORTED) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
+
+
+def listing(spark: SparkSession, folder: str, glob: str = SUPPORTED, collection: str = "uploaded") -> DataFrame:
+    """A row for each supported file: doc_id, stored_path, file_name, file_type, source_collection, created_at (its modification
+    time), uploaded_at (the same, null for other collections). Contents are not read. A missing folder is an error of the read."""
+    doc_id, name = file_names()
+    at = F.col("modificationTime")
+    kind = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    return scanned(spark, folder, glob).select(doc_id.alias("doc_id"), F.col("path").alias("stored_path"), name.alias("file_name"), kind.alias("file_type"), F.lit(collection).alias("source_collection"), at.alias("created_at"), F.when(F.lit(collection) == "uploaded", at).alias("uploaded_at"))
+
+
+def read_blocks(spark: SparkSession, folder: str, glob: str = SUPPORTED) -> DataFrame:
     """One row for each block of the files below a folder, with doc_id, file_name and the modification time."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
+    files = scanned(spark, folder, glob)
 
     def parse(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in it:
@@ -109,11 +135,9 @@ def read_blocks(spark: SparkSession, folder: str, glob: str = "*.{md,markdown,tx
             yield pd.DataFrame(rows, columns=["path", "block_index", "block_type", "section", "is_heading", "content", "parser_fallback"])
 
     blocks = files.select("path", "content").mapInPandas(parse, BLOCKS)
-    name = F.element_at(F.split("path", "/"), -1)
-    stem = F.regexp_replace(F.lower(F.regexp_replace(name, r"\.[^.]*$", "")), " ", "_")
-    doc_id = F.concat(stem, F.lit("_"), F.substring(F.sha1(F.col("path").cast("binary")), 1, 10))
+    doc_id, name = file_names()
     times = files.select("path", F.col("modificationTime").alias("uploaded_at"))
-    return blocks.join(times, "path").select(doc_id.alias("doc_id"), F.regexp_replace(name, "^[0-9a-f]{10}_", "").alias("file_name"), "uploaded_at", *[c.split()[0] for c in BLOCKS.split(", ")])
+    return blocks.join(times, "path").select(doc_id.alias("doc_id"), name.alias("file_name"), "uploaded_at", *[c.split()[0] for c in BLOCKS.split(", ")])
 
 
 def titled(blocks: DataFrame) -> DataFrame:
@@ -130,6 +154,29 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("gold_sources", F.coalesce("gold_sources", F.array().cast("array<string>")))
 
 
+def read_queries(spark: SparkSession, path: str) -> DataFrame:
+    """query_id, query, query_set of a query file: JSON lines, a JSON list, or an object with a list named queries; each item a
+    string or an object with query or text, and id or label. Items without a text are left out; ids default to file_NN by place.
+
+    A query file is one small document that is read whole.
+    """
+    text = spark.read.text(path, wholetext=True)
+    lines = F.filter(F.transform(F.split("value", r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
+    listed = F.when(F.lit(path.lower().endswith(".jsonl")), F.concat(F.lit("["), F.array_join(lines, ","), F.lit("]"))).otherwise(F.col("value"))
+    payload = F.parse_json(listed)
+    items = F.coalesce(F.try_variant_get(payload, "$.queries", "array<variant>"), F.try_variant_get(payload, "$", "array<variant>"))
+    rows = text.select(items.alias("items"))
+    if rows.where("items is null").count():
+        raise ValueError(f"no list of queries in {path}")
+    rows = rows.select(F.posexplode("items").alias("place", "item"))
+    field = lambda *names: F.coalesce(*[F.nullif(F.try_variant_get("item", f"$.{n}", "string"), F.lit("")) for n in names])
+    string = lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+    first = F.when(field("query").isNotNull(), F.try_variant_get("item", "$.query", "variant")).otherwise(F.try_variant_get("item", "$.text", "variant"))
+    query = tx.stripped(F.coalesce(string(F.col("item")), string(first)))
+    default = F.concat(F.lit("file_"), F.format_string("%02d", F.col("place") + 1))
+    return rows.select(F.coalesce(tx.stripped(field("id", "label")), default).alias("query_id"), query.alias("query"), F.lit("file").alias("query_set")).where("query <> ''")
+
+
 def metadata_predicate(doc_ids: list | None = None, file_names: list | None = None, file_types: list | None = None, after: str | None = None, before: str | None = None) -> Column:
     """All conditions that are given; the time range is inclusive, and a missing time fails it."""
     out = F.lit(True)
@@ -154,17 +201,19 @@ def fingerprint(blocks: DataFrame, settings: dict) -> str:
     return blocks.sparkSession.range(1).select(F.sha2(F.lit(text), 256)).first()[0]
 
 
-def latest_status(log: DataFrame) -> DataFrame:
-    """The registry: the last status of each document in an append-only log of doc_id, status, updated_at."""
-    return log.groupBy("doc_id").agg(F.max_by("status", "updated_at").alias("status"), F.max("updated_at").alias("updated_at"))
-
-
 def write_index(folder: str, **tables: DataFrame) -> None:
     """Each table as Parquet below a version's folder; readers switch versions by path."""
     for name, frame in tables.items():
         frame.write.mode("overwrite").parquet(f"{folder}/{name}")
 
 
+def write_report(rows: DataFrame, folder: str) -> None:
+    """The rows of an evaluation as JSON lines and as CSV with a header, each in a folder of its own."""
+    rows.write.mode("overwrite").json(f"{folder}/results")
+    flat = [c for c, t in rows.dtypes if not t.startswith(("array", "map", "struct"))]
+    rows.select(*flat).write.mode("overwrite").option("header", "true").csv(f"{folder}/summary")
+
+
 def report_lines(summary: DataFrame) -> str:
     """A Markdown table of a small summary."""
     rows = summary.collect()
