@@ -21,7 +21,6 @@ import math
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -57,9 +56,15 @@ AHEAD = 128
 STRETCH = 1 << 16
 
 
-@lru_cache(maxsize=64)
+#: What a task has worked out so far; plain dicts, which travel to the tasks by value with the functions.
+NEAR_DISTANCES: dict[int, tuple[int, ...]] = {}
+REVERSALS: dict[int, np.ndarray] = {}
+
+
 def near_distances(width: int) -> tuple[int, ...]:
-    return tuple(max(1, int(x) + int(y) * width) for x, y in (p.split(",") for p in NEAR.split()))
+    if width not in NEAR_DISTANCES:
+        NEAR_DISTANCES[width] = tuple(max(1, int(x) + int(y) * width) for x, y in (p.split(",") for p in NEAR.split()))
+    return NEAR_DISTANCES[width]
 
 
 # ---------------------------------------------------------------- prefix codes
@@ -93,13 +98,14 @@ def code_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
         weights = [(w + 1) // 2 for w in weights]
 
 
-@lru_cache(maxsize=16)
 def reversal(bits: int) -> np.ndarray:
     """Each number below 2^bits with its bits in reverse."""
-    out = np.zeros(1, np.int64)
-    for _ in range(bits):
-        out = np.concatenate([out * 2, out * 2 + 1])
-    return out
+    if bits not in REVERSALS:
+        out = np.zeros(1, np.int64)
+        for _ in range(bits):
+            out = np.concatenate([out * 2, out * 2 + 1])
+        REVERSALS[bits] = out
+    return REVERSALS[bits]
 
 
 def codes(lengths: np.ndarray) -> np.ndarray:
@@ -228,7 +234,7 @@ def spread(symbol: int, r: Reader) -> int:
 
 def literals_ahead(data: bytes, at: int, group: list[Table]) -> tuple:
     """Of the literal pixels in a stream: (the pixels at given bits, the bits where eight pixels begin from the first's, and for each bit the bit after the
-    one or eight pixels that begin there, or 0 if there are none).
+    one or eight pixels that begin there, or 0 if there are none). No pixel may begin at bit 0.
 
     All bits of a stretch of the stream are looked up at once, whether a pixel begins there or not; walking from bit to bit is
     then short.
@@ -291,7 +297,7 @@ def read_pixels(r: Reader, width: int, height: int, main: bool) -> np.ndarray:
     room = total
     while quick and not cache_bits and room:
         # Without a cache the literals' pixels are needed by copies alone, so those of a stretch are looked up at its end.
-        base, before = at & ~7, room
+        base, before = at - 1 & ~7, room  # so no pixel begins at bit 0 of a stretch, which says that none begins
         pixel, steps, after, after8 = literals_ahead(data[base >> 3 : (base >> 3) + STRETCH], at - base, groups[0])
         at -= base
         eights, places, runs = [], [], []  # runs: eights and places before a copy, its length and distance
@@ -343,7 +349,7 @@ def read_pixels(r: Reader, width: int, height: int, main: bool) -> np.ndarray:
             green, red, blue, alpha, distance = groups[groups_at[(y >> block_bits) * across + (x >> block_bits)]]
         if quick and cache_bits:
             if at >= until:
-                base = at & ~7
+                base = at - 1 & ~7
                 pixel, steps, after, after8 = literals_ahead(data[base >> 3 : (base >> 3) + STRETCH], at - base, groups[0])
                 until = base + len(after) - 128
                 until = until if (base >> 3) + STRETCH < len(data) else len(data) * 8

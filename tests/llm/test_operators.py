@@ -1,3 +1,4 @@
+import base64
 import collections
 import hashlib
 import math
@@ -398,6 +399,29 @@ def test_webp_of_long_texts(monkeypatch):
             assert (webp.decode(webp.encode(argb, 64, len(mixed) // 64, (), cache))[2] == argb).all()
 
 
+def test_webp_reads_pixels_at_any_bit():
+    """Literals that begin at each of the eight bits of a byte, and texts of all sorts of lengths by the quick reader."""
+    rng = np.random.default_rng(5)
+    for n in range(40):
+        values = rng.choice(256, 17 + n, replace=False).astype(np.int64)
+        argb = webp.OPAQUE | values[rng.integers(0, len(values), 64 * 8)] << 8
+        for cache in (0, 3):
+            file = webp.encode(argb, 64, 8, (), cache)
+            assert (webp.decode(file)[2] == argb).all()
+    for _ in range(2000):
+        size = 64 * int(rng.integers(1, 60))
+        payload = rng.integers(32, 32 + int(rng.integers(20, 90)), size).astype(np.uint8)
+        payload[size - int(rng.integers(0, 64)) :] = 0
+        assert webp.load(webp.store(payload.tobytes()), size)[0] == payload.tobytes()
+
+
+def test_webp_files_of_other_writers():
+    """Two public one-pixel files that browsers are probed with."""
+    for text, pixel in (("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA==", 0), ("UklGRh4AAABXRUJQVlA4TBEAAAAvAAAAAAfQ//73v/+BiOh/AAA=", 0xFFFFFFFF)):
+        width, height, argb = webp.decode(base64.b64decode(text))
+        assert (width, height, argb.tolist()) == (1, 1, [pixel])
+
+
 def test_webp_column(odd, empty):
     got = rows(webp.media_column(odd, with_media=True))
     for r, t in zip(got, [x.text for x in odd.collect()]):
