@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, brown, dedup, fingerprints, language, licenses, mixing, pii, token_files, webp
+from . import bpe, brown, centroids, dedup, divergence, fingerprints, language, licenses, mixing, pii, quality, token_files, webp
 from .common import documents, scratch
 
 
@@ -52,11 +52,29 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.count_documents(spark, documents(spark, sf_dir), scratch(spark, "tokens")).select("doc_id", "n_tokens")
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_pii_contexts, op3_brown_scoring, op4_near_duplicates, op5_bpe_encoding, op6_source_mixing, op7_media_webp, op8_license_scan, op9_language_id, op10_token_counts)}
+    every = (
+        op1_fingerprints, op2_pii_contexts, op3_brown_scoring, op4_near_duplicates, op5_bpe_encoding, op6_source_mixing, op7_media_webp, op8_license_scan,
+        op9_language_id, op10_token_counts, op11_centroid_clustering, op12_quality_classifier, op13_source_divergence,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op10_token_counts": r"select doc_id, len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+')) as n_tokens from documents",
+        "op11_centroid_clustering": centroids.sql(),
+        "op13_source_divergence": divergence.SQL,
     }
