@@ -5,8 +5,6 @@ Scores are rounded before they order anything, and a chunk's id ends every order
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,13 +12,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..sources.tables import stored
-from . import index
+from ..sources.tables import new_folder, stored
+from . import index, inverted
 
 K1, B = 1.5, 0.75
 RRF_K, RRF_WEIGHT = 60, 0.5
-#: Queries whose vectors go to the tasks together; bounds what the driver holds.
-QUERY_BLOCK = 4096
+#: Bytes of the vectors of one side of a block pair, scores of a product at a time, and rows that a block has at least
+#: before more blocks are made for the sake of more tasks.
+BLOCK_BYTES = 16 << 20
+PRODUCT = 1 << 22
+LEAST_ROWS = 1024
 
 
 def ranked(hits: DataFrame, k: int, score: str = "score", tie: str = "chunk_id") -> DataFrame:
@@ -50,58 +51,65 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame, k1: float = K1, b: float
     return postings.join(asked.join(stats_by_term, "term"), "term").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
 
 
-def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, rank, chunk_id, score."""
-    return ranked(bm25_scores(chunks, queries).where("score > 0"), k).select("query_id", "rank", "chunk_id", "score")
+def bm25_topk(chunks: DataFrame | inverted.Index, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, chunk_id, score, from a stored index; chunks that have none yet get one for this call."""
+    found = chunks if isinstance(chunks, inverted.Index) else inverted.write(chunks, new_folder(chunks.sparkSession, "index"))
+    return ranked(inverted.scores(found, queries, k).where("score > 0"), k).select("query_id", "rank", "chunk_id", "score")
+
+
+def blocks_of(frame: DataFrame, key: str, rows: int, least: int = 1) -> tuple[DataFrame, int]:
+    """The frame with a block number by the hash of its key, and the number of blocks of about so many rows."""
+    n = frame.count()
+    blocks = max(1, -(-n // rows), min(least, -(-n // LEAST_ROWS)))
+    return frame.withColumn("_block", F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(0)), F.lit(blocks)).cast("int")), blocks
 
 
-def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """query_id, rank, chunk_id, score: cosine of chunk_id, vec with query_id, vec; 0 where either is a zero vector.
 
-    The stated queries go block by block against all rows as one matrix product per batch; a task passes on k rows
-    for each query, and the window takes the k best of these.
+    Blocks of the stated queries meet blocks of rows in a join by both block numbers: each pair is one group, whose two sides
+    are at most about `block_bytes` and whose matrix product runs some queries at a time. A group passes on its k best of each
+    query, and the window takes the k best of these. Nothing goes through the driver but two counts and the vectors' length.
     """
-    kind = vectors.schema["chunk_id"].dataType.simpleString()
-    q_kind = queries.schema["query_id"].dataType.simpleString()
-    numbered = queries.select("query_id", F.transform("vec", lambda x: x.cast("double")).alias("vec"))
-    blocks = max(1, -(-queries.count() // block))
-    out = None
-    for i in range(blocks):
-        rows = numbered.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).collect()
-        if not rows:
-            continue
-        ids = [r["query_id"] for r in rows]
-        matrix = np.array([r["vec"] for r in rows], float)
-        lengths = np.linalg.norm(matrix, axis=1)
-
-        def best(it: Iterator[pa.RecordBatch], ids=ids, matrix=matrix, lengths=lengths) -> Iterator[pa.RecordBatch]:
-            # Of each query the k best so far: scores, and places in the pool of the chunks that any query keeps.
-            pool, at, held = None, np.empty((len(ids), 0), np.int64), np.empty((len(ids), 0))
-            for batch in it:
-                if not batch.num_rows:
-                    continue
-                v = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
-                down = np.outer(lengths, np.linalg.norm(v, axis=1))
-                s = np.divide(matrix @ v.T, down, out=np.zeros_like(down), where=down > 0)
-                before = 0 if pool is None else len(pool)
-                pool = batch.column(0) if pool is None else pa.concat_arrays([pool, batch.column(0)])
-                place = np.empty(len(pool), np.int64)
-                place[pc.sort_indices(pool).to_numpy()] = np.arange(len(pool))
-                held = np.concatenate([held, s], axis=1)
-                at = np.concatenate([at, np.broadcast_to(before + np.arange(batch.num_rows), s.shape)], axis=1)
-                first = np.lexsort((place[at], -np.round(held, 9)), axis=1)[:, :k]
-                held, at = np.take_along_axis(held, first, 1), np.take_along_axis(at, first, 1)
-                used, at = np.unique(at, return_inverse=True)
-                pool, at = pool.take(pa.array(used)), at.reshape(held.shape)
-            if pool is not None:
-                asked = pa.array([x for x in ids for _ in range(held.shape[1])])
-                yield pa.RecordBatch.from_arrays([asked, pool.take(pa.array(at.ravel())), pa.array(held.ravel(), pa.float64())], names=["query_id", "chunk_id", "score"])
-
-        part = vectors.select("chunk_id", "vec").mapInArrow(best, f"query_id {q_kind}, chunk_id {kind}, score double")
-        out = part if out is None else out.unionAll(part)
-    if out is None:
-        out = queries.join(vectors.select("chunk_id"), F.lit(False)).select("query_id", "chunk_id", F.lit(0.0).alias("score"))
-    return ranked(out, k).select("query_id", "rank", "chunk_id", "score")
+    double = lambda f, key: f.select(F.col(key), F.transform("vec", lambda x: x.cast("double")).alias("vec"))
+    one = vectors.select(F.size("vec")).first()
+    kinds = [vectors.schema["chunk_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()]
+    if one is None:
+        return queries.join(vectors.select("chunk_id"), F.lit(False)).select("query_id", F.lit(0).alias("rank"), "chunk_id", F.lit(0.0).alias("score"))
+    rows = max(1, block_bytes // (8 * max(1, one[0])))
+    v, v_blocks = blocks_of(double(vectors, "chunk_id"), "chunk_id", rows, vectors.sparkSession.sparkContext.defaultParallelism)
+    q, q_blocks = blocks_of(double(queries, "query_id"), "query_id", rows)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    v = v.select("chunk_id", "vec", F.col("_block").alias("_v"), every(q_blocks).alias("_q"))
+    q = q.select("query_id", "vec", F.col("_block").alias("_q"), every(v_blocks).alias("_v"))
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, asked = left.column("chunk_id").combine_chunks(), right.column("query_id").combine_chunks()
+        names = ["query_id", "chunk_id", "score"]
+        if not len(ids) or not len(asked):
+            return pa.table([asked.slice(0, 0), ids.slice(0, 0), pa.array([], pa.float64())], names=names)
+        x, y = (t.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1) for t in (left, right))
+        order = pc.sort_indices(ids)  # rows by id, so that of equal scores the lower place is the lower id
+        ids, x = ids.take(order), x[order.to_numpy()]
+        far = np.linalg.norm(x, axis=1)
+        take, scores, of = [], [], []
+        step = max(1, PRODUCT // len(x))
+        for at in range(0, len(y), step):
+            some = y[at : at + step]
+            down = np.outer(np.linalg.norm(some, axis=1), far)
+            s = np.divide(some @ x.T, down, out=np.zeros_like(down), where=down > 0)
+            for i, line in enumerate(np.round(s, 9)):
+                near = np.arange(len(line))
+                if len(line) > k:
+                    near = np.flatnonzero(line >= np.partition(line, len(line) - k)[len(line) - k])
+                near = near[np.argsort(-line[near], kind="stable")[:k]]
+                take.append(near)
+                scores.append(s[i, near])
+                of.append(np.full(len(near), at + i))
+        return pa.table([asked.take(pa.array(np.concatenate(of))), ids.take(pa.array(np.concatenate(take))), pa.array(np.concatenate(scores))], names=names)
+
+    pairs = v.groupBy("_q", "_v").cogroup(q.groupBy("_q", "_v")).applyInArrow(best, f"query_id {kinds[1]}, chunk_id {kinds[0]}, score double")
+    return ranked(pairs, k).select("query_id", "rank", "chunk_id", "score")
 
 
 def inner_product_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as tx
 from .operators import chunking, evaluate, extract, index, judge, rank, replies, retrieve, scope, selectors, traces
+from .plans import indexes
 
 K = 10
 
@@ -21,6 +22,11 @@ def chunks(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
 
 
+def found(spark, sf_dir):
+    """The stored indexes of the documents: all queries over one table share them."""
+    return indexes.of_table(spark, f"{sf_dir}/documents.parquet", "doc_id")
+
+
 def asked(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
@@ -62,7 +68,7 @@ def hash_embedding(spark, sf_dir):
 
 
 def bm25_hits(spark, sf_dir, k=K):
-    return retrieve.bm25_topk(chunks(spark, sf_dir), asked(spark, sf_dir), k)
+    return retrieve.bm25_topk(found(spark, sf_dir).postings(), asked(spark, sf_dir), k)
 
 
 def bm25_topk(spark, sf_dir):
@@ -71,7 +77,7 @@ def bm25_topk(spark, sf_dir):
 
 def dense_hits(spark, sf_dir, k):
     queries = index.hash_counts(asked(spark, sf_dir).select(F.col("query_id").alias("chunk_id"), F.col("query").alias("text"))).withColumnRenamed("chunk_id", "query_id")
-    return retrieve.dense_topk(index.hash_counts(chunks(spark, sf_dir)), queries, k)
+    return retrieve.dense_topk(found(spark, sf_dir).vectors(), queries, k)
 
 
 def hash_dense_topk(spark, sf_dir):
