@@ -199,12 +199,6 @@ def blended(lexical: Column, semantic: Column) -> Column:
     return F.when(semantic >= SEMANTIC_LEAST, F.round(F.greatest(lexical, F.least(F.lit(1.0), mixed)), 4)).otherwise(lexical)
 
 
-def note_category(note: Column) -> Column:
-    """The category that a critique's note begins with, else null."""
-    found = F.regexp_extract(F.lower(tx.stripped(note)), "^(no_evidence|weak_evidence|incomplete_answer|hallucination|grounded):", 1)
-    return F.nullif(found, F.lit(""))
-
-
 def branch_score(citations: Column, grounded: Column, status: Column, hallucination: Column, mismatch: Column, fallback: Column, confidence: Column) -> Column:
     unit = lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(x, F.lit(0.0))))
     return F.round(

@@ -6,6 +6,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from datetime import datetime
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -112,7 +113,7 @@ def display_name(name: Column) -> Column:
     return F.regexp_replace(name, "^[0-9a-fA-F]{10}_(?=.)", "")
 
 
-def scanned(spark: SparkSession, folder: str, glob: str = SUPPORTED) -> DataFrame:
+def scanned(spark: SparkSession, folder: str | list[str], glob: str = SUPPORTED) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
 
 
@@ -125,19 +126,22 @@ def listing(spark: SparkSession, folder: str, glob: str = SUPPORTED, collection:
     return scanned(spark, folder, glob).select(doc_id.alias("doc_id"), F.col("path").alias("stored_path"), name.alias("file_name"), kind.alias("file_type"), F.lit(collection).alias("source_collection"), at.alias("created_at"), F.when(F.lit(collection) == "uploaded", at).alias("uploaded_at"))
 
 
-def read_blocks(spark: SparkSession, folder: str, glob: str = SUPPORTED) -> DataFrame:
-    """One row for each block of the files below a folder, with doc_id, file_name and the modification time."""
+def read_blocks(spark: SparkSession, folder: str | list[str], glob: str = SUPPORTED, since: datetime | None = None) -> DataFrame:
+    """One row for each block of the files below a folder, or of a list of files, with doc_id, file_name and the modification time.
+
+    since leaves files of earlier times out; their contents are not read.
+    """
     files = scanned(spark, folder, glob)
+    files = files if since is None else files.where(F.col("modificationTime") >= F.lit(since))
 
     def parse(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in it:
-            rows = [(p, i, *b) for p, c in zip(frame["path"], frame["content"]) for i, b in enumerate(blocks_of(p, c))]
-            yield pd.DataFrame(rows, columns=["path", "block_index", "block_type", "section", "is_heading", "content", "parser_fallback"])
+            rows = [(t, p, i, *b) for t, p, c in zip(frame["modificationTime"], frame["path"], frame["content"]) for i, b in enumerate(blocks_of(p, c))]
+            yield pd.DataFrame(rows, columns=["uploaded_at", "path", "block_index", "block_type", "section", "is_heading", "content", "parser_fallback"])
 
-    blocks = files.select("path", "content").mapInPandas(parse, BLOCKS)
+    blocks = files.select("path", "modificationTime", "content").mapInPandas(parse, f"uploaded_at timestamp, {BLOCKS}")
     doc_id, name = file_names()
-    times = files.select("path", F.col("modificationTime").alias("uploaded_at"))
-    return blocks.join(times, "path").select(doc_id.alias("doc_id"), name.alias("file_name"), "uploaded_at", *[c.split()[0] for c in BLOCKS.split(", ")])
+    return blocks.select(doc_id.alias("doc_id"), name.alias("file_name"), "uploaded_at", *[c.split()[0] for c in BLOCKS.split(", ")])
 
 
 def titled(blocks: DataFrame) -> DataFrame:
@@ -177,23 +181,6 @@ def read_queries(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.coalesce(tx.stripped(field("id", "label")), default).alias("query_id"), query.alias("query"), F.lit("file").alias("query_set")).where("query <> ''")
 
 
-def metadata_predicate(doc_ids: list | None = None, file_names: list | None = None, file_types: list | None = None, after: str | None = None, before: str | None = None) -> Column:
-    """All conditions that are given; the time range is inclusive, and a missing time fails it."""
-    out = F.lit(True)
-    name = F.lower(F.element_at(F.split("file_name", "[/\\\\]"), -1))
-    if doc_ids:
-        out = out & F.col("doc_id").isin(doc_ids)
-    if file_names:
-        out = out & name.isin([n.replace("\\", "/").rsplit("/", 1)[-1].lower() for n in file_names])
-    if file_types:
-        out = out & F.element_at(F.split(name, r"\."), -1).isin([t.lower().lstrip(".") for t in file_types])
-    for bound, late in ((after, True), (before, False)):
-        if bound:
-            t, at = F.col("uploaded_at"), F.to_timestamp(F.lit(bound))
-            out = out & F.coalesce(t >= at if late else t <= at, F.lit(False))
-    return out
-
-
 def fingerprint(blocks: DataFrame, settings: dict) -> str:
     """One hash of the settings and of all files' names and contents, for deciding whether an index can be used again."""
     row = blocks.agg(F.count("*"), F.sum(F.xxhash64("path", "block_index", "content").cast("decimal(38,0)"))).first()
@@ -201,12 +188,6 @@ def fingerprint(blocks: DataFrame, settings: dict) -> str:
     return blocks.sparkSession.range(1).select(F.sha2(F.lit(text), 256)).first()[0]
 
 
-def write_index(folder: str, **tables: DataFrame) -> None:
-    """Each table as Parquet below a version's folder; readers switch versions by path."""
-    for name, frame in tables.items():
-        frame.write.mode("overwrite").parquet(f"{folder}/{name}")
-
-
 def write_report(rows: DataFrame, folder: str) -> None:
     """The rows of an evaluation as JSON lines and as CSV with a header, each in a folder of its own."""
     rows.write.mode("overwrite").json(f"{folder}/results")

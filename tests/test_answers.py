@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import chunking, extract, judge, selectors
+from corpusloom.operators import chunking, extract, judge, replies, selectors
 from corpusloom.plans import workflow
 
 
@@ -104,7 +104,7 @@ def test_paragraphs_merge_like_a_plain_loop(spark):
 
 def test_refined_and_cautious(spark):
     row = spark.createDataFrame([("draft ", "b,c,d,e", "k1", "en", "line one\nline two", None)], "a string, m string, lead string, l string, c string, n string")
-    got = row.select(judge.refined(F.col("a"), F.col("m"), F.col("lead"), F.col("l")).alias("r"), judge.cautious(F.col("c"), F.col("l"), F.lit("none")).alias("c"), judge.cautious(F.col("n"), F.col("l"), F.lit("none")).alias("n"), judge.note_category(F.lit("Weak_evidence: x")).alias("k")).first()
+    got = row.select(judge.refined(F.col("a"), F.col("m"), F.col("lead"), F.col("l")).alias("r"), judge.cautious(F.col("c"), F.col("l"), F.lit("none")).alias("c"), judge.cautious(F.col("n"), F.col("l"), F.lit("none")).alias("n"), replies.note_category(F.lit("Weak_evidence: x")).alias("k")).first()
     assert got.r == "draft\\n\\nAdditional coverage: b, c, d.\\n\\nEvidence note: supported by k1."
     assert got.c.startswith("Based on the available context, relevant information is: line one line two\n\n") and got.n == "none" and got.k == "weak_evidence"
 

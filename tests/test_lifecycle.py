@@ -1,11 +1,13 @@
 """Filters, files to index, states, traces and query files, on small odd input."""
 
 import json
+import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import judge, replies, scope, traces
+from corpusloom.operators import judge, replies, retrieve, scope, traces
 from corpusloom.plans import lifecycle
 from corpusloom.sources import files
 
@@ -59,16 +61,16 @@ def test_build_activate_delete_clear(spark, tmp_path):
     (raw / "empty.txt").write_text(" \n", encoding="utf-8")
     (raw / "left.bin").write_bytes(b"\0")
     assert lifecycle.active(spark, store)[0].count() == 0 and lifecycle.active(spark, store)[1] == "none"
-    first = lifecycle.build(spark, str(raw), store)
+    first = lifecycle.build(spark, str(raw), store, with_indexes=False)
     chunks, source = lifecycle.active(spark, store)
     assert source == "uploaded" and chunks.select("doc_id").distinct().count() == 2
     names = {r.file_name: (r.doc_id, r.file_type) for r in files.listing(spark, str(raw)).collect()}
     assert set(names) == {"one.md", "two.txt", "empty.txt"} and names["one.md"][1] == "md"
     states = {r.doc_id: r.status for r in lifecycle.registry(lifecycle.logged(spark, store)).collect()}
     assert states == {names["one.md"][0]: "ready", names["two.txt"][0]: "ready", names["empty.txt"][0]: "failed"}
-    assert lifecycle.build(spark, str(raw), store) == first
+    assert lifecycle.build(spark, str(raw), store, with_indexes=False) == first
     lifecycle.delete(spark, store, [names["two.txt"][0]])
-    second = lifecycle.build(spark, str(raw), store)
+    second = lifecycle.build(spark, str(raw), store, with_indexes=False)
     assert second != first and [r.doc_id for r in lifecycle.active(spark, store)[0].select("doc_id").distinct().collect()] == [names["one.md"][0]]
     lifecycle.clear(spark, store)
     assert lifecycle.active(spark, store)[0].count() == 0
@@ -77,6 +79,59 @@ def test_build_activate_delete_clear(spark, tmp_path):
         lifecycle.build(spark, str(raw), store)
 
 
+def test_only_changed_files_are_read(spark, tmp_path, monkeypatch):
+    raw, store = tmp_path / "raw", str(tmp_path / "store")
+    raw.mkdir()
+    for i in range(100):
+        (raw / f"f{i:02}.txt").write_text(f"words of file number{i}")
+    seen = []
+    real = files.read_blocks
+    monkeypatch.setattr(files, "read_blocks", lambda spark, what, *a, **k: seen.append(what) or real(spark, what, *a, **k))
+    first = lifecycle.build(spark, str(raw), store, with_indexes=False)
+    assert len(seen.pop()) == 100
+    (raw / "f07.txt").write_text("these words changed")
+    (raw / "f08.txt").unlink()
+    second = lifecycle.build(spark, str(raw), store)
+    assert second != first and [p.rsplit("/", 1)[-1] for p in seen.pop()] == ["f07.txt"]
+    manifest = lifecycle.manifest_of(spark, store, second)
+    assert manifest.count() == 99 and sorted(r["count"] for r in manifest.groupBy("part").count().collect()) == [1, 98]
+    chunks, _ = lifecycle.active(spark, store)
+    got = {r.doc_id: r.content for r in chunks.collect()}
+    assert len(got) == 99 and any("changed" in c for c in got.values()) and not any("number7" == c.split()[-1] for c in got.values())
+    both = lifecycle.indexes_of(spark, store, second)
+    asked = spark.createDataFrame([(1, "changed words")], "query_id int, query string")
+    hit = retrieve.bm25_topk(both.postings(), asked, 1).first()
+    assert "changed" in got[hit.chunk_id.rsplit("_chunk_", 1)[0]] and both.vectors().count() == 99
+    # The same files again: the version before, with nothing read. Other settings: all files are chunked anew.
+    assert lifecycle.build(spark, str(raw), store) == second and not seen
+    monkeypatch.setattr(lifecycle, "LISTED", 5)
+    lifecycle.build(spark, str(raw), store, mode="small", with_indexes=False)
+    assert seen.pop() == str(raw) and lifecycle.active(spark, store)[0].count() == 99
+    # Many small changes: the parts become one.
+    monkeypatch.setattr(lifecycle, "MOST_PARTS", 1)
+    (raw / "new.txt").write_text("one more")
+    last = lifecycle.build(spark, str(raw), store, with_indexes=False)
+    assert lifecycle.manifest_of(spark, store, last).select("part").distinct().count() == 1 and lifecycle.active(spark, store)[0].count() == 100
+
+
+def test_a_deletion_ends_with_a_new_upload(spark, tmp_path):
+    raw, store = tmp_path / "raw", str(tmp_path / "store")
+    raw.mkdir()
+    (raw / "a.txt").write_text("first words")
+    (raw / "b.txt").write_text("other words")
+    lifecycle.build(spark, str(raw), store, with_indexes=False)
+    name = next(r.doc_id for r in files.listing(spark, str(raw)).collect() if r.file_name == "a.txt")
+    lifecycle.delete(spark, store, [name])
+    lifecycle.build(spark, str(raw), store, with_indexes=False)
+    assert name not in {r.doc_id for r in lifecycle.active(spark, store)[0].collect()}
+    (raw / "a.txt").write_text("first words, uploaded again")
+    later = time.time() + 60
+    os.utime(raw / "a.txt", (later, later))
+    lifecycle.build(spark, str(raw), store, with_indexes=False)
+    assert name in {r.doc_id for r in lifecycle.active(spark, store)[0].collect()}
+    assert {r.doc_id: r.status for r in lifecycle.registry(lifecycle.logged(spark, store)).collect()}[name] == "ready"
+
+
 def test_presets():
     assert lifecycle.chunking_values("large") == (1500, 200) and lifecycle.chunking_values("custom", 100, 0) == (100, 0)
     assert lifecycle.retrieval_depth("low") == 3 and lifecycle.retrieval_depth("custom", 20) == 20
