@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
+import json
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Unicode word tokens; plain \w would be ASCII in both engines.
 TOKEN = r"[\p{L}\p{N}_]+"
+# Characters of words and queries, letters that only Vietnamese has, and those of East Asian scripts.
 WORD = r"[A-Za-zÀ-ỹĐđ0-9']+"
 OUTSIDE = r"[^A-Za-zÀ-ỹĐđ0-9\s'_+]"
 DIACRITIC = r"[àáạảãăắằặẳẵâấầậẩẫèéẹẻẽêếềệểễìíịỉĩòóọỏõôốồộổỗơớờợởỡùúụủũưứừựửữỳýỵỷỹđ]"
@@ -89,9 +94,38 @@ def paragraphs(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"\n\s*\n+"), stripped), lambda p: p != "")
 
 
+def compositions() -> dict[str, str]:
+    """Letters of the language patterns (À to ỹ) by every spelling that is canonically the same: a base letter, or one that is
+    composed in part, and the marks that are left in any order that does not matter."""
+    out: dict[str, str] = {}
+    for point in range(0xC0, 0x1EFA):
+        letter = chr(point)
+        if unicodedata.category(letter) not in ("Lu", "Ll") or unicodedata.normalize("NFC", letter) != letter:
+            continue
+        base, *marks = unicodedata.normalize("NFD", letter)
+        for order in itertools.permutations(marks):
+            if marks and unicodedata.normalize("NFC", base + "".join(order)) == letter:
+                out[base + "".join(order)] = letter
+                partly = unicodedata.normalize("NFC", base + order[0]) + "".join(order[1:])
+                if unicodedata.normalize("NFC", partly) == letter and partly != letter:
+                    out[partly] = letter
+    return out
+
+
+def composed(text: Column) -> Column:
+    """Text with letters and the marks after them as single letters, where there is one from À to ỹ; other marks stay as they are.
+
+    Only texts with marks are taken apart. Texts that are composed already stay as they are.
+    """
+    table = F.from_json(F.lit(json.dumps(compositions())), "map<string,string>")
+    pieces = F.regexp_extract_all(text, F.lit(r"(?s)\P{M}\p{M}+|[^\p{M}]+?(?=\P{M}\p{M}|\z)|\p{M}+"), F.lit(0))
+    whole = F.array_join(F.transform(pieces, lambda p: F.coalesce(F.try_element_at(table, p), p)), "")
+    return F.when(F.regexp_like(text, F.lit(r"\p{M}")), whole).otherwise(text)
+
+
 def normalized_query(query: Column) -> Column:
-    """Query text with only letters, digits, quotes, _ and + left, single-spaced. Composed forms are expected."""
-    spaced = F.regexp_replace(F.coalesce(query, F.lit("")), r"\s+", " ")
+    """Query text, composed, with only letters, digits, quotes, _ and + left, single-spaced."""
+    spaced = F.regexp_replace(composed(F.coalesce(query, F.lit(""))), r"\s+", " ")
     return stripped(F.regexp_replace(F.regexp_replace(spaced, OUTSIDE, " "), r"\s+", " "))
 
 

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as tx
+from ..sources.tables import stored
 from . import judge
 
 
@@ -75,8 +82,83 @@ def paired_delta(rows: DataFrame, base: str = "standard", other: str = "advanced
     )
 
 
-def latency_percentiles(attempts: DataFrame, by: str, value: str) -> DataFrame:
-    """Group, n, p50, p90, p95, max with linear interpolation, 2 decimals."""
-    p = F.percentile(F.col(value), F.array(F.lit(0.5), F.lit(0.9), F.lit(0.95)))
-    out = attempts.groupBy(by).agg(F.count(value).alias("n"), p.alias("_p"), F.max(value).alias("_m"))
-    return out.select(by, "n", *[F.round(F.get("_p", F.lit(i)), 2).alias(n) for i, n in enumerate(("p50", "p90", "p95"))], F.round("_m", 2).alias("max"))
+SHARES = {"p50": 0.5, "p90": 0.9, "p95": 0.95}
+
+
+def quantiles(rows: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """by, n, max and the exact quantiles of a value by linear interpolation; nulls don't count, a group of nulls has n 0.
+
+    Equal values are counted first; the distinct ones are sorted by range over all groups, so that a group of any size is spread
+    over tasks, and each knows from the counts of the ranges before it which ranks its rows hold. Only the rows around a quantile
+    go on.
+    """
+    counted = rows.groupBy(F.col(by).alias("g"), F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
+    sizes = counted.groupBy("g").agg(F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("c"))), F.lit(0)).alias("n"), F.max("v").alias("max"))
+    # A row's partition is read again after the write, so that its number stays what it was.
+    placed = stored(counted.where("v is not null").repartitionByRange("g", "v").withColumn("part", F.spark_partition_id()))
+    parts = placed.groupBy("part", "g").agg(F.sum("c").alias("in_part"))
+    earlier = Window.partitionBy("g").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    parts = parts.withColumn("start", F.coalesce(F.sum("in_part").over(earlier), F.lit(0))).drop("in_part")
+    within = Window.partitionBy("part", "g").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = placed.withColumn("end", F.sum("c").over(within)).withColumnRenamed("g", "_g").withColumnRenamed("part", "_p")
+    ranked = ranked.join(parts, F.col("_g").eqNullSafe(F.col("g")) & (F.col("_p") == F.col("part"))).select("_g", "v", (F.col("start") + F.col("end") - F.col("c")).alias("first"), (F.col("start") + F.col("end")).alias("until"))
+    out = ranked.join(sizes, F.col("_g").eqNullSafe(F.col("g")), "right")
+    found = []
+    for name, share in shares.items():
+        at = F.lit(share) * (F.col("n") - 1)
+        at_rank = lambda r: F.max(F.when((F.col("first") <= r) & (r < F.col("until")), F.col("v")))
+        low, high = at_rank(F.floor(at)), at_rank(F.ceil(at))
+        part = F.max(at - F.floor(at))
+        found.append((low * (1 - part) + high * part).alias(name))
+    near = F.lit(False)
+    for share in shares.values():
+        at = F.lit(share) * (F.col("n") - 1)
+        for r in (F.floor(at), F.ceil(at)):
+            near = near | ((F.col("first") <= r) & (r < F.col("until")))
+    return out.where(F.coalesce(near, F.col("n") == 0)).groupBy("g").agg(F.max("n").alias("n"), F.max("max").alias("max"), *found).withColumnRenamed("g", by)
+
+
+def latency_percentiles(attempts: DataFrame, by: str, value: str, overall: str | None = None) -> DataFrame:
+    """Group, n, p50, p90, p95, max with linear interpolation, 2 decimals; overall names one more row, of all attempts."""
+    rows = attempts.select(F.col(by).alias(by), F.col(value).alias("_v"))
+    if overall is not None:
+        rows = rows.withColumn(by, F.explode(F.array(F.col(by), F.lit(overall))))
+    out = quantiles(rows, by, "_v", SHARES)
+    # Of the number itself, not of its shortest decimal form, which may end in a 5 that the number does not reach.
+    short = lambda c: F.signum(c) * F.floor(F.abs(F.col(c)) * 100 + 0.5) / 100
+    return out.select(by, "n", *[short(c).alias(c) for c in (*SHARES, "max")])
+
+
+def captured(rows: DataFrame, predict: Callable[[dict], dict], columns: str, keep: tuple[str, ...]) -> DataFrame:
+    """The kept columns, those that a predictor gives for each row, status and error.
+
+    A row whose predictor fails, or gives other columns or types, stands as an error row (status error, no values) beside the
+    good ones of its batch; a row's own status stays if the predictor gives one.
+    """
+    schema = T.StructType.fromDDL(columns)
+    names = [f.name for f in schema if f.name != "status"]
+    arrow = pa.struct([pa.field(f.name, to_arrow_type(f.dataType)) for f in schema])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for row in frame.to_dict("records"):
+                try:
+                    found = dict(predict(row))
+                    if set(found) - {"status"} != set(names):
+                        raise ValueError(f"a predictor gives {sorted(names)}")
+                    pa.array([{n: found.get(n) for n in schema.names}], arrow)
+                    out.append([*(row[k] for k in keep), *(found[n] for n in names), str(found.get("status") or "answered"), None])
+                except Exception as e:  # noqa: BLE001 - any failure of a predictor is one row's error
+                    out.append([*(row[k] for k in keep), *(None for _ in names), "error", " ".join(f"{type(e).__name__}: {e}".split())[:240]])
+            yield pd.DataFrame(out, columns=[*keep, *names, "status", "error"], dtype=object)
+
+    fields = [rows.schema[k] for k in keep] + [T.StructField(f.name, f.dataType) for f in schema if f.name != "status"]
+    return rows.mapInPandas(run, T.StructType([*fields, T.StructField("status", T.StringType()), T.StructField("error", T.StringType())]))
+
+
+def error_rows(rows: DataFrame) -> DataFrame:
+    """The rows of an evaluation with the fixed fields of those that failed: no answer, nothing retrieved, stop reason evaluation_error."""
+    bad = F.col("status") == "error"
+    fixed = {"answer": F.lit(""), "stop_reason": F.lit("evaluation_error"), "retrieved_count": F.lit(0), "selected_count": F.lit(0), "confidence": F.lit(None), "loop_count": F.lit(None), "latency_ms": F.lit(None), "grounded_score": F.lit(0.0)}
+    return rows.withColumns({c: F.when(bad, v.cast(rows.schema[c].dataType)).otherwise(F.col(c)) for c, v in fixed.items() if c in rows.columns})

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..sources.tables import stored
+from . import replies
 
 # Limits of the simple and the normal class (retrieved, reranked, context chunks, characters, tokens).
 BUDGETS = {"simple_extractive": (3, 3, 2, 1600, 384), "normal": (5, 5, 3, 3000, 768)}
@@ -167,6 +171,7 @@ def cautious(context: Column, language: Column, otherwise: Column) -> Column:
 # Bounds of the semantic score of grounding.
 SEMANTIC_LEAST, SEMANTIC_WEIGHT = 0.58, 0.35
 LONG_ANSWER, LOW_CONFIDENCE, LOW_LEXICAL = 320, 0.35, 0.04
+SEMANTIC_CONTEXTS = 6
 
 
 def semantic_policy(mode: Column, complexity: Column, lexical: Column, citations: Column, length: Column, confidence: Column, fast_path: Column, policy: str = "adaptive", modes: tuple[str, ...] = ("advanced", "compare")) -> Column:
@@ -199,6 +204,54 @@ def blended(lexical: Column, semantic: Column) -> Column:
     return F.when(semantic >= SEMANTIC_LEAST, F.round(F.greatest(lexical, F.least(F.lit(1.0), mixed)), 4)).otherwise(lexical)
 
 
+def semantic_likeness(rows: DataFrame, embed: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """query_id and semantic: the largest cosine of the answer's vector with those of its first contexts that have text, 0 to 1;
+    null where there is no answer or no context.
+
+    embed gives key, vec of key, text and sees each distinct text once, whatever number of rows hold it.
+    """
+    contexts = F.slice(F.filter(F.transform("contexts", tx.stripped), lambda c: c != ""), 1, SEMANTIC_CONTEXTS)
+    pairs = rows.select("query_id", tx.stripped(F.col("answer")).alias("a"), F.explode(contexts).alias("c")).where("a <> ''")
+    key = lambda c: F.sha2(c.cast("binary"), 256)
+    pairs = stored(pairs.select("query_id", "a", "c", key(F.col("a")).alias("ka"), key(F.col("c")).alias("kc")))
+    texts = pairs.select(F.col("ka").alias("key"), F.col("a").alias("text")).unionAll(pairs.select("kc", "c")).groupBy("key").agg(F.any_value("text").alias("text"))
+    vectors = stored(embed(texts).select("key", "vec"))
+    both = pairs.select("query_id", "ka", "kc").join(vectors.select(F.col("key").alias("ka"), F.col("vec").alias("va")), "ka").join(vectors.select(F.col("key").alias("kc"), F.col("vec").alias("vc")), "kc")
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, p: s + p)
+    norms = F.sqrt(dot(F.col("va"), F.col("va")) * dot(F.col("vc"), F.col("vc")))
+    cosine = F.when(norms > 0, dot(F.col("va"), F.col("vc")) / norms).otherwise(0.0)
+    return both.groupBy("query_id").agg(F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.max(cosine))), 4).alias("semantic"))
+
+
+def with_semantic(rows: DataFrame, embed: Callable[[DataFrame], DataFrame], use: Column) -> DataFrame:
+    """Rows of query_id, answer, contexts, grounded with semantic and the blended score, for those that use says; others keep theirs."""
+    asked = rows.where(use)
+    out = rows.join(semantic_likeness(asked, embed), "query_id", "left")
+    return out.withColumn("grounded", F.when(F.col("semantic").isNotNull(), blended(F.col("grounded"), F.col("semantic"))).otherwise(F.col("grounded")))
+
+
+def merged_critique(own: dict[str, Column], said: Column, loop: Column, max_loops: Column) -> dict[str, Column]:
+    """A model's critique over the rules' own: what its JSON object says holds where it can be read, each field by itself.
+
+    Booleans may be written as words, numbers are none; lists keep their texts; an empty list stands for none said. In the last loop nothing is
+    retried. said that holds no object leaves all as it was.
+    """
+    v = F.try_parse_json(replies.json_object(said))
+    kind = lambda k: F.schema_of_variant(F.try_variant_get(v, f"$.{k}", "variant"))
+    word = lambda k: F.when(kind(k).isin("BOOLEAN", "STRING"), F.lower(tx.stripped(F.try_variant_get(v, f"$.{k}", "string"))))
+    flag = lambda k, old: F.when(word(k).isin("true", "1", "yes", "y"), True).when(word(k).isin("false", "0", "no", "n"), False).otherwise(old)
+    texts = lambda k: F.filter(F.transform(F.coalesce(F.try_variant_get(v, f"$.{k}", "array<string>"), F.array().cast("array<string>")), tx.stripped), lambda x: x != "")
+    some = lambda k, old: F.when(F.size(texts(k)) > 0, texts(k)).otherwise(old)
+    number = F.try_variant_get(v, "$.confidence", "double")
+    return {
+        "grounded": flag("grounded", own["grounded"]), "enough_evidence": flag("enough_evidence", own["enough_evidence"]), "conflict": flag("has_conflict", own["conflict"]),
+        "missing": some("missing_aspects", own["missing"]), "should_retry": flag("should_retry_retrieval", own["should_retry"]) & (loop < max_loops),
+        "should_refine": flag("should_refine_answer", own["should_refine"]), "better_queries": some("better_queries", own["better_queries"]),
+        "confidence": F.coalesce(number, own["confidence"]),
+        "note": F.coalesce(F.nullif(F.try_variant_get(v, "$.note", "string"), F.lit("")), own["note"]),
+    }
+
+
 def branch_score(citations: Column, grounded: Column, status: Column, hallucination: Column, mismatch: Column, fallback: Column, confidence: Column) -> Column:
     unit = lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(x, F.lit(0.0))))
     return F.round(

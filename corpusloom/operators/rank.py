@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as tx
 
@@ -17,13 +21,29 @@ def rerank_by_score(hits: DataFrame, k: int) -> DataFrame:
     return hits.where(F.col("rank") <= k).withColumn("pre_rank", F.col("rank")).withColumn("rank", F.row_number().over(order))
 
 
-def pass_through(hits: DataFrame, k: int) -> DataFrame:
-    return hits.where(F.col("rank") <= k).withColumn("pre_rank", F.col("rank"))
-
+def rerank_with(hits: DataFrame, k: int, scorer: Callable[[list[tuple[str, str]]], list[float]]) -> DataFrame:
+    """The first k of each query (query_id, query, rank, chunk_id, content, score) in the order of a model's scores of (query, content).
 
-def rerank_with(hits: DataFrame, k: int, scorer: Column) -> DataFrame:
-    """The first k in the order of a model's score: any column expression, a pandas UDF over the pair included."""
-    return rerank_by_score(hits.where(F.col("rank") <= k).withColumn("score", scorer), k)
+    A query whose scorer fails, or gives another number of scores or one that is no number, keeps its order (reranked false); the
+    others are not touched by it. Adds rerank_score, pre_rank and reranked. A group is k rows at most.
+    """
+    out = T.StructType([*hits.schema, T.StructField("rerank_score", T.DoubleType()), T.StructField("pre_rank", T.IntegerType()), T.StructField("reranked", T.BooleanType())])
+
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("rank", kind="stable").reset_index(drop=True)
+        frame["pre_rank"] = frame["rank"].astype(int)
+        try:
+            scores = [float(s) for s in scorer(list(zip(frame["query"], frame["content"])))]
+            if len(scores) != len(frame) or any(s != s for s in scores):
+                raise ValueError("a score for each pair is needed")
+        except Exception:  # noqa: BLE001 - whatever fails in a model, the retrieval's order stands
+            return frame.assign(rerank_score=None, reranked=False)
+        frame["rerank_score"] = scores
+        order = frame["rerank_score"].round(9).sort_values(ascending=False, kind="stable").index
+        frame = frame.loc[order].reset_index(drop=True)
+        return frame.assign(rank=range(1, len(frame) + 1), reranked=True)
+
+    return hits.where(F.col("rank") <= k).groupBy("query_id").applyInPandas(one, out)
 
 
 def score_stats(hits: DataFrame) -> DataFrame:

@@ -190,6 +190,15 @@ case when n_gold > 0 then round(coalesce(dcg, 0) / list_sum(list_transform(gener
         "citation_gold_overlap": f"with {bm25(5)}, {GOLD} select query_id, round(count(bm.doc_id)::double / count(*), 6) as overlap from gold left join bm using (query_id, doc_id) group by query_id",
         "eval_category_summary": f"with {EVAL} select mode, category, count(*) as n, round(avg(latency_ms), 6) as avg_latency_ms, round(avg(confidence), 6) as avg_confidence, round(avg(retried::int), 6) as retried_rate, round(avg(abstained::int), 6) as abstained_rate, round(avg(cited::int), 6) as cited_rate from ev group by mode, category",
         "paired_delta": f"with {EVAL} select count(*) as n_pairs, round(avg(a.latency_ms - s.latency_ms), 6) as latency_delta, round(avg(a.confidence - s.confidence), 6) as confidence_delta from ev s join ev a on s.example_id = a.example_id and s.mode = 'standard' and a.mode = 'advanced'",
+        "latency_percentiles_overall": """with e as (select user_id::varchar as "user", value from events union all select 'overall', value from events)
+select "user", count(value) as n, round(quantile_cont(value, 0.5), 2) as p50, round(quantile_cont(value, 0.9), 2) as p90, round(quantile_cont(value, 0.95), 2) as p95, round(max(value), 2) as max from e group by 1""",
+        "captured_predictions": """select event_id, case when event_id % 7 = 0 then '' else event_type end as answer, case when event_id % 7 > 0 then round(1::double / (event_id % 7), 6) end as confidence,
+case when event_id % 7 = 0 then 'error' else 'answered' end as status, case when event_id % 7 = 0 then 'ZeroDivisionError: division by zero' end as error, case when event_id % 7 = 0 then 'evaluation_error' else 'done' end as stop_reason from events""",
+        "semantic_blend": f"""with {bm25(6)}, {dense(10)}, s as (select query_id, round(least(1::double, greatest(0::double, max(cs.score))), 4) as semantic from bm join cs using (query_id, doc_id) group by query_id)
+select query_id, semantic, case when semantic >= 0.58 then round(greatest(0.1::double, least(1::double, 0.65::double * 0.1::double + 0.35::double * semantic)), 4) else 0.1::double end as grounded from s""",
+        "composed_text": """select doc_id, sha256(nfc_normalize(replace(replace(replace(text, 'a', 'a' || chr(770) || chr(803)), 'o', 'o' || chr(795)), 'd', 'd' || chr(803)))) as text_sha256 from documents""",
+        "progress_of_runs": """select conv_id::varchar as run_id, 'done' as status, count(*) + 2 as events, coalesce(string_agg(role, ',' order by turn) filter (where role <> 'assistant'), '') as stages,
+count(*) filter (where role = 'assistant') as deltas, sha256(coalesce(string_agg(text, '' order by turn) filter (where role = 'assistant'), '')) as answer_sha256 from conversations group by conv_id""",
         "latency_percentiles": "select event_type, count(value) as n, round(quantile_cont(value, 0.5), 2) as p50, round(quantile_cont(value, 0.9), 2) as p90, round(quantile_cont(value, 0.95), 2) as p95, round(max(value), 2) as max from events group by event_type",
         "advanced_status": f"with {BRANCH} select example_id, case when mismatch then 'insufficient_evidence' when grounded >= 0.12 then 'answered' when grounded >= 0.02 or (citations > 0 and not hallucination) then 'partial' else 'insufficient_evidence' end as status from br where mode = 'advanced'",
         "compare_verdict": f"""with {SCORED} select example_id, s.score as standard_score, a.score as advanced_score,

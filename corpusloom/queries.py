@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .functions import text as tx
 from .operators import chunking, evaluate, extract, index, judge, rank, replies, retrieve, scope, selectors, traces
 from .plans import indexes
+from .sources.tables import new_folder
+from .streaming import events, progress
 
 K = 10
 
@@ -500,6 +502,57 @@ def latency_percentiles(spark, sf_dir):
     return evaluate.latency_percentiles(table(spark, sf_dir, "events"), "event_type", "value")
 
 
+def latency_percentiles_overall(spark, sf_dir):
+    """The same by user, of whom there are many, and of all events."""
+    e = table(spark, sf_dir, "events").withColumn("user", F.col("user_id").cast("string"))
+    return evaluate.latency_percentiles(e, "user", "value", overall="overall")
+
+
+def captured_predictions(spark, sf_dir):
+    """A predictor that divides by a number that is 0 for every seventh event: error rows stand beside the good ones."""
+
+    def predict(row: dict) -> dict:
+        return {"answer": str(row["event_type"]), "confidence": 1 / (row["event_id"] % 7)}
+
+    e = table(spark, sf_dir, "events").select("event_id", "event_type")
+    rows = evaluate.captured(e, predict, "answer string, confidence double", ("event_id",)).withColumn("stop_reason", F.lit("done"))
+    return rounded(evaluate.error_rows(rows), "confidence")
+
+
+def semantic_blend(spark, sf_dir):
+    """Each item's text as an answer, the documents that BM25 gives it as contexts, hash vectors as embeddings."""
+    hits = contents(spark, sf_dir, 6)
+    contexts = hits.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "content"))), lambda x: x["content"]).alias("contexts"))
+    rows = asked(spark, sf_dir).withColumnRenamed("query", "answer").join(contexts, "query_id").withColumn("grounded", F.lit(0.1))
+    embed = lambda texts: index.hash_counts(texts.withColumnRenamed("key", "chunk_id")).withColumnRenamed("chunk_id", "key")
+    return judge.with_semantic(rows, embed, F.lit(True)).select("query_id", "semantic", "grounded")
+
+
+def composed_text(spark, sf_dir):
+    """Texts with two marks after each a and one after each o and d, composed."""
+    text = F.col("text")
+    for letter, marks in (("a", "\u0302\u0323"), ("o", "\u031b"), ("d", "\u0323")):
+        text = F.replace(text, F.lit(letter), F.lit(letter + marks))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(tx.composed(text).cast("binary"), 256).alias("text_sha256"))
+
+
+def progress_of_runs(spark, sf_dir):
+    """Conversations as event text of runs, in pieces of 97 characters, through the stream that puts them together."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("run_id"), "turn", "role", "text")
+    frame = lambda kind, *more: F.concat(F.lit(f"event: {kind}\ndata: "), F.to_json(F.struct(F.lit(kind).alias("type"), *more)), F.lit("\n\n"))
+    said = F.when(F.col("role") == "assistant", frame("generation_delta", F.col("text").alias("delta"))).otherwise(frame("stage", F.col("role").alias("stage")))
+    runs = turns.groupBy("run_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", said.alias("f")))), lambda x: x["f"]), "").alias("middle"))
+    whole = F.concat(frame("start"), "middle", frame("done"))
+    pieces = runs.select("run_id", F.posexplode(F.regexp_extract_all(whole, F.lit("(?s).{1,97}"), F.lit(0))).alias("n", "piece"))
+    pieces = pieces.select("run_id", F.col("n").cast("long").alias("seq"), F.timestamp_millis(F.col("n") + 1_704_067_200_000).alias("at"), "piece")
+    folder = new_folder(spark, "progress")
+    pieces.write.parquet(f"{folder}/pieces")
+    found = progress.events(spark.readStream.schema(progress.PIECES).parquet(f"{folder}/pieces"))
+    events.publish(found, f"{folder}/events", f"{folder}/checkpoint").awaitTermination()
+    rows = progress.progress(spark.read.schema(progress.EVENTS).option("recursiveFileLookup", "true").parquet(f"{folder}/events"))
+    return rows.select("run_id", "status", "events", F.array_join("stages", ",").alias("stages"), "deltas", F.sha2(F.col("answer").cast("binary"), 256).alias("answer_sha256"))
+
+
 def branches(spark, sf_dir):
     """Per example a standard and an advanced branch, made of two events."""
     r = eval_rows(spark, sf_dir)
@@ -541,5 +594,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         dedupe_rewrites, ocr_decision, extractive_answer, retrieval_metrics, gold_selector_metrics, citation_gold_overlap, behavior_metrics, term_metrics, direct_and_branches, coerced_values, eval_category_summary, paired_delta,
         latency_percentiles, compare_verdict, advanced_status, metadata_filters, scope_guard, document_registry, ready_documents, block_counts,
         trace_rankings, strategy_summary, semantic_policy, reply_fields, citation_lines, display_names,
+        latency_percentiles_overall, captured_predictions, semantic_blend, composed_text, progress_of_runs,
     )
     return {f.__name__: f for f in own} | workflow.queries()
