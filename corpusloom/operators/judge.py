@@ -98,6 +98,10 @@ def critique(query: Column, answer: Column, context: Column, n_docs: Column, loo
     }
 
 
+# What a rewrite ends with.
+REWRITE_ENDS = ("with grounded evidence", "with source citations")
+
+
 def better_queries(query: Column, missing: Column) -> Column:
     """Queries for another pass: one for evidence and one for each of the first two missing words."""
     aspects = F.filter(F.slice(F.split(missing, ","), 1, 2), lambda x: x != "")

@@ -48,11 +48,11 @@ def fields(gold: Column) -> Column:
 
 
 def sources(ranked: DataFrame) -> DataFrame:
-    """Each example's distinct sources in order, ranked anew, with normal forms. A missing document is read from the chunk's name,
-    a missing path is the source."""
+    """Each example's distinct sources in order, ranked anew, with normal forms, and as they are written in `said`. A missing document is
+    read from the chunk's name, a missing path is the source."""
     doc = F.coalesce("doc_id", F.when(F.contains("chunk_id", F.lit("_chunk_")), F.substring_index("chunk_id", "_chunk_", 1)))
     rows = ranked.withColumn("doc_id", doc).withColumn("path", F.coalesce("path", "source"))
-    rows = rows.select("example_id", "rank", *[normal(F.col(c)).alias(c) for c in ("chunk_id", "doc_id", "title", "section")], *[normal_path(F.col(c)).alias(c) for c in ("source", "path")])
+    rows = rows.select("example_id", "rank", *[normal(F.col(c)).alias(c) for c in ("chunk_id", "doc_id", "title", "section")], *[normal_path(F.col(c)).alias(c) for c in ("source", "path")], F.struct(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("chunk_id", "doc_id", "source", "path", "title", "section")]).alias("said"))
     meta = F.concat_ws("|", "doc_id", "source", "path", "title", "section")
     key = F.when(F.col("chunk_id") != "", F.concat(F.lit("chunk:"), "chunk_id")).otherwise(F.concat(F.lit("meta:"), meta))
     rows = rows.where(F.concat("chunk_id", meta) != "||||").withColumn("_n", F.row_number().over(Window.partitionBy("example_id", key).orderBy("rank"))).where("_n = 1").drop("_n")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import selectors
@@ -14,6 +14,53 @@ STEP = f"array<struct<step: string, count: int, chunk_size: int, chunk_overlap:
 STRATEGIES = ("dense", "bm25", "hybrid", "hybrid_rerank")
 
 
+#: Names of the timings that a retrieval has.
+TIMINGS = ("retrieval_total_ms", "dense_retrieve_ms", "sparse_retrieve_ms", "hybrid_merge_ms")
+
+
+def whole_ms(value: Column, default: Column | int = 0) -> Column:
+    """A time as a whole number of at least 0; what is no number, a truth value included, is the default."""
+    kind = F.schema_of_variant(value)
+    number = F.when(kind == "BOOLEAN", None).when(kind == "STRING", F.try_variant_get(value, "$", "string").try_cast("long")).otherwise(F.try_variant_get(value, "$", "double").cast("long"))
+    return F.greatest(F.lit(0), F.coalesce(number, F.lit(default).cast("long") if isinstance(default, int) else default))
+
+
+def timings(payload: Column) -> Column:
+    """Struct of all timings of a retrieval out of a JSON object, 0 where one is missing, and whether all were there."""
+    v = F.try_parse_json(payload)
+    there = F.lit(True)
+    for name in TIMINGS:
+        there = there & F.try_variant_get(v, f"$.{name}", "variant").isNotNull()
+    return F.struct(*[whole_ms(F.try_variant_get(v, f"$.{n}", "variant")).alias(n) for n in TIMINGS], there.alias("breakdown_available"))
+
+
+def step(name: str, **fields: Column) -> Column:
+    """A step of a trace as JSON; fields that are null are left out."""
+    return F.to_json(F.struct(F.lit(name).alias("step"), *[c.alias(k) for k, c in fields.items()]))
+
+
+def completed(trace: Column, total_ms: Column | int = 0) -> Column:
+    """The steps (JSON texts, in order; null: none) with a last one that says completed, its status and time.
+
+    One that ends the trace already gets what it lacks and keeps all else that it says; a time that is no number becomes total_ms.
+    """
+    trace = F.coalesce(trace, F.array().cast("array<string>"))
+    total = F.greatest(F.lit(0), F.coalesce((F.lit(total_ms) if isinstance(total_ms, int) else total_ms).cast("long"), F.lit(0)))
+    fields = F.from_json(F.get(trace, F.size(trace) - 1), "map<string,variant>")
+    text = lambda k: F.try_variant_get(F.try_element_at(fields, F.lit(k)), "$", "string")
+    ended = F.coalesce(F.lower(F.trim(text("step"))) == "completed", F.lit(False))
+    ms = whole_ms(F.try_element_at(fields, F.lit("total_ms")), total)
+    rest = F.map_filter(fields, lambda k, v: k != "total_ms")
+    added = F.map_from_entries(F.filter(F.array(F.struct(F.lit("status"), F.parse_json(F.lit('"success"'))), F.struct(F.lit("total_ms"), F.parse_json(ms.cast("string")))), lambda e: (e["col1"] == "total_ms") | ~F.map_contains_key(rest, "status")))
+    mended = F.concat(F.slice(trace, 1, F.greatest(F.lit(0), F.size(trace) - 1)), F.array(F.to_json(F.map_concat(rest, added))))
+    return F.when(ended, mended).otherwise(F.concat(trace, F.array(step("completed", status=F.lit("success"), total_ms=total))))
+
+
+def as_list(trace: Column) -> Column:
+    """The steps as one JSON list."""
+    return F.concat(F.lit("["), F.array_join(trace, ","), F.lit("]"))
+
+
 def steps(traces: DataFrame) -> DataFrame:
     """One row a step of traces (run_id, trace: a JSON list of steps), with its number; a trace that is no JSON has none."""
     return traces.select("run_id", F.posexplode(F.from_json("trace", STEP)).alias("step_no", "s")).select("run_id", "step_no", "s.*")
@@ -35,7 +82,7 @@ def documents(rows: DataFrame) -> DataFrame:
 
 
 def rankings(docs: DataFrame) -> DataFrame:
-    """run_id, strategy, rank and the six fields: the distinct sources of each strategy.
+    """run_id, strategy, rank and the six fields as written (empty where there is none): the distinct sources of each strategy.
 
     dense and bm25 order the documents of the last retrieval by their score; hybrid are those of the last retrieval that has
     any source, in their order, or all sources of a run without one, as first seen; hybrid_rerank those of the last reranking
@@ -55,9 +102,9 @@ def rankings(docs: DataFrame) -> DataFrame:
     entries = F.array(*[F.struct(F.lit(name).alias("strategy"), key.alias("place")) for name, key in keys.items()])
     rows = marked.select("run_id", *FIELDS, F.inline(entries)).where("place is not null")
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("run_id", "strategy").orderBy("place")))
-    # The selectors' rule for equal sources; their normal forms are what metrics compare.
+    # The selectors' rule for equal sources, which compares normal forms.
     found = selectors.sources(ranked.withColumn("example_id", F.struct("run_id", "strategy")).drop("run_id", "strategy", "place"))
-    return found.select("example_id.run_id", "example_id.strategy", "rank", *FIELDS)
+    return found.select("example_id.run_id", "example_id.strategy", "rank", *[f"said.{c}" for c in FIELDS])
 
 
 def counts(rows: DataFrame) -> DataFrame:

@@ -216,8 +216,8 @@ select doc_id, case when status = 'ready' and doc_id::int % 3 = 0 then 'failed'
         "ready_documents": f"with {STATES} select doc_id from sl group by doc_id having arg_max(status, (updated_us, place)) = 'ready' and doc_id::int % 3 <> 0",
         "block_counts": """select conv_id as doc_id, count(*) as total_blocks, count(*) filter (turn % 4 = 0) as text_blocks, count(*) filter (turn % 4 = 1) as table_blocks, count(*) filter (turn % 4 = 2) as image_blocks,
 count(*) filter (turn % 4 = 3 or turn % 5 = 0) as ocr_blocks from conversations group by conv_id""",
-        "trace_rankings": """with d as (select conv_id as run_id, turn // 3 as step_no, case when turn // 3 % 2 = 0 then 'retrieve' else 'rerank' end as kind, turn % 3 as doc_no, case when turn % 4 <> 3 then 'd' || turn % 5 || '_chunk_0' else '' end as chunk_id,
-case when turn % 4 <> 3 then 'd' || turn % 5 else '' end as doc_id, 'a/s' || turn % 2 || '.md' as path, case when turn % 5 <> 0 then length(text) % 10 end as ds, case when turn % 5 <> 1 then length(text) % 3 end as ss from conversations),
+        "trace_rankings": """with d as (select conv_id as run_id, turn // 3 as step_no, case when turn // 3 % 2 = 0 then 'retrieve' else 'rerank' end as kind, turn % 3 as doc_no, case when turn % 4 <> 3 then 'D' || turn % 5 || '_chunk_0' else '' end as chunk_id,
+case when turn % 4 <> 3 then 'D' || turn % 5 else '' end as doc_id, 'a//S' || turn % 2 || '.md' as path, case when turn % 5 <> 0 then length(text) % 10 end as ds, case when turn % 5 <> 1 then length(text) % 3 end as ss from conversations),
 m as (select *, max(step_no) filter (kind = 'retrieve') over (partition by run_id) as l, max(step_no) filter (kind = 'rerank') over (partition by run_id) as r from d),
 e as (select *, 'dense' as strategy, -ds as s from m where kind = 'retrieve' and step_no = l and ds is not null union all select *, 'bm25', -ss from m where kind = 'retrieve' and step_no = l and ss is not null
 union all select *, 'hybrid', 0 from m where l is null or (kind = 'retrieve' and step_no = l) union all select *, 'hybrid_rerank', 0 from m where kind = 'rerank' and step_no = r),
