@@ -109,41 +109,69 @@ def prefix(title: Column, section: Column) -> Column:
 def grouped_blocks(blocks: DataFrame, cap: int) -> DataFrame:
     """Merges a document's text blocks in order while the section stays, up to cap characters; other blocks stand alone.
 
-    blocks: doc_id, block_index, block_type, title, section, content, is_heading. A heading takes in the block after it.
+    blocks: doc_id, block_index, block_type, title, section, content, is_heading, and metadata (map of texts) if there is any. A
+    heading takes in the block after it. Metadata unite in the blocks' order: a key keeps the value of the first block that has one.
     """
+    blocks = blocks if "metadata" in blocks.columns else blocks.withColumn("metadata", F.create_map().cast("map<string,string>"))
+    blocks = blocks.withColumn("metadata", F.coalesce("metadata", F.create_map().cast("map<string,string>")))
     order = Window.partitionBy("doc_id").orderBy("block_index")
     before = lambda c: F.lag(c).over(order)
     same = F.coalesce("section", F.lit("")) == F.coalesce(before("section"), F.lit(""))
     under = before("is_heading") & ((F.coalesce("section", F.lit("")) == "") | (F.coalesce(before("section"), F.lit("")) == ""))
     joins = (F.col("block_type") == "text") & (before("block_type") == "text") & (same | under)
     runs = blocks.withColumn("_run", F.sum(F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).over(order))
-    listed = runs.groupBy("doc_id", "_run").agg(F.array_sort(F.collect_list(F.struct("block_index", "content", "is_heading"))).alias("b"), F.first("block_type").alias("block_type"), F.max("title").alias("title"), F.max_by("section", "block_index").alias("section"))
-    item = "struct<content:string,n:int,lone:boolean,hint:boolean>"
-    make = lambda c, n, lone, hint: F.struct(c.alias("content"), n.cast("int").alias("n"), lone.alias("lone"), hint.alias("hint"))
+    listed = runs.groupBy("doc_id", "_run").agg(F.array_sort(F.collect_list(F.struct("block_index", "content", "is_heading", F.map_entries("metadata").alias("meta")))).alias("b"), F.first("block_type").alias("block_type"), F.max("title").alias("title"), F.max_by("section", "block_index").alias("section"))
+    item = "struct<content:string,n:int,lone:boolean,hint:boolean,meta:map<string,string>>"
+    make = lambda c, n, lone, hint, meta: F.struct(c.alias("content"), n.cast("int").alias("n"), lone.alias("lone"), hint.alias("hint"), meta.alias("meta"))
 
     def step(acc: Column, x: Column) -> Column:
-        n = F.char_length(x["content"])
+        n, meta = F.char_length(x["content"]), F.map_from_entries(x["meta"])
         last = F.element_at(acc, -1)
         fits = (F.size(acc) > 0) & ((last["n"] + n + 2 <= cap) | last["lone"])
-        grown = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(make(F.concat(last["content"], F.lit("\n\n"), x["content"]), last["n"] + n + 2, F.lit(False), last["hint"])))
-        return F.when(fits, grown.cast(f"array<{item}>")).otherwise(F.concat(acc, F.array(make(x["content"], n, x["is_heading"], x["is_heading"]))).cast(f"array<{item}>"))
+        grown = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(make(F.concat(last["content"], F.lit("\n\n"), x["content"]), last["n"] + n + 2, F.lit(False), last["hint"], F.map_zip_with(last["meta"], meta, lambda k, a, b: F.coalesce(a, b)))))
+        return F.when(fits, grown.cast(f"array<{item}>")).otherwise(F.concat(acc, F.array(make(x["content"], n, x["is_heading"], x["is_heading"], meta))).cast(f"array<{item}>"))
 
     folded = F.aggregate("b", F.array().cast(f"array<{item}>"), step)
-    return listed.select("doc_id", "_run", "block_type", "title", "section", F.posexplode(folded).alias("part", "g")).select("doc_id", "_run", "part", "block_type", "title", "section", F.col("g.content").alias("content"), F.coalesce("g.hint", F.lit(False)).alias("is_heading"))
+    return listed.select("doc_id", "_run", "block_type", "title", "section", F.posexplode(folded).alias("part", "g")).select("doc_id", "_run", "part", "block_type", "title", "section", F.col("g.content").alias("content"), F.coalesce("g.hint", F.lit(False)).alias("is_heading"), F.col("g.meta").alias("metadata"))
 
 
 def chunk(blocks: DataFrame, size: int = SIZE, overlap: int = OVERLAP, cap: int | None = None, with_prefix: bool = True) -> DataFrame:
-    """chunk_id, chunk_index, doc_id, block_type, title, section, content of every chunk."""
+    """chunk_id, chunk_index, doc_id, block_type, title, section, content of every chunk, and metadata if the blocks have any."""
+    if size <= 0 or overlap < 0 or overlap >= size or (cap is not None and cap <= 0):
+        raise ValueError(f"chunk size {size}, overlap {overlap} or cap {cap} is out of bounds")
+    with_metadata = "metadata" in blocks.columns
     groups = grouped_blocks(blocks, cap or max(1200, 12 * size))
     head = prefix(F.col("title"), F.col("section")) if with_prefix else F.lit("")
     groups = groups.withColumn("_head", head).withColumn("_head", F.when(F.size(words(F.col("_head"))) < size, F.col("_head")).otherwise(""))
     room = size - F.size(words(F.col("_head")))
     pieces = F.flatten(F.transform(merged(tx.paragraphs(F.col("content")), room, F.col("is_heading")), lambda p: F.when(F.size(words(p)) <= room, F.array(p)).otherwise(split_long(p, room, overlap))))
     text = F.when(F.col("block_type") == "text", pieces).otherwise(F.array("content"))
-    rows = groups.select("doc_id", "_run", "part", "block_type", "title", "section", "_head", F.posexplode(text).alias("_i", "piece"))
+    rows = groups.select("doc_id", "_run", "part", "block_type", "title", "section", "metadata", "_head", F.posexplode(text).alias("_i", "piece"))
     held = words(F.col("piece"))
     body = F.when(F.size(held) <= room, F.col("piece")).otherwise(F.array_join(F.slice(held, 1, F.greatest(F.lit(1), room)), " "))
     rows = rows.withColumn("content", F.concat("_head", body)).where(tx.stripped(F.col("content")) != "")
     rows = rows.withColumn("chunk_index", F.row_number().over(Window.partitionBy("doc_id").orderBy("_run", "part", "_i")) - 1)
     name = F.concat(F.col("doc_id").cast("string"), F.lit("_chunk_"), F.format_string("%04d", "chunk_index"), F.lit("_"), F.substring(F.sha1(F.col("content").cast("binary")), 1, 10))
-    return rows.select(name.alias("chunk_id"), "chunk_index", "doc_id", "block_type", "title", "section", "content")
+    more = [chunk_metadata().alias("metadata")] if with_metadata else []
+    return rows.select(name.alias("chunk_id"), "chunk_index", "doc_id", "block_type", "title", "section", "content", *more)
+
+
+def chunk_metadata() -> Column:
+    """A chunk's metadata: its blocks' own, under the keys that a chunk says itself; names and types have defaults."""
+    meta = F.col("metadata")
+    get = lambda k: F.nullif(F.try_element_at(meta, F.lit(k)), F.lit(""))
+    base = F.element_at(F.split(F.coalesce(get("source"), F.lit("")), "/"), -1)
+    suffix = F.coalesce(get("file_extension"), F.lower(F.regexp_extract(base, r"(\.[^.]*)$", 1)))
+    injected = F.col("_head") != ""
+    own = {
+        "chunk_index": F.col("chunk_index").cast("string"), "doc_id": F.col("doc_id").cast("string"), "file_name": F.coalesce(get("file_name"), get("filename"), base),
+        "filename": F.coalesce(get("filename"), get("file_name"), base), "file_extension": suffix, "file_type": F.coalesce(get("file_type"), F.regexp_replace(suffix, r"^\.+", "")),
+        "block_type": F.coalesce(get("block_type"), F.col("block_type")), "ocr": truth(F.try_element_at(meta, F.lit("ocr"))).cast("string"),
+        "heading_context_injected": injected.cast("string"), "heading_context_prefix_length": F.char_length("_head").cast("string"),
+    }
+    said = F.create_map(*[x for k, v in own.items() for x in (F.lit(k), v)])
+    return F.map_zip_with(meta, said, lambda k, a, b: F.coalesce(b, a))
+
+
+def truth(text: Column) -> Column:
+    return F.coalesce(F.lower(text).isin("true", "1", "yes"), F.lit(False))

@@ -40,10 +40,12 @@ def gold_overlap(cited: DataFrame, gold: DataFrame) -> DataFrame:
 
 
 def category_summary(rows: DataFrame) -> DataFrame:
-    """Per mode and category: count, averages without nulls, and rates of the boolean columns."""
+    """Per mode and category: count, averages without nulls, and rates of the boolean columns; where the rows have hit, mrr and
+    ndcg, their means over the rows that have gold sources."""
     rate = lambda c: F.round(F.avg(F.col(c).cast("int")), 6).alias(f"{c}_rate")
     return rows.groupBy("mode", "category").agg(
-        F.count("*").alias("n"), F.round(F.avg("latency_ms"), 6).alias("avg_latency_ms"), F.round(F.avg("confidence"), 6).alias("avg_confidence"), rate("retried"), rate("abstained"), rate("cited")
+        F.count("*").alias("n"), F.round(F.avg("latency_ms"), 6).alias("avg_latency_ms"), F.round(F.avg("confidence"), 6).alias("avg_confidence"), rate("retried"), rate("abstained"), rate("cited"),
+        *[F.round(F.avg(F.col(c).cast("double")), 6).alias("hit_rate" if c == "hit" else f"avg_{c}") for c in ("hit", "mrr", "ndcg") if c in rows.columns],
     )
 
 

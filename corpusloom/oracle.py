@@ -114,8 +114,9 @@ def oracle_sql() -> dict[str, str]:
 c as (select a.vec_id as query_id, b.vec_id, case when list_inner_product(a.v, a.v) > 0 and list_inner_product(b.v, b.v) > 0 then list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))) else 0::double end as score from e a join e b on a.vec_id % 20 = 0)
 select query_id, rank::int as rank, vec_id, round(score, 6) as score from (select *, row_number() over (partition by query_id order by round(score, 9) desc, vec_id) as rank from c) where rank <= {K}""",
         "flat_ip_topk": f"""with e as (select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings),
-c as (select a.vec_id as query_id, b.vec_id, list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))) as score from e a join e b on a.vec_id % 20 = 0)
-select query_id, rank::int as rank, round(score, 4) as score from (select *, row_number() over (partition by query_id order by score desc) as rank from c) where rank <= {K}""",
+u as (select vec_id, list_transform(v, lambda x: (x / sqrt(list_inner_product(v, v)))::float::double) as v from e),
+c as (select a.vec_id as query_id, b.vec_id, list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))) as score from u a join u b on a.vec_id % 20 = 0)
+select query_id, rank::int as rank, vec_id, round(score, 4) as score from (select *, row_number() over (partition by query_id order by round(score, 9) desc, vec_id) as rank from c) where rank <= {K}""",
         "dense_zero_norm": "select q.vec_id as query_id, r.rank::int as rank, r.vec_id, 0::double as score from embeddings q cross join (select vec_id, row_number() over (order by vec_id) as rank from embeddings) r where q.vec_id % 20 = 0 and r.rank <= 3",
         "rrf_fusion": f"with {FUSED} select query_id, rank::int as rank, doc_id, round(score, 6) as score, round(dense_score, 6) as dense_score, round(sparse_score, 6) as sparse_score from fr",
         "doc_dedupe": f"with {bm25(30)}, f as (select bm.*, source, row_number() over (partition by query_id, source order by rank) as n from bm join documents using (doc_id)) select query_id, row_number() over (partition by query_id order by rank)::int as rank, doc_id, source from f where n = 1",

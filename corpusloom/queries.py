@@ -102,7 +102,7 @@ def cosine_topk(spark, sf_dir):
 
 def flat_ip_topk(spark, sf_dir):
     v = vectors(spark, sf_dir)
-    return retrieve.inner_product_topk(v, stated(v), K).withColumn("score", F.round("score", 4)).select("query_id", "rank", "score")
+    return retrieve.inner_product_topk(v, stated(v), K).withColumn("score", F.round("score", 4)).withColumnRenamed("chunk_id", "vec_id")
 
 
 def dense_zero_norm(spark, sf_dir):

@@ -19,6 +19,9 @@ BLOCKS = "path string, block_index int, block_type string, section string, is_he
 #: Files that a parser knows.
 SUPPORTED = "*.{md,markdown,txt,docx}"
 QUESTIONS = "id string, question string, expected_behavior string, reference_answer string, gold_sources array<string>, category string, notes string"
+# What is expected of a question, and its categories.
+BEHAVIORS = ("answer", "abstain", "retry")
+CATEGORIES = ("simple", "multi_hop", "ambiguous", "insufficient_context", "conflicting_sources", "vietnamese")
 #: Tried in this order; the last decodes anything.
 ENCODINGS = ("utf-8-sig", "utf-8", "cp1258", "latin-1")
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -144,18 +147,48 @@ def read_blocks(spark: SparkSession, folder: str | list[str], glob: str = SUPPOR
     return blocks.select(doc_id.alias("doc_id"), name.alias("file_name"), "uploaded_at", *[c.split()[0] for c in BLOCKS.split(", ")])
 
 
+def with_metadata(blocks: DataFrame, base: dict[str, str] | None = None) -> DataFrame:
+    """Adds each block's metadata (map of texts): the given base, over it the block's own (column metadata, if there is one), over
+    both what a block says itself. Names and types that neither has come from the file."""
+    none = F.create_map().cast("map<string,string>")
+    given = F.create_map(*[F.lit(x) for pair in (base or {}).items() for x in pair]).cast("map<string,string>") if base else none
+    held = F.coalesce("metadata", none) if "metadata" in blocks.columns else none
+    both = F.map_zip_with(given, held, lambda k, a, b: F.when(F.map_contains_key(held, k), b).otherwise(a))
+    rows = blocks.withColumn("metadata", both)
+    get = lambda k: F.nullif(F.try_element_at(F.col("metadata"), F.lit(k)), F.lit(""))
+    name = F.element_at(F.split("path", "/"), -1)
+    suffix = F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1))
+    own = {
+        "block_index": F.col("block_index").cast("string"), "doc_id": F.col("doc_id").cast("string"), "source": F.col("path"), "filename": F.coalesce(get("filename"), name), "file_name": F.coalesce(get("file_name"), name),
+        "file_extension": F.coalesce(get("file_extension"), suffix), "file_type": F.coalesce(get("file_type"), F.regexp_replace(suffix, r"^\.+", "")), "page": F.try_element_at(held, F.lit("page")),
+        "block_type": F.coalesce(get("block_type"), F.col("block_type")), "ocr": F.coalesce(F.lower(get("ocr")).isin("true", "1", "yes"), F.lit(False)).cast("string"),
+    }
+    said = F.create_map(*[x for k, v in own.items() for x in (F.lit(k), v)])
+    return rows.withColumn("metadata", F.map_zip_with(F.col("metadata"), said, lambda k, a, b: F.when(F.map_contains_key(said, k), b).otherwise(a)))
+
+
 def titled(blocks: DataFrame) -> DataFrame:
-    """Adds each document's first heading as title."""
+    """Adds each document's first heading as title; a title that is there stays."""
+    if "title" in blocks.columns:
+        return titled(blocks.withColumnRenamed("title", "_given")).withColumn("title", F.coalesce(F.nullif(F.col("_given"), F.lit("")), F.col("title"))).drop("_given")
     first = Window.partitionBy("doc_id").orderBy("block_index").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return blocks.withColumn("title", F.first(F.when(F.col("is_heading"), F.col("content")), ignorenulls=True).over(first))
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
-    """An evaluation set; a bad row fails the read, an empty set is an error."""
-    rows = spark.read.schema(QUESTIONS).option("mode", "FAILFAST").json(path).where("id is not null")
-    if rows.isEmpty():
+    """An evaluation set. A line that is no object of these fields, or one without an id, a question, or a known behavior and
+    category, is an error that names the first such line by its number; an empty set is one too. Blank lines count for nothing."""
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("place", "line")).where(tx.stripped(F.col("line")) != "")
+    row = F.from_json("line", QUESTIONS + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    rows = lines.select((F.col("place") + 1).alias("line_no"), row.alias("q")).select("line_no", "q.*")
+    text = lambda c: F.coalesce(tx.stripped(F.col(c)), F.lit("")) != ""
+    good = F.col("_bad").isNull() & text("id") & text("question") & F.coalesce(F.col("expected_behavior").isin(*BEHAVIORS), F.lit(False)) & F.coalesce(F.col("category").isin(*CATEGORIES), F.lit(False))
+    n, bad = rows.agg(F.count("*"), F.min(F.when(~good, F.col("line_no")))).first()
+    if bad is not None:
+        raise ValueError(f"line {bad} of {path} is no question")
+    if not n:
         raise ValueError(f"no questions in {path}")
-    return rows.withColumn("gold_sources", F.coalesce("gold_sources", F.array().cast("array<string>")))
+    return rows.drop("line_no", "_bad").withColumn("gold_sources", F.coalesce("gold_sources", F.array().cast("array<string>")))
 
 
 def read_queries(spark: SparkSession, path: str) -> DataFrame:
@@ -188,11 +221,26 @@ def fingerprint(blocks: DataFrame, settings: dict) -> str:
     return blocks.sparkSession.range(1).select(F.sha2(F.lit(text), 256)).first()[0]
 
 
+# The columns of a summary.
+MODES = ("dense", "bm25", "hybrid", "hybrid_rerank")
+SUMMARY = (
+    "example_id", "mode", "category", "expected_behavior", "status", "latency_ms", "confidence", "grounded_score", "citation_count", "has_citations", "abstain_match", "retry_used",
+    "retrieved_count", "selected_context_count", "chunk_size", "chunk_overlap", "answer_non_empty", "answer_contains_reference_keywords", "cited_gold_source_overlap", "groundedness_proxy",
+    "retrieval_hit", "retrieval_mrr", "retrieval_ndcg", *[f"{m}_{c}" for m in MODES for c in ("hit", "mrr", "ndcg")],
+)
+
+
+def summary(rows: DataFrame) -> DataFrame:
+    """The rows of an evaluation in the columns of a summary, in their order; those that the rows lack are empty."""
+    return rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast("string").alias(c) for c in SUMMARY])
+
+
 def write_report(rows: DataFrame, folder: str) -> None:
-    """The rows of an evaluation as JSON lines and as CSV with a header, each in a folder of its own."""
+    """The rows of an evaluation as JSON lines and as CSV with a header, each in a folder of its own. Rows with an example_id get
+    the columns of a summary, any others all columns that CSV can hold."""
     rows.write.mode("overwrite").json(f"{folder}/results")
-    flat = [c for c, t in rows.dtypes if not t.startswith(("array", "map", "struct"))]
-    rows.select(*flat).write.mode("overwrite").option("header", "true").csv(f"{folder}/summary")
+    flat = summary(rows) if "example_id" in rows.columns else rows.select(*[c for c, t in rows.dtypes if not t.startswith(("array", "map", "struct"))])
+    flat.write.mode("overwrite").option("header", "true").csv(f"{folder}/summary")
 
 
 def report_lines(summary: DataFrame) -> str:
