@@ -5,7 +5,9 @@ smallest rank, deletes that boundary and refreshes the two neighbouring ranks un
 batch go through these steps side by side, as rows of one matrix; long words go one by one with a heap over the same ranks.
 
 Results for odd input: null counts as empty, an empty text has no tokens; equal texts get equal tokens; the strings of
-special tokens inside a text become these tokens, as the tokenizers library does by default; other columns are ignored.
+special tokens inside a text become these tokens, as the tokenizers library does by default; repeated rows are encoded each by
+itself; a very long text is a list of words and of ids, one long word goes through the heap; an empty table gives an empty
+table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,9 +30,6 @@ SHORT = 48
 #: Words kept with their tokens by a task; more than these are encoded again when they return.
 CACHE = 600_000
 
-# The file's own splitting rule is read from the file; this is its white space rule's meaning.
-SPACE = regex.compile(r"\s+")
-
 
 def byte_letters() -> list[str]:
     """The printable stand-in of each byte: printable Latin-1 bytes stand for themselves, the rest follow from U+0100."""
@@ -169,7 +168,10 @@ class Encoder:
         self.v = vocabulary
         self.find = regex.compile(vocabulary.pattern).findall
         self.special = regex.compile("|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True))) or r"(?!)")
-        self.known: dict[str, tuple[int, str, str]] = {}
+        self.known: dict[str, list[int]] = {}
+        names = {**vocabulary.tokens, **{i: t for t, i in vocabulary.special.items()}}
+        self.names = [names.get(i) for i in range(max(names, default=-1) + 1)]
+        self.digits = [str(i) for i in range(len(self.names))]
 
     def pieces(self, text: str | None) -> list[str]:
         """The words of a text; a special token's string stands for itself."""
@@ -186,7 +188,7 @@ class Encoder:
 
     @staticmethod
     def normal(text: str) -> str:
-        """Composed, with single blanks, each character lower-cased by itself."""
+        """Composed, each character lower-cased by itself."""
         text = unicodedata.normalize("NFC", text)
         return text.replace("Σ", "σ").lower()
 
@@ -194,43 +196,43 @@ class Encoder:
         if len(self.known) + len(words) > CACHE:
             self.known.clear()
         new = [w for w in words if w not in self.known and not isinstance(w, tuple)]
-        name = self.v.tokens
         for w, ids in zip(new, self.v.encode_words(new)):
-            self.known[w] = len(ids), " ".join(map(str, ids)), " ".join([name[i] for i in ids])
+            self.known[w] = ids
         for w in words:
             if isinstance(w, tuple):
-                self.known[w] = 1, str(self.v.special[w[0]]), w[0]
+                self.known[w] = [self.v.special[w[0]]]
+
+    def decode(self, ids: list[int]) -> str:
+        """The strings of the ids joined by blanks; an id outside the vocabulary has none and is passed over."""
+        names, n = self.names, len(self.names)
+        return " ".join([names[i] for i in ids if 0 <= i < n and names[i] is not None])
 
-    def encode(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
-        """(tokens, ids joined by blanks, decoded text) of each text."""
+    def encode(self, texts: list[str | None]) -> list[list[int]]:
+        """The ids of each text."""
         pieces = [self.pieces(t) for t in texts]
         new: set = set()
         for p in pieces:
             new.update(p)
         self.learn(new)
         known = self.known
-        out = []
-        for p in pieces:
-            got = [known[w] for w in p]
-            out.append((sum([x[0] for x in got]), " ".join([x[1] for x in got]), " ".join([x[2] for x in got])))
-        return out
+        return [[i for w in p for i in known[w]] for p in pieces]
 
 
 def encode(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", outputs: tuple[str, ...] = ("n_tokens", "ids", "decoded"), keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the kept columns and the outputs asked for: n_tokens, ids (array), decoded, ids_sha256, decoded_sha256.
 
-    `tokenizer` is the path of a tokenizer file; the driver reads it once and its text goes to the tasks.
+    What is decoded is the ids. `tokenizer` is the path of a tokenizer file; the driver reads it once and its text goes to the tasks.
     """
     spark = docs.sparkSession
     with open(tokenizer, encoding="utf-8") as f:
         shared = spark.sparkContext.broadcast(f.read())
     sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
     make = {
-        "n_tokens": ("long", pa.int64(), lambda n, ids, text: n),
-        "ids": ("array<int>", pa.list_(pa.int32()), lambda n, ids, text: [int(x) for x in ids.split()]),
-        "decoded": ("string", pa.string(), lambda n, ids, text: text),
-        "ids_sha256": ("string", pa.string(), lambda n, ids, text: sha(ids)),
-        "decoded_sha256": ("string", pa.string(), lambda n, ids, text: sha(text)),
+        "n_tokens": ("long", pa.int64(), lambda e, ids: len(ids)),
+        "ids": ("array<int>", pa.list_(pa.int32()), lambda e, ids: ids),
+        "decoded": ("string", pa.string(), lambda e, ids: e.decode(ids)),
+        "ids_sha256": ("string", pa.string(), lambda e, ids: sha(" ".join([e.digits[i] for i in ids]))),
+        "decoded_sha256": ("string", pa.string(), lambda e, ids: sha(e.decode(ids))),
     }
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +241,7 @@ def encode(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 found = encoder.encode(batch.column(batch.num_columns - 1).to_pylist())
-                columns = [pa.array([make[o][2](*x) for x in found], make[o][1]) for o in outputs]
+                columns = [pa.array([make[o][2](encoder, ids) for ids in found], make[o][1]) for o in outputs]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*batch.schema.names[:-1], *outputs])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), *[c for c in keep if c not in ("doc_id", *outputs)], F.col(text).alias("_text"))
@@ -253,9 +255,9 @@ def decode(encoded: DataFrame, tokenizer: str, ids: str = "ids") -> DataFrame:
         shared = encoded.sparkSession.sparkContext.broadcast(f.read())
 
     def batches(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        names = Vocabulary(shared.value).tokens
+        encoder = Encoder(Vocabulary(shared.value))
         for column in it:
-            yield pa.array([None if x is None else " ".join([names[i] for i in x if i in names]) for x in column.to_pylist()], pa.string())
+            yield pa.array([None if x is None else encoder.decode(x) for x in column.to_pylist()], pa.string())
 
     return encoded.withColumn("decoded", F.arrow_udf("string")(_typed(batches))(F.col(ids)))
 
