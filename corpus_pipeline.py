@@ -1,7 +1,9 @@
 """The corpus pipeline: language ID, near-dedup, PII, source mixing and BPE encoding, each over all that the one before kept.
 
-Null texts and texts without a letter go in the first stage; of equal rows one stays; null ids and sources are kept as they
-are; an empty table gives an empty table; other columns pass through all stages but the last.
+Null texts, texts without a letter and texts in no language that was learned go in the first stage, which fills null languages;
+where no row has a language, none goes. Of equal rows one stays; null ids and sources are kept as they are; very long texts pass
+whole; of equal hashes the lower id comes first; an empty table gives an empty table; other columns pass through all stages
+but the last.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 def tell_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of no language."""
+    """Drops documents of no language that the profiles know; others with a null language get the one told."""
     return language.keep_known(docs)
 
 

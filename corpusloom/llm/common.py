@@ -16,9 +16,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only where the session names none, one below the warehouse."""
+    """The folder that driver and executors share; only where the session names none, one below the warehouse.
+
+    Where that would be each machine's own disk, on a cluster, it is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared").rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if not spark.sparkContext.master.startswith("local") and warehouse.split(":")[0] in ("file", warehouse):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{warehouse}/_shared"
 
 
 def scratch(spark: SparkSession, kind: str) -> str:

@@ -2,7 +2,8 @@
 
 Grams are the 1 to 3 letter pieces of words with one blank on either side. Results for odd input: a text that is null
 or has no letter gets `und` and score 0; with nothing to learn from every text does; equal distances go to the first
-language by code point, equal counts to the first gram; an empty table gives an empty table; other columns are ignored.
+language by code point, equal counts to the first gram; a very long text is one array of grams, some dozens of bytes a
+character; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import remainder, renamed
+from .common import cut, remainder, renamed
 
 #: Grams in a profile, of a language or a document.
 PROFILE = 300
@@ -153,9 +154,15 @@ def identify(docs: DataFrame, folds: int = 4, fold: int = 2) -> DataFrame:
     return predict(docs, learned).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
-def keep_known(docs: DataFrame, folds: int = 4, fold: int = 2) -> DataFrame:
-    """The documents, whole, whose language is told: those without a letter go."""
+def keep_known(docs: DataFrame, folds: int = 4, fold: int = 2, lang: str = "lang") -> DataFrame:
+    """The documents, whole, whose language the profiles tell; a null language becomes the one told.
+
+    Rejected are texts without a letter, and those none of whose grams is in any profile, so that they are as far from every
+    language as can be. With nothing to learn from no document is rejected and none is told.
+    """
     inner, names = renamed(docs)
-    learned = profiles(inner.where(remainder(F.col("doc_id"), folds) != fold))
-    kept = predict(inner, learned, keep=tuple(names)).where(F.col("lang_pred") != UNKNOWN)
-    return kept.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
+    learned = cut(profiles(inner.where(remainder(F.col("doc_id"), folds) != fold)))
+    if learned.isEmpty():
+        return docs
+    kept = predict(inner, learned, keep=tuple(names)).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") > 0))
+    return kept.select(*[(F.coalesce(F.col(n), F.col("lang_pred")) if c == lang else F.col(n)).alias(c) for n, c in zip(names, docs.columns)])
