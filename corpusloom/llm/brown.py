@@ -30,7 +30,7 @@ SHARE = 1e-4
 CLASSES = 64
 SPELLINGS = 64
 #: Share by which a turn must raise the mutual information.
-LEAST_GAIN = 5e-3
+LEAST_GAIN = 1e-3
 #: Texts and bytes of text that a task takes at a time, and bytes of text in a scoring block, about.
 TEXTS = 4096
 SLICE_BYTES = 8 << 20
