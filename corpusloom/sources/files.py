@@ -152,9 +152,9 @@ def with_metadata(blocks: DataFrame, base: dict[str, str] | None = None) -> Data
     both what a block says itself. Names and types that neither has come from the file."""
     none = F.create_map().cast("map<string,string>")
     given = F.create_map(*[F.lit(x) for pair in (base or {}).items() for x in pair]).cast("map<string,string>") if base else none
-    held = F.coalesce("metadata", none) if "metadata" in blocks.columns else none
-    both = F.map_zip_with(given, held, lambda k, a, b: F.when(F.map_contains_key(held, k), b).otherwise(a))
-    rows = blocks.withColumn("metadata", both)
+    blocks = blocks.withColumn("_held", F.coalesce("metadata", none) if "metadata" in blocks.columns else none)
+    held = F.col("_held")
+    rows = blocks.withColumn("metadata", F.map_zip_with(given, held, lambda k, a, b: F.when(F.map_contains_key(held, k), b).otherwise(a)))
     get = lambda k: F.nullif(F.try_element_at(F.col("metadata"), F.lit(k)), F.lit(""))
     name = F.element_at(F.split("path", "/"), -1)
     suffix = F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1))
@@ -164,7 +164,7 @@ def with_metadata(blocks: DataFrame, base: dict[str, str] | None = None) -> Data
         "block_type": F.coalesce(get("block_type"), F.col("block_type")), "ocr": F.coalesce(F.lower(get("ocr")).isin("true", "1", "yes"), F.lit(False)).cast("string"),
     }
     said = F.create_map(*[x for k, v in own.items() for x in (F.lit(k), v)])
-    return rows.withColumn("metadata", F.map_zip_with(F.col("metadata"), said, lambda k, a, b: F.when(F.map_contains_key(said, k), b).otherwise(a)))
+    return rows.withColumn("metadata", F.map_zip_with(F.col("metadata"), said, lambda k, a, b: F.when(F.map_contains_key(said, k), b).otherwise(a))).drop("_held")
 
 
 def titled(blocks: DataFrame) -> DataFrame:
