@@ -74,7 +74,7 @@ def test_critic_and_translation(spark, found):
     refined = workflow.advanced(found, asked(spark, "compare where the cat and the dog sit and why"), critic=critic, max_loops=0).first()
     assert refined.confidence == pytest.approx(0.11) and json.loads(refined.trace)[0]["critique_strategy"] == "model" and "tail." in refined.answer
     vietnamese = "Con mèo nằm ở đâu trên tấm thảm"
-    english = lambda q, c: F.lit("the cat is on the mat")
+    english = lambda q, c: F.lit("A red cat is sleeping on our small mat at home")
     wrong = workflow.standard(found, asked(spark, vietnamese + " cat mat"), english).first()
     assert wrong.language == "vi" and wrong.language_mismatch
     right = workflow.standard(found, asked(spark, vietnamese + " cat mat"), english, translate=lambda a, l: F.lit("Con mèo nằm trên tấm thảm đỏ của nhà")).first()
