@@ -127,6 +127,8 @@ INTERPRETATION_PATTERN = r"(?i)\b(?:interpret|analysis|analyze|đánh giá|danh
 
 
 def high_risk(query: Column) -> Column:
+    """Whether a query (null: empty) names a field of risk or asks for an interpretation."""
+    query = F.coalesce(query, F.lit(""))
     low = F.lower(tx.stripped(query))
     out = tx.any_match(query, (INTERPRETATION_PATTERN,))
     for term in HIGH_RISK_TERMS:
@@ -137,11 +139,21 @@ def high_risk(query: Column) -> Column:
 def asks_model_gate(query: Column, complexity: Column, reason: Column, strict: bool = False) -> Column:
     """Whether a model is to decide on retrieval: never where the rules were sure, else for strict, risky, complex or vague queries."""
     sure = reason.isin("empty_query", "forced_retrieval", "small_talk", "small_talk_short")
+    query = F.coalesce(query, F.lit(""))
     body = tx.stripped(query)
     vague = (body != "") & ((F.size(F.split(body, r"\s+")) <= 2) | tx.any_match(query, (AMBIGUOUS_PATTERN,)))
     return ~sure & (F.lit(strict) | high_risk(query) | (complexity == "complex") | vague)
 
 
+def gate(query: Column, reason: Column, asked: Column, reply: Column | None) -> Column:
+    """Struct of need, reason and strategy: what a model's reply says where it is asked and can be read, else the rules' reason."""
+    by_rule = F.struct(reason.isin("default_retrieval", "forced_retrieval").alias("need"), reason.alias("reason"), F.lit("heuristic").alias("strategy"))
+    if reply is None:
+        return by_rule
+    said = replies.gate_said(F.when(asked, reply))
+    return F.coalesce(F.when(said.isNotNull(), F.struct(said["need"].alias("need"), said["reason"].alias("reason"), F.lit("llm").alias("strategy"))), by_rule)
+
+
 def asks_model_critic(query: Column, complexity: Column, citations: Column, score: Column, length: Column, confidence: Column, strict: bool = False) -> Column:
     """Whether a model is to criticise an answer: strict, risky, uncited, badly grounded, complex, long or unsure ones."""
     weak_ground = F.coalesce(score < 0.06, F.lit(False))

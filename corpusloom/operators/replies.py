@@ -55,11 +55,16 @@ def history_lines(messages: DataFrame, conversations: DataFrame) -> DataFrame:
     return conversations.select("conv_id").distinct().join(lines, "conv_id", "left").select("conv_id", F.coalesce("history", F.lit("(empty)")).alias("history"))
 
 
-# The fence of a block of JSON, and the answer to an empty reply.
+# The fence of a block of JSON, the states of an answer, and the answer to an empty reply.
 FENCE = r"(?is)```(?:json)?\s*(.*?)\s*```"
+STATES = ("answered", "partial", "insufficient_evidence")
 NO_REPLY = "Insufficient evidence to answer reliably."
 
 
+#: Texts that stand for a number.
+NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?$|^[+-]?inf(inity)?$|^nan$"
+
+
 def json_payload(reply: Column) -> Column:
     """The first text in a reply that is JSON: a fenced block, the whole, from the first brace to the last, from the first
     bracket to the last. Null where there is none."""
@@ -88,12 +93,34 @@ def text_field(payload: Column, name: str) -> Column:
 
 
 def structured_answer(reply: Column) -> Column:
-    """Struct of answer and status: the answer field of a reply's JSON object, once more unwrapped if it holds such an object
-    itself; else the whole reply as text; an empty reply has no evidence."""
-    plain, found = tx.stripped(F.coalesce(reply, F.lit(""))), text_field(json_object(reply), "answer")
-    nested = tx.let(found, lambda a: F.coalesce(F.nullif(tx.stripped(text_field(json_object(a), "answer")), F.lit("")), tx.stripped(a)))
-    status = F.coalesce(F.when(found.isNotNull(), text_field(json_object(reply), "status")), F.when((plain == "") & found.isNull(), "insufficient_evidence"), F.lit("answered"))
-    return F.struct(F.coalesce(nested, F.when(plain == "", NO_REPLY).otherwise(plain)).alias("answer"), status.alias("status"))
+    """Struct of answer, status and confidence that a reply's JSON object states: the answer is text, once more unwrapped if it
+    holds such an object itself; the status is one of STATES (answered where there is none); the confidence is a number, written
+    as text or not, or null. An object that breaks any of these says nothing, as does a reply without one: then the whole reply
+    is the answer, without a confidence; an empty reply has no evidence and confidence 0.
+    """
+    plain, v = tx.stripped(F.coalesce(reply, F.lit(""))), F.try_parse_json(json_object(reply))
+    kind = lambda k: F.coalesce(F.schema_of_variant(F.try_variant_get(v, f"$.{k}", "variant")), F.lit("none"))
+    text = lambda k: F.try_variant_get(v, f"$.{k}", "string")
+    told = tx.stripped(text("confidence"))
+    number = F.when(kind("confidence") == "BOOLEAN", (told == "true").cast("double")).otherwise(told.try_cast("double"))
+    numeric = (kind("confidence") != "STRING") | F.lower(told).rlike(NUMBER)
+    sure = kind("confidence").isin("none", "VOID") | (number.isNotNull() & numeric)
+    sound = (kind("answer") == "STRING") & ((kind("status") == "none") | ((kind("status") == "STRING") & text("status").isin(*STATES))) & sure
+    nested = tx.let(text("answer"), lambda a: F.coalesce(F.nullif(tx.stripped(text_field(json_object(a), "answer")), F.lit("")), tx.stripped(a)))
+    empty = plain == ""
+    return F.struct(
+        F.when(sound, nested).when(empty, NO_REPLY).otherwise(plain).alias("answer"),
+        F.when(sound, F.coalesce(text("status"), F.lit("answered"))).when(empty, "insufficient_evidence").otherwise("answered").alias("status"),
+        F.when(sound, number).when(empty, 0.0).alias("confidence"),
+    )
+
+
+def gate_said(reply: Column) -> Column:
+    """Struct of need and reason that a model's reply on retrieval states; null where its JSON object has no boolean need."""
+    v = F.try_parse_json(json_object(reply))
+    need = F.try_variant_get(v, "$.need_retrieval", "variant")
+    reason = F.nullif(tx.stripped(text_field(json_object(reply), "reason")), F.lit(""))
+    return F.when(F.schema_of_variant(need) == "BOOLEAN", F.struct(F.try_variant_get(need, "$", "boolean").alias("need"), F.coalesce(reason, F.lit("llm_gate")).alias("reason")))
 
 
 def rendered(template: Column, variables: dict[str, Column]) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .functions import text as tx
+from .operators import judge
 from .queries import K
 
 T = r"regexp_extract_all(lower(coalesce({0}, '')), '[\p{{L}}\p{{N}}_]+')"
@@ -99,6 +100,21 @@ case when doc_id % 5 = 0 then '.PDF' end as file_type, case when doc_id % 6 = 0
 STATES = """sl as (select *, list_position(['uploaded', 'splitting', 'embedding', 'indexing', 'ready', 'failed', 'deleted'], status) as place from
 (select user_id::varchar as doc_id, case event_type when 'error' then 'failed' when 'login' then 'uploaded' when 'purchase' then 'deleted' else 'ready' end as status, ts, epoch_us(ts) as updated_us from events))"""
 
+GATE = rf"""with n as (select conv_id, turn, lower(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')) as q from conversations), t as (select *, list_distinct({T.format('q')}) as t from n)
+select conv_id, turn, case when q = '' then 'empty_query' when contains(q, 'force retrieval') or contains(q, 'force retry') then 'forced_retrieval'
+when len(t) > 0 and len(list_filter(t, lambda x: x not in {tx.SMALL_TALK})) = 0 then 'small_talk' when len(t) <= 2 and list_has_any(t, {list(tx.SMALL_TALK)}) then 'small_talk_short' else 'default_retrieval' end as reason from t"""
+#: A query's risk: named terms, or a word that asks for interpretation. Word ends are spelled out, as \b knows ASCII alone here.
+EDGED = lambda p: p.replace(r"\b(", r"(^|[^\p{L}\p{N}_])(").replace(r")\b", r")($|[^\p{L}\p{N}_])")
+HIGH_RISK = " or ".join([*(f"contains(low, '{t}')" for t in judge.HIGH_RISK_TERMS), f"regexp_matches(text, '{EDGED(judge.INTERPRETATION_PATTERN)}')"])
+POLICY = rf"""with b as (select conv_id, turn, coalesce(text, '') as text, lower(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')) as low, length(coalesce(text, '')) as n, {COMPLEXITY.format('text')} as k
+  from conversations where role = 'user'), g as ({GATE}),
+r as (select *, ({HIGH_RISK}) as risky, low <> '' and (len(regexp_split_to_array(low, '\s+')) <= 2 or regexp_matches(text, '{EDGED(judge.AMBIGUOUS_PATTERN)}')) as vague,
+  n % 3 as cited, case when n % 4 > 0 then (n % 10)::double / 100 end as score, case when n % 5 > 0 then (n % 7) / 7.0::double end as sure from b)
+select r.conv_id, r.turn, g.reason = 'default_retrieval' and (risky or k = 'complex' or vague) as gate,
+  risky or cited <= 0 or coalesce(score < 0.06::double, false) or k = 'complex' or n >= 420 or coalesce(sure < 0.35::double, false) as critic,
+  n % 2 = 0 and (risky or k = 'complex' or cited <= 0 or coalesce(score < 0.035::double, false)) as refine
+from r join g on r.conv_id = g.conv_id and r.turn = g.turn"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -146,9 +162,8 @@ case when event_id % 8 > 0 then greatest(0, coalesce(round(try_cast(k as double)
 case when event_id % 2 = 0 then 'grounded' when event_type in ('no_evidence', 'weak_evidence', 'incomplete_answer', 'hallucination', 'grounded') then event_type end as category from e""",
         "keyword_overlap": f"with {ANSWERED}, k as (select query_id, {KEYWORDS.format('answer')} as a, {KEYWORDS.format('context')} as c from aq) select query_id, len(a)::int as n_keywords, round({SHARE.format('a', 'c')}, 6) as overlap from k",
         "char_trigram_precision": f"with {ANSWERED}, p as (select query_id, {PACKED.format('answer')} as a, {PACKED.format('context')} as c from aq), g as (select query_id, case when length(a) < 3 then []::varchar[] else list_distinct(list_transform(generate_series(1, length(a) - 2), lambda i: substring(a, i, 3))) end as a, c from p) select query_id, round(case when len(a) > 0 then len(list_filter(a, lambda x: contains(c, x)))::double / len(a) else 0::double end, 6) as precision from g",
-        "retrieval_gate": rf"""with n as (select conv_id, turn, lower(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')) as q from conversations), t as (select *, list_distinct({T.format('q')}) as t from n)
-select conv_id, turn, case when q = '' then 'empty_query' when contains(q, 'force retrieval') or contains(q, 'force retry') then 'forced_retrieval'
-when len(t) > 0 and len(list_filter(t, lambda x: x not in {tx.SMALL_TALK})) = 0 then 'small_talk' when len(t) <= 2 and list_has_any(t, {list(tx.SMALL_TALK)}) then 'small_talk_short' else 'default_retrieval' end as reason from t""",
+        "retrieval_gate": GATE,
+        "policy_decisions": POLICY,
         "language_detect": rf"""with n as (select conv_id, turn, lower({NORMAL.format('text')}) as q from conversations)
 select conv_id, turn, case when q <> '' and (regexp_matches(q, '{tx.DIACRITIC}') or {' or '.join(f"contains(' ' || q, '{m}')" for m in tx.VI_MARKERS)} or len(list_filter(regexp_extract_all(q, '[A-Za-zÀ-ỹĐđ0-9'']+'), lambda x: x in ({', '.join(f"'{w}'" for w in tx.VI_COMMON)}))) >= 2) then 'vi' else 'en' end as language from n""",
         "critique_heuristic": f"""with {ANSWERED}, t as (select *, {TERMS.format('query')} as q, {TERMS.format('answer')} as a, {TERMS.format('context')} as c, lower(context) as body from aq),

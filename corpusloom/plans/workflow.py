@@ -12,16 +12,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import chunking, extract, index, judge, rank, retrieve, traces
+from ..operators import chunking, extract, index, judge, rank, replies, retrieve, traces
 from ..sources.tables import stored
 from . import indexes
 from .indexes import Indexes
 
 Answer = Callable[[Column, Column], Column]  # of query and context
+Model = Callable[[Column], Column]  # of a prompt
 Translate = Callable[[Column, Column], Column]  # of answer and language
 
 MAX_LOOPS = 1
 FAST_CONFIDENCE = 0.95
+#: What a model is asked, unless a plan is given another template; names are filled in.
+ANSWER_PROMPT = "Question: $question\nAnswer in: $language\nUse only this context:\n$context\nReply with a JSON object of answer, confidence and status."
 # The messages of no evidence.
 INSUFFICIENT = {"vi": "Không đủ thông tin từ tài liệu để trả lời", "en": "Insufficient evidence to provide a grounded answer."}
 
@@ -65,13 +68,14 @@ def listed(hits: DataFrame, order: str, *fields: str, name: str) -> DataFrame:
     return hits.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(order, F.struct(*text).alias("d")))), lambda x: x["d"]).alias(name))
 
 
-def standard(chunks: DataFrame | Indexes, queries: DataFrame, answer: Answer | None = None, rewrites: DataFrame | None = None, translate: Translate | None = None) -> DataFrame:
+def standard(chunks: DataFrame | Indexes, queries: DataFrame, answer: Answer | None = None, rewrites: DataFrame | None = None, translate: Translate | None = None, model: Model | None = None, prompt: str = ANSWER_PROMPT) -> DataFrame:
     """query_id, query, language, complexity, policy, answer, context, lead, n_docs, n_citations, confidence, status, grounded, grounding,
     fast_path, language_mismatch, and the trace's steps and documents.
 
     lead: the first context's chunk. A simple question is answered by rule out of the first context where the rules find an answer
     that can be trusted (fast_path says which, or why not); all others by the model. rewrites (query_id, place, rewrite) take the
     queries' place in retrieval. An answer in another language than the question's goes through translate, if there is one.
+    model: replies to the filled prompt; its reply's answer, status and confidence hold (no confidence: the retrieval's).
     """
     found, q = indexes.of(chunks), analysed(queries)
     hits = retrieve_hybrid(found, q, judge.BASE[0]) if rewrites is None else retrieve_rewrites(found, rewrites, judge.BASE[0])
@@ -94,19 +98,25 @@ def standard(chunks: DataFrame | Indexes, queries: DataFrame, answer: Answer | N
     rows = rows.withColumns({"context": F.coalesce(F.array_join("contexts", "\n"), F.lit("")), "n_docs": F.coalesce("n_docs", F.lit(0))})
     policy = rank.cascade(F.coalesce("n_hits", F.lit(0)), F.col("top"), F.col("gap"), F.col("complexity"), F.lit("standard"), cross_encoder=False)
     rows = rows.withColumn("policy", policy).withColumn("_fast", extract.extractive(F.col("query"), F.get("contexts", F.lit(0)), F.col("language"), F.col("lead_score")))
-    asked = (answer or best_sentence)(F.col("query"), F.col("context"))
-    rows = rows.withColumns({"answer": F.when(F.col("_fast.used"), F.col("_fast.answer")).otherwise(asked), "confidence": F.when(F.col("_fast.used"), FAST_CONFIDENCE).otherwise(F.col("confidence")), "fast_path": F.when(F.col("n_docs") > 0, F.col("_fast.reason")).otherwise("no_context")})
+    if model is None:
+        said = F.struct((answer or best_sentence)(F.col("query"), F.col("context")).alias("answer"), F.lit(None).cast("string").alias("status"), F.lit(None).cast("double").alias("confidence"))
+    else:
+        filled = replies.rendered(F.lit(prompt), {"question": F.col("query"), "language": F.col("language"), "context": F.col("context")})
+        rows = stored(rows.withColumn("_reply", F.when(~F.col("_fast.used") & (F.col("n_docs") > 0), model(filled))))
+        said = F.when(F.col("n_docs") > 0, replies.structured_answer(F.col("_reply")))
+    rows = stored(rows.withColumn("_said", F.when(~F.col("_fast.used"), said)))
+    rows = rows.withColumns({"status": F.col("_said.status"), "answer": F.when(F.col("_fast.used"), F.col("_fast.answer")).otherwise(F.col("_said.answer")), "confidence": F.when(F.col("_fast.used"), FAST_CONFIDENCE).otherwise(F.coalesce("_said.confidence", "confidence")), "fast_path": F.when(F.col("n_docs") > 0, F.col("_fast.reason")).otherwise("no_context")})
     return stored(judged(stored(rows), translate))
 
 
 def judged(rows: DataFrame, translate: Translate | None = None) -> DataFrame:
-    """Adds status, language_mismatch, grounded, grounding and the trace's steps to query, answer, context, n_docs, citations; a
-    missing answer abstains."""
-    status = F.when(F.col("answer").isNull(), "insufficient_evidence").otherwise("answered")
+    """Adds language_mismatch, grounded, grounding and the trace's steps to query, answer, status (null: answered), context, n_docs,
+    citations; a missing answer abstains."""
+    status = F.when(F.col("answer").isNull(), "insufficient_evidence").otherwise(F.coalesce("status", F.lit("answered")))
     rows = spoken(rows.withColumn("status", status), translate)
     rows = rows.withColumn("answer", F.coalesce("answer", insufficient(F.col("language"))))
-    rows = rows.withColumn("grounded", F.when(F.col("status") == "answered", tx.overlap_score(F.col("answer"), F.col("context"))).otherwise(0.0))
-    n = F.when(F.col("status") == "answered", F.coalesce(F.array_size("citations"), F.lit(0))).otherwise(0)
+    rows = rows.withColumn("grounded", F.when(F.col("status") != "insufficient_evidence", tx.overlap_score(F.col("answer"), F.col("context"))).otherwise(0.0))
+    n = F.when(F.col("status") != "insufficient_evidence", F.coalesce(F.array_size("citations"), F.lit(0))).otherwise(0)
     rows = stored(rows.withColumn("n_citations", n).withColumn("grounding", judge.grounding(F.col("status"), F.col("answer"), F.col("grounded"), F.col("n_docs"), n)))
     said = F.col("status") != "insufficient_evidence"
     trace = F.array_compact(F.array(
@@ -135,21 +145,21 @@ def spoken(rows: DataFrame, translate: Translate | None) -> DataFrame:
     return rows.withColumn("language_mismatch", wrong())
 
 
-def guarded(rows: DataFrame) -> DataFrame:
+def guarded(rows: DataFrame, strict: bool = False) -> DataFrame:
     """Answers that the critique wants refined, refined; those that say more than their context, cut back to what it holds.
 
     Adds status, fallback and stop_reason of the final answer, which is grounded anew.
     """
     language, relevant = F.col("language"), F.col("critique_category") != "no_evidence"
-    refine = F.col("critique_should_refine") & (F.col("status") == "answered")
+    refine = F.col("critique_should_refine") & (F.col("status") != "insufficient_evidence")
     rows = rows.withColumn("_refine", refine).withColumn("answer", F.when(refine, judge.refined(F.col("answer"), F.col("critique_missing"), F.col("lead"), language)).otherwise(F.col("answer")))
-    score = lambda: F.when(F.col("status") == "answered", tx.overlap_score(F.col("answer"), F.col("context"))).otherwise(0.0)
+    score = lambda: F.when(F.col("status") != "insufficient_evidence", tx.overlap_score(F.col("answer"), F.col("context"))).otherwise(0.0)
     rows = stored(rows.withColumn("grounded", F.when(F.col("_refine"), score()).otherwise(F.col("grounded"))))
     ground = judge.grounding(F.col("status"), F.col("answer"), F.col("grounded"), F.col("n_docs"), F.col("n_citations"))
     wrong = ground.endswith("/true")
-    strict = judge.asks_strict_refine(F.col("query"), F.col("complexity"), F.col("n_citations"), F.col("grounded"), wrong)
+    ask = judge.asks_strict_refine(F.col("query"), F.col("complexity"), F.col("n_citations"), F.col("grounded"), wrong, strict)
     # The strict form without a model abstains; the cautious one takes its place where there is any context.
-    fallback = relevant & strict & (F.col("n_docs") > 0)
+    fallback = relevant & ask & (F.col("n_docs") > 0)
     careful = judge.cautious(F.substring_index("context", "\n", 1), language, insufficient(language))
     rows = rows.withColumn("fallback", fallback).withColumn("answer", F.when(fallback, careful).otherwise(F.col("answer")))
     rows = stored(rows.withColumn("grounded", F.when(F.col("fallback"), tx.overlap_score(F.col("answer"), F.col("context"))).otherwise(F.col("grounded"))))
@@ -175,22 +185,28 @@ def next_rewrites(again: DataFrame, tried: DataFrame, fan_out: int) -> DataFrame
 def advanced(
     chunks: DataFrame | Indexes, queries: DataFrame, answer: Answer | None = None, max_loops: int = MAX_LOOPS, first: DataFrame | None = None,
     fan_out: int = 1, critic: Callable[[Column, Column, Column], Column] | None = None, translate: Translate | None = None,
+    gate: Callable[[Column], Column] | None = None, model: Model | None = None, strict: bool = False,
 ) -> DataFrame:
     """The standard rows of the queries that pass the gate, criticised; those that ask for it run again with rewrites of their query.
 
     Each further loop takes only the rows that still ask and have a rewrite that was not asked yet, `fan_out` of them a query, whose
     hits are fused. first: the standard rows of the same queries, if there are any. critic: a model's critique, asked where the
-    policy says so, that is merged into the rules' own.
+    policy says so, that is merged into the rules' own. gate: a model's reply to a query on whether it needs retrieval, asked where
+    the policy says so; what can't be read leaves the rules' decision. strict: the policies ask models wherever there is one.
     """
     found = indexes.of(chunks)
-    gated = queries.withColumn("gate", tx.gate_reason(F.col("query")))
-    go = gated.where(F.col("gate").isin("default_retrieval", "forced_retrieval"))
-    rows = standard(found, go.select("query_id", "query"), answer, translate=translate) if first is None else first.join(go.select("query_id"), "query_id", "left_semi")
+    ruled = queries.withColumn("_rule", tx.gate_reason(F.col("query")))
+    asked = judge.asks_model_gate(F.col("query"), tx.complexity(F.col("query")), F.col("_rule"), strict)
+    # A model's replies are written once, as the rows that pass and those that don't are read apart.
+    gated = ruled if gate is None else stored(ruled.withColumn("_gate", F.when(asked, gate(F.col("query")))))
+    gated = gated.withColumn("gate", judge.gate(F.col("query"), F.col("_rule"), asked, None if gate is None else F.col("_gate")))
+    go = gated.where("gate.need")
+    rows = standard(found, go.select("query_id", "query"), answer, translate=translate, model=model) if first is None else first.join(go.select("query_id"), "query_id", "left_semi")
     rows = rows.withColumns({"loops": F.lit(1), "earlier": F.array().cast("array<string>")})
     tried = stored(rows.select("query_id", F.lower("query").alias("low")))
     done = None
     for loop in range(max_loops + 1):
-        rows = stored(criticised(rows, loop, max_loops, critic))
+        rows = stored(criticised(rows, loop, max_loops, critic, strict))
         rows = rows.withColumn("earlier", F.concat("earlier", F.array(loop_step(loop + 1))))
         ask = rows.where("critique_should_retry")
         fresh = None if loop == max_loops or ask.isEmpty() else next_rewrites(ask, tried, fan_out)
@@ -202,30 +218,30 @@ def advanced(
         tried = tried.unionByName(fresh.select("query_id", "low"))
         before = again.select("query_id", "earlier")
         named = fresh.where("place = 1").select("query_id", F.col("rewrite").alias("query"))
-        rows = standard(found, named, answer, rewrites=fresh.select("query_id", "place", "rewrite"), translate=translate).withColumn("loops", F.lit(loop + 2)).join(before, "query_id")
-    out = guarded(done)
+        rows = standard(found, named, answer, rewrites=fresh.select("query_id", "place", "rewrite"), translate=translate, model=model).withColumn("loops", F.lit(loop + 2)).join(before, "query_id")
+    out = guarded(done, strict)
     if translate is not None:
         wrong = F.coalesce(tx.language_mismatch(F.col("answer"), F.col("language")), F.lit(False))
         out = spoken(stored(out.withColumn("_was", wrong)), translate)
         out = out.withColumn("stop_reason", F.when((F.col("stop_reason") == "grounded") & F.col("_was") & ~F.col("language_mismatch"), "language_refined").otherwise(F.col("stop_reason")))
     trace = traces.as_list(traces.completed(F.concat("earlier", F.array(traces.step("final", status=F.col("status"), stop_reason=F.col("stop_reason"), grounded_score=F.col("grounded"), citation_count=F.col("n_citations"))))))
     out = out.select("query_id", "language", "answer", "n_docs", "n_citations", F.col("critique_confidence").alias("confidence"), "status", "grounded", "grounding", "loops", "fallback", "stop_reason", trace.alias("trace"))
-    refused = gated.where(~F.col("gate").isin("default_retrieval", "forced_retrieval"))
+    refused = gated.where("not gate.need")
     language = tx.language(F.col("query"))
     return out.unionByName(refused.select(
         "query_id", language.alias("language"), insufficient(language).alias("answer"), F.lit(0).cast("long").alias("n_docs"), F.lit(0).alias("n_citations"), F.lit(0.0).alias("confidence"),
-        F.lit("insufficient_evidence").alias("status"), F.lit(0.0).alias("grounded"), F.lit("insufficient_evidence/false").alias("grounding"), F.lit(0).alias("loops"), F.lit(False).alias("fallback"), F.col("gate").alias("stop_reason"),
-        traces.as_list(traces.completed(F.array(traces.step("gate", reason=F.col("gate"), retrieve=F.lit(False))))).alias("trace"),
+        F.lit("insufficient_evidence").alias("status"), F.lit(0.0).alias("grounded"), F.lit("insufficient_evidence/false").alias("grounding"), F.lit(0).alias("loops"), F.lit(False).alias("fallback"), F.col("gate.reason").alias("stop_reason"),
+        traces.as_list(traces.completed(F.array(traces.step("gate", reason=F.col("gate.reason"), strategy=F.col("gate.strategy"), retrieve=F.lit(False))))).alias("trace"),
     ))
 
 
-def criticised(rows: DataFrame, loop: int, max_loops: int, critic: Callable[[Column, Column, Column], Column] | None) -> DataFrame:
+def criticised(rows: DataFrame, loop: int, max_loops: int, critic: Callable[[Column, Column, Column], Column] | None, strict: bool = False) -> DataFrame:
     """Adds the critique of each row: the rules' own, and a model's over it where there is one and the policy asks for it."""
-    own = judge.critique(F.col("query"), F.when(F.col("status") == "answered", F.col("answer")).otherwise(""), F.col("context"), F.col("n_docs"), F.lit(loop), F.lit(max_loops))
+    own = judge.critique(F.col("query"), F.when(F.col("status") != "insufficient_evidence", F.col("answer")).otherwise(""), F.col("context"), F.col("n_docs"), F.lit(loop), F.lit(max_loops))
     rows = rows.drop(*[c for c in rows.columns if c.startswith("critique_")]).withColumns({f"critique_{k}": v for k, v in own.items()})
     if critic is None:
         return rows.withColumn("critique_strategy", F.lit("rules"))
-    asks = judge.asks_model_critic(F.col("query"), F.col("complexity"), F.col("n_citations"), F.col("grounded"), F.char_length("answer"), F.col("confidence"))
+    asks = judge.asks_model_critic(F.col("query"), F.col("complexity"), F.col("n_citations"), F.col("grounded"), F.char_length("answer"), F.col("confidence"), strict)
     rows = stored(rows.withColumn("_said", F.when(asks, critic(F.col("query"), F.col("answer"), F.col("context")))))
     c = lambda k: F.col(f"critique_{k}")
     missing = F.filter(F.split(c("missing"), ","), lambda x: x != "")

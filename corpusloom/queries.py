@@ -234,6 +234,18 @@ def retrieval_gate(spark, sf_dir):
     return turns(spark, sf_dir).select("conv_id", "turn", tx.gate_reason(F.col("text")).alias("reason"))
 
 
+def policy_decisions(spark, sf_dir):
+    """Whether each user turn asks a model's gate, critique and strict refinement, given signals made from its length."""
+    t = turns(spark, sf_dir).where("role = 'user'").withColumn("n", F.coalesce(F.char_length("text"), F.lit(0)))
+    q, c, n = F.col("text"), tx.complexity(F.col("text")), F.col("n")
+    score = F.when(n % 4 > 0, n % 10 / 100)
+    return t.select(
+        "conv_id", "turn", judge.asks_model_gate(q, c, tx.gate_reason(q)).alias("gate"),
+        judge.asks_model_critic(q, c, n % 3, score, n, F.when(n % 5 > 0, n % 7 / 7.0)).alias("critic"),
+        judge.asks_strict_refine(q, c, n % 3, score, n % 2 == 0).alias("refine"),
+    )
+
+
 def history_trim(spark, sf_dir):
     """The last 6 messages of each conversation, then those of user and assistant with a text."""
     order = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
@@ -590,7 +602,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         flat_ip_topk, dense_zero_norm, rrf_fusion, doc_dedupe, post_filter_topk, active_doc_semijoin, score_only_rerank,
         score_statistics, rerank_policy, retrieval_confidence, context_prefix, context_pack, citations, clean_text,
         paragraph_split, overlap_windows, chunk_documents, query_complexity, query_budget, language_detect, language_mismatch,
-        retrieval_gate, history_trim, history_render, keyword_overlap, char_trigram_precision, grounding_class, critique_heuristic,
+        retrieval_gate, policy_decisions, history_trim, history_render, keyword_overlap, char_trigram_precision, grounding_class, critique_heuristic,
         dedupe_rewrites, ocr_decision, extractive_answer, retrieval_metrics, gold_selector_metrics, citation_gold_overlap, behavior_metrics, term_metrics, direct_and_branches, coerced_values, eval_category_summary, paired_delta,
         latency_percentiles, compare_verdict, advanced_status, metadata_filters, scope_guard, document_registry, ready_documents, block_counts,
         trace_rankings, strategy_summary, semantic_policy, reply_fields, citation_lines, display_names,

@@ -65,6 +65,30 @@ def test_json_in_replies(spark):
     }
     t = spark.createDataFrame([(r,) for r in replies_of], "r string")
     got = t.select(replies.json_payload(F.col("r")), replies.structured_answer(F.col("r"))).collect()
-    assert [(a, tuple(b)) for a, b in got] == list(replies_of.values())
+    assert [(a, tuple(b)[:2]) for a, b in got] == list(replies_of.values())
     kinds = spark.createDataFrame([("[1]",), ('{"a": 1}',), ("7",)], "r string").select(replies.json_object(F.col("r")), replies.json_list(F.col("r"))).collect()
     assert [tuple(r) for r in kinds] == [(None, "[1]"), ('{"a": 1}', None), (None, None)]
+
+
+def test_states_and_confidence_of_replies(spark):
+    none = ("Insufficient evidence to answer reliably.", "insufficient_evidence", 0.0)
+    said = {
+        '{"answer": " a ", "status": "partial", "confidence": 0.25}': ("a", "partial", 0.25),
+        '{"answer": "a", "confidence": " 1e-1 "}': ("a", "answered", 0.1),
+        '{"answer": "a", "confidence": 1}': ("a", "answered", 1.0),
+        '{"answer": "a", "confidence": true}': ("a", "answered", 1.0),
+        '{"answer": "a", "confidence": null}': ("a", "answered", None),
+        '{"answer": "", "status": "insufficient_evidence"}': ("", "insufficient_evidence", None),
+        '```json\n{"answer": "{\\"answer\\": \\" in \\"}", "confidence": 0.5}\n```': ("in", "answered", 0.5),
+        "words": ("words", "answered", None),
+        " ": none,
+        None: none,
+    }
+    # What breaks a rule is taken as it stands.
+    broken = ['{"answer": "a", "status": "done"}', '{"answer": "a", "status": null}', '{"answer": "a", "status": 1}', '{"answer": "a", "confidence": "high"}', '{"answer": "a", "confidence": "1d"}', '{"answer": "a", "confidence": [1]}', '{"answer": null}', '{"status": "partial"}', "{}"]
+    said |= {b: (b, "answered", None) for b in broken}
+    rows = spark.createDataFrame(list(enumerate(said)), "i int, r string").select("i", replies.structured_answer(F.col("r")).alias("s")).collect()
+    assert {r.i: tuple(r.s) for r in rows} == dict(enumerate(said.values()))
+    gates = {'{"need_retrieval": false, "reason": " chat "}': (False, "chat"), 'so {"need_retrieval": true, "reason": ""} x': (True, "llm_gate"), '{"need_retrieval": true, "reason": 3}': (True, "llm_gate"), '{"need_retrieval": "true"}': None, "{}": None, "yes": None, None: None}
+    rows = spark.createDataFrame(list(enumerate(gates)), "i int, r string").select("i", replies.gate_said(F.col("r")).alias("s")).collect()
+    assert {r.i: r.s and tuple(r.s) for r in rows} == dict(enumerate(gates.values()))

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import traces
+from corpusloom.operators import judge, traces
 from corpusloom.plans import indexes, workflow
 
 CHUNKS = [
@@ -83,6 +83,45 @@ def test_critic_and_translation(spark, found):
     assert kept.language_mismatch and kept.answer == wrong.answer
 
 
+def test_a_model_gate_decides_where_it_is_asked(spark, found):
+    texts = ["thanks", "cat mat", "legal advice on cats in the house", "which animals live in the house with people now", "dog sleep"]
+    said = lambda q: F.when(q.contains("legal"), '{"need_retrieval": false, "reason": "out_of_scope"}').when(q == "cat mat", '{"need_retrieval": true}').when(q == "dog sleep", "hm").otherwise('{"need_retrieval": false}')
+    rows = {r.query_id: r for r in workflow.advanced(found, asked(spark, *texts), gate=said, max_loops=0).collect()}
+    # Sure rules and queries without a cause to ask keep their rule; what can't be read leaves it as it was.
+    assert [rows[i].loops for i in range(5)] == [0, 1, 0, 1, 1]
+    gates = {i: json.loads(rows[i].trace)[0] for i in (0, 2)}
+    assert (rows[0].stop_reason, gates[0]["strategy"]) == ("small_talk", "heuristic") and (rows[2].stop_reason, gates[2]["strategy"]) == ("out_of_scope", "llm")
+    strict = {r.query_id: r for r in workflow.advanced(found, asked(spark, *texts), gate=said, max_loops=0, strict=True).collect()}
+    assert [strict[i].loops for i in range(5)] == [0, 1, 0, 0, 1] and strict[3].stop_reason == "llm_gate"
+
+
+def test_a_model_answers_a_filled_prompt(spark, found):
+    reply = lambda p: F.when(p.contains("Question: cat mat sat"), F.concat(F.lit('{"confidence": 0.3, "status": "partial", "answer": "the cat sat on the mat"}'), F.lit(""))).when(p.contains("dogs bark"), "dogs bark loudly at night").otherwise('{"answer": "nothing there", "status": "insufficient_evidence"}')
+    rows = {r.query_id: r for r in workflow.standard(found, asked(spark, "cat mat sat", "dogs bark when", "elephants zoo archive", "qqq zzz", "Tên của Điều 5 là gì?"), model=reply).collect()}
+    assert (rows[0].answer, rows[0].status, rows[0].confidence) == ("the cat sat on the mat", "partial", 0.3) and rows[0].grounded > 0.5 and rows[0].n_citations > 0
+    assert (rows[1].answer, rows[1].status) == ("dogs bark loudly at night", "answered") and rows[1].confidence > 0
+    assert (rows[2].answer, rows[2].status, rows[2].n_citations, rows[2].grounded) == ("nothing there", "insufficient_evidence", 0, 0.0)
+    assert rows[4].fast_path == "title_article_match" and rows[4].confidence == 0.95
+    if rows[3].n_docs == 0:
+        assert rows[3].status == "insufficient_evidence" and rows[3].answer == workflow.INSUFFICIENT["en"]
+
+
+def test_policies_agree_with_plain_rules(spark):
+    texts = ["", None, "why", "tư vấn pháp lý cho công ty của tôi", "please help me with the cats", "which animals live in the house", "phân tích dữ liệu của nhà", "reanalysis of old house records"]
+    rows = [(t, c, n, s, size, f, h) for t in texts for c in ("complex", "normal") for n, s, size, f, h in ((0, None, 0, None, True), (2, 0.05, 10, 0.9, True), (2, 0.02, 10, None, False), (2, 0.5, 420, 0.5, True), (1, 0.5, 419, 0.34, True), (1, 0.5, 9, 0.35, True))]
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, q string, c string, n int, s double, size int, f double, h boolean")
+    risky = lambda t: "pháp lý" in t or "phân tích" in t
+    vague = lambda t: t != "" and (len(t.split()) <= 2 or "help" in t)
+    for strict in (False, True):
+        got = frame.select("i", judge.asks_model_gate(F.col("q"), F.col("c"), F.lit("default_retrieval"), strict).alias("g"), judge.asks_model_critic(F.col("q"), F.col("c"), F.col("n"), F.col("s"), F.col("size"), F.col("f"), strict).alias("m"), judge.asks_strict_refine(F.col("q"), F.col("c"), F.col("n"), F.col("s"), F.col("h"), strict).alias("r"))
+        for i, g, m, r in got.collect():
+            t, c, n, s, size, f, h = rows[i]
+            t, hard = t or "", c == "complex"
+            assert g == (strict or risky(t) or hard or vague(t)), rows[i]
+            assert m == (strict or risky(t) or n <= 0 or (s is not None and s < 0.06) or hard or size >= 420 or (f is not None and f < 0.35)), rows[i]
+            assert r == (h and (strict or risky(t) or hard or n <= 0 or (s is not None and s < 0.035))), rows[i]
+
+
 def test_traces_end_with_completed(spark):
     rows = [
         (['{"step":"retrieve"}'], 5, [{"step": "retrieve"}, {"step": "completed", "status": "success", "total_ms": 5}]),
