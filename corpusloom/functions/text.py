@@ -200,22 +200,27 @@ def gate_reason(query: Column) -> Column:
     )
 
 
-def any_match(text: Column, patterns: tuple[str, ...]) -> Column:
+# A word's end where only ASCII letters, digits and _ are parts of words. Java's \b has other letters in it with every flag.
+ASCII_EDGE = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
+
+
+def any_match(text: Column, patterns: tuple[str, ...], ascii_words: bool = False) -> Column:
+    r"""Whether one of the patterns is found. Words are Unicode's; ascii_words: \b, \s, \d and the dot as RE2 and so the SQL have them."""
     out = F.lit(False)
     for p in patterns:
-        out = out | text.rlike("(?U)" + p)
+        out = out | text.rlike("(?ud)" + p.replace(r"\b", ASCII_EDGE).replace(r"\s", r"[\t\n\f\r ]") if ascii_words else "(?U)" + p)
     return out
 
 
-def complexity(query: Column) -> Column:
-    """complex, simple_extractive or normal."""
+def complexity(query: Column, ascii_words: bool = False) -> Column:
+    """complex, simple_extractive or normal. ascii_words: other letters than ASCII's end a word, as in the SQL of the queries."""
     low = F.lower(stripped(F.regexp_replace(F.coalesce(query, F.lit("")), r"\s+", " ")))
     hinted = F.lit(False)
     for h in COMPLEX_HINTS:
         hinted = hinted | F.contains(low, F.lit(h))
-    named = any_match(low, (ENTITY_PATTERN,)) | any_match(query, (QUOTED_PATTERN, UPPER_PATTERN))
+    named = any_match(low, (ENTITY_PATTERN,), ascii_words) | any_match(query, (QUOTED_PATTERN, UPPER_PATTERN), ascii_words)
     short = F.size(F.split(low, " ")) <= 10
-    return F.when(low == "", "normal").when(hinted, "complex").when(any_match(query, EXTRACTIVE_PATTERNS) | (short & named), "simple_extractive").otherwise("normal")
+    return F.when(low == "", "normal").when(hinted, "complex").when(any_match(query, EXTRACTIVE_PATTERNS, ascii_words) | (short & named), "simple_extractive").otherwise("normal")
 
 
 def generic(answer: Column) -> Column:
