@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import json
 import unicodedata
+import zlib
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -112,14 +113,26 @@ def compositions() -> dict[str, str]:
     return out
 
 
+#: Buckets of the table of compositions, by a checksum of the spelling: about one spelling in each.
+COMPOSED_BUCKETS = 2048
+
+
 def composed(text: Column) -> Column:
     """Text with letters and the marks after them as single letters, where there is one from À to ỹ; other marks stay as they are.
 
-    Only texts with marks are taken apart. Texts that are composed already stay as they are.
+    Only texts with marks are taken apart, and only pieces that hold a mark are looked up: each in its bucket, as a map compares
+    its keys one by one.
     """
-    table = F.from_json(F.lit(json.dumps(compositions())), "map<string,string>")
+    buckets: list[dict[str, str]] = [{} for _ in range(COMPOSED_BUCKETS)]
+    known = compositions()
+    for spelling, single in known.items():
+        buckets[zlib.crc32(spelling.encode()) % COMPOSED_BUCKETS][spelling] = single
+    longest = max(len(spelling.encode()) for spelling in known)
+    table = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,string>>")
     pieces = F.regexp_extract_all(text, F.lit(r"(?s)\P{M}\p{M}+|[^\p{M}]+?(?=\P{M}\p{M}|\z)|\p{M}+"), F.lit(0))
-    whole = F.array_join(F.transform(pieces, lambda p: F.coalesce(F.try_element_at(table, p), p)), "")
+    letter = lambda p: F.try_element_at(F.get(table, F.crc32(p.cast("binary")) % COMPOSED_BUCKETS), p)
+    # Longer pieces than the longest spelling are text without marks, or marks that no letter takes.
+    whole = F.array_join(F.transform(pieces, lambda p: F.when(F.octet_length(p) <= longest, F.coalesce(letter(p), p)).otherwise(p)), "")
     return F.when(F.regexp_like(text, F.lit(r"\p{M}")), whole).otherwise(text)
 
 
