@@ -41,6 +41,8 @@ STARS = 3
 #: Nodes of a band that are compared with each other in one task, at most.
 BLOCK = 1000
 TEXTS = 512
+#: Rows of links, bands and classes in a file, about.
+WRITTEN = 1 << 16
 
 _MIX1, _MIX2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -277,25 +279,34 @@ def across(members: DataFrame, sizes: DataFrame, texts: DataFrame, similarity: f
     return blocked(some).groupBy("band", "bi", "bj").applyInArrow(lambda key, t: links(key, t), "a binary, b binary").distinct()
 
 
-def classes_of(links: DataFrame) -> DataFrame:
+def few(frame: DataFrame, rows: int) -> DataFrame:
+    """Stored in as many files as so many rows need: a pass over few links has no use for hundreds of tasks and files."""
+    return cut(frame.coalesce(max(frame.sparkSession.sparkContext.defaultParallelism, -(-rows // WRITTEN))))
+
+
+def classes_of(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """node, class of every node with a link: the least node it reaches.
 
     Large and small stars in turn: each pass hangs a node's neighbours on the least of them; a few passes leave only stars.
+    Links of an earlier turn may be given as its classes, which are stars already.
     """
-    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    state = None
+    if known is not None:
+        links = links.select("a", "b").unionAll(known.select(F.col("node").alias("a"), F.col("class").alias("b")))
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+    edges, n = few(edges, links.count()), None
     while True:
+        n = edges.count()
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        # Only stars are left where no node hangs on two others, or on one while others hang on it.
+        role = both.groupBy("u").agg(F.count_if(F.col("v") < F.col("u")).alias("up"), F.count_if(F.col("v") > F.col("u")).alias("down"))
+        if role.where("up > 1 or up = 1 and down > 0").isEmpty():
+            break
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = cut(large.where("u <> v").distinct())
+        large = few(large.where("u <> v").distinct(), n)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
-        edges = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == state:
-            break
-        state = now
+        edges = few(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), n)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("class")).unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("class")).distinct())
 
 
@@ -305,6 +316,7 @@ def classes(docs: DataFrame, signed: DataFrame, similarity: float, stars: int) -
     slots = nodes.select("node", F.explode("bands").alias("band"))
     shared = slots.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
     slots = cut(slots.join(shared.select("band"), "band"))
+    n_slots = slots.count()
     texts = cut(texts_of(docs, slots.select("node").distinct()))
     sizes = signed.where("node is not null").select("node", "n", "slots", "bands").dropDuplicates(["node"])
     tried = links = None
@@ -316,23 +328,24 @@ def classes(docs: DataFrame, signed: DataFrame, similarity: float, stars: int) -
             members = slots.join(label, "node", "left").withColumn("class", F.coalesce("class", "node"))
         drawn = F.xxhash64("node", "band", F.lit(turn))
         spread = members.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.min(F.struct(drawn.alias("h"), "node", "class")).alias("one")).where("low <> high")
-        spread = cut(spread)
+        spread = few(spread, n_slots)
         if links is not None and spread.isEmpty():
             break
         if turn == stars:
             # What is left shares bands without being alike, as texts with a passage in common do, or is alike at the edge.
-            links = links.unionAll(cut(across(members.join(spread.select("band"), "band", "left_semi"), sizes, texts, similarity)))
-            label = cut(classes_of(links))
+            found = cut(across(members.join(spread.select("band"), "band", "left_semi"), sizes, texts, similarity))
+            links = links.unionAll(found)
+            label = few(classes_of(found, label), n_slots)
             break
         pairs = members.join(spread, "band").where("class <> one.class").select("node", F.col("one.node").alias("other"))
         pairs = pairs.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
+        pairs = few(pairs, n_slots)
         found = cut(alike(pairs, texts, similarity))
-        tried = pairs if tried is None else cut(tried.unionAll(pairs))
+        tried = pairs if tried is None else tried.unionAll(pairs)
         links = found if links is None else links.unionAll(found)
-        label = cut(classes_of(links))
+        label = few(classes_of(found, label), n_slots)
     return label, links
 
 
