@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 
 DIMENSION = 64
+#: Chunks whose tokens are hashed at a time.
+COUNTED = 1024
 
 
 def term_frequency(chunks: DataFrame) -> DataFrame:
@@ -41,28 +49,34 @@ def term_stats(chunks: DataFrame, n_chunks: int) -> DataFrame:
     return document_frequency(chunks).withColumn("idf", idf(F.col("df"), F.lit(n_chunks)))
 
 
-def bucket_of(token, dimension: int = DIMENSION):
+def bucket_of(token: bytes, dimension: int = DIMENSION) -> tuple[int, int]:
     """(bucket, sign) of a token from its SHA-1: the number modulo the dimension; bit 1 is the sign."""
-    digest = F.sha1(token.cast("binary"))
-    low = F.conv(F.substring(digest, 33, 8), 16, 10).cast("long")
-    if dimension & (dimension - 1) == 0:
-        bucket = low % dimension
-    else:
-        digits = F.transform(F.sequence(F.lit(1), F.lit(40)), lambda i: F.conv(F.substring(digest, i, F.lit(1)), 16, 10).cast("long"))
-        bucket = F.aggregate(digits, F.lit(0).cast("long"), lambda a, d: (a * 16 + d) % dimension)
-    return bucket.cast("int"), F.when(F.shiftright(low, 1).bitwiseAND(F.lit(1)) == 1, -1).otherwise(1)
+    number = int.from_bytes(hashlib.sha1(token).digest(), "big")
+    return number % dimension, -1 if number >> 1 & 1 else 1
 
 
 def hash_counts(chunks: DataFrame, dimension: int = DIMENSION) -> DataFrame:
     """chunk_id, vec: signed token counts by hash bucket, zeros for a chunk without tokens.
 
-    The tokens of a chunk stand in one row, so its partial sums are complete before the shuffle.
+    A chunk's tokens are counted in their row, and a token is hashed once for some chunks; vectors alone are shuffled, for rows of one id.
     """
-    exploded = chunks.select("chunk_id", F.explode_outer(tx.cased_tokens(F.col("text"))).alias("token"))
-    bucket, sign = bucket_of(F.col("token"), dimension)
-    signed = exploded.select("chunk_id", bucket.alias("b"), sign.alias("s"))
-    sums = [F.coalesce(F.sum(F.when(F.col("b") == i, F.col("s"))), F.lit(0)).cast("double").alias(f"_{i}") for i in range(dimension)]
-    return signed.groupBy("chunk_id").agg(*sums).select("chunk_id", F.array(*[f"_{i}" for i in range(dimension)]).alias("vec"))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, COUNTED):
+                batch = whole.slice(first, COUNTED)
+                tokens = batch.column(1)
+                codes = tokens.flatten().dictionary_encode()
+                bucket, sign = np.array([bucket_of(t, dimension) for t in codes.dictionary.cast(pa.binary()).to_pylist()], np.int64).reshape(-1, 2).T
+                at = codes.indices.to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(tokens).to_numpy(zero_copy_only=False))
+                sums = np.bincount(row * dimension + bucket[at], sign[at], batch.num_rows * dimension).astype(float)
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in sums.reshape(-1, dimension).T)], names=names)
+
+    names = ["chunk_id", *(f"_{i}" for i in range(dimension))]
+    schema = f"chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}, " + ", ".join(f"{c} double" for c in names[1:])
+    rows = chunks.select("chunk_id", tx.cased_tokens(F.col("text")).alias("tokens")).mapInArrow(counted, schema)
+    return rows.groupBy("chunk_id").agg(*[F.sum(c).alias(c) for c in names[1:]]).select("chunk_id", F.array(*names[1:]).alias("vec"))
 
 
 def norm(vec):
