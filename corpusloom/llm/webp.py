@@ -58,6 +58,7 @@ STRETCH = 1 << 16
 
 #: What a task has worked out so far; plain dicts, which travel to the tasks by value with the functions.
 NEAR_DISTANCES: dict[int, tuple[int, ...]] = {}
+NEAR_CODES: dict[int, dict[int, int]] = {}
 REVERSALS: dict[int, np.ndarray] = {}
 
 
@@ -67,6 +68,13 @@ def near_distances(width: int) -> tuple[int, ...]:
     return NEAR_DISTANCES[width]
 
 
+def near_codes(width: int) -> dict[int, int]:
+    """The lowest code of each near distance."""
+    if width not in NEAR_CODES:
+        NEAR_CODES[width] = {d: k + 1 for k, d in reversed(list(enumerate(near_distances(width))))}
+    return NEAR_CODES[width]
+
+
 # ---------------------------------------------------------------- prefix codes
 
 
@@ -182,8 +190,13 @@ class Writer:
         values, sizes = np.concatenate(self.values), np.concatenate(self.sizes)
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
-        place = np.arange(total) - np.repeat(ends - sizes, sizes)
-        return np.packbits(((np.repeat(values, sizes) >> place) & 1).astype(np.uint8), bitorder="little").tobytes()
+        start = ends - sizes
+        # Lanes of 16 bits: what begins in a lane has no bit in common and takes at most 16 + 28 bits, so that its sum in doubles is exact.
+        lanes = np.bincount(start >> 4, (values & (1 << sizes) - 1) << (start & 15), (total >> 4) + 3).astype(np.int64)
+        out = lanes & 0xFFFF
+        out[1:] += lanes[:-1] >> 16 & 0xFFFF
+        out[2:] += lanes[:-2] >> 32
+        return out.astype("<u2").tobytes()[: total + 7 >> 3]
 
 
 # ---------------------------------------------------------------- reading
@@ -241,34 +254,41 @@ def literals_ahead(data: bytes, at: int, group: list[Table]) -> tuple:
     """
     raw = np.frombuffer(data, np.uint8).astype(np.uint32)
     words = raw[:-3] | raw[1:-2] << 8 | raw[2:-1] << 16 | raw[3:] << 24
-    bits = (words[:, None] >> np.arange(8, dtype=np.uint32)).ravel().view(np.int32)
+    bits = (words[:, None] >> np.arange(8, dtype=np.uint32)).ravel().astype(np.int64)
     end = len(bits) - 64
-    place = np.arange(max(end, 0), dtype=np.int32)
-    fields = []
-    for table in group[:4]:
-        entries = np.array(table.entries, np.int32)
+    place = np.arange(max(end, 0))
+    fixed, varied = 0, []  # fields of one value, and those of several with their shifts
+    literal, first = True, True
+    for shift, table in zip((8, 16, 0, 24), group):
         if not table.mask:
-            fields.append(np.broadcast_to(entries >> 4, place.shape))
+            fixed |= (table.entries[0] >> 4 & 255) << shift
+            literal = table.entries[0] < 256 << 4 if shift == 8 else literal
             continue
-        e = entries[bits[place] & table.mask]
-        fields.append(e >> 4)
-        place = place + (e & 15)
-    green, red, blue, alpha = fields
-    after = np.zeros(end + 128, np.int32)
-    after[at:end] = np.where(green < 256, place, 0)[at:]
-    after2 = after[after]
-    after4 = after2[after2]
+        e = np.asarray(table.entries).take((bits[: len(place)] if first else bits.take(place)) & table.mask)
+        if shift == 8:
+            literal = e < 256 << 4
+        varied.append((e, shift))
+        place, first = place + (e & 15), False
+    after = np.zeros(end + 128, np.int64)
+    after[at:end] = (place * literal)[at:]
+    after2 = after.take(after)
+    after4 = after2.take(after2)
 
     def steps(places: list[int]) -> np.ndarray:
-        p = np.array(places, np.int32)
-        p = np.stack([p, after4[p]], axis=1).ravel()
-        p = np.stack([p, after2[p]], axis=1).ravel()
-        return np.stack([p, after[p]], axis=1).ravel()
-
-    def pixel(p: np.ndarray) -> list[int]:
-        return (alpha[p].astype(np.int64) << 24 | red[p] << 16 | green[p] << 8 | blue[p]).tolist()
+        p = np.empty((len(places), 8), np.int64)
+        p[:, 0] = places
+        p[:, 4] = after4.take(p[:, 0])
+        p[:, 2::4] = after2.take(p[:, ::4])
+        p[:, 1::2] = after.take(p[:, ::2])
+        return p.ravel()
+
+    def pixel(p: np.ndarray) -> np.ndarray:
+        out = np.full(len(p), fixed)
+        for e, shift in varied:
+            out |= e.take(p) >> 4 << shift
+        return out
 
-    return pixel, steps, memoryview(after), memoryview(after4[after4])
+    return pixel, steps, memoryview(after), memoryview(after4.take(after4))
 
 
 def read_pixels(r: Reader, width: int, height: int, main: bool) -> np.ndarray:
@@ -295,6 +315,7 @@ def read_pixels(r: Reader, width: int, height: int, main: bool) -> np.ndarray:
     quick = n_groups == 1 and total >= AHEAD
     green, red, blue, alpha, distance = groups[0]
     room = total
+    read, done = np.empty(total if quick and not cache_bits else 0, np.int64), 0
     while quick and not cache_bits and room:
         # Without a cache the literals' pixels are needed by copies alone, so those of a stretch are looked up at its end.
         base, before = at - 1 & ~7, room  # so no pixel begins at bit 0 of a stretch, which says that none begins
@@ -326,24 +347,26 @@ def read_pixels(r: Reader, width: int, height: int, main: bool) -> np.ndarray:
             length = min(length, room)
             runs.append((len(eights), len(places), length, code - 120 if code > 120 else near[code - 1]))
             room -= length
-        eight_pixels = pixel(steps(eights)) if eights else []
-        place_pixels = pixel(np.array(places, np.int32)) if places else []
+        eight_pixels = pixel(steps(eights)) if eights else read[:0]
+        place_pixels = pixel(np.array(places, np.int64)) if places else read[:0]
         was, had = 0, 0
-        for n_eights, n_places, length, back in runs:
-            out += eight_pixels[8 * was : 8 * n_eights]
-            out += place_pixels[had:n_places]
+        for n_eights, n_places, length, back in [*runs, (len(eights), len(places), 0, 1)]:
+            for some in (eight_pixels[8 * was : 8 * n_eights], place_pixels[had:n_places]):
+                read[done : done + len(some)] = some
+                done += len(some)
             was, had = n_eights, n_places
-            start = len(out) - back
-            if start < 0:
+            start = done - back
+            if length and start < 0:
                 raise ValueError("copy from before the image")
-            out += out[start : start + length] if back >= length else (out[start:] * (length // back + 1))[:length]
-        out += eight_pixels[8 * was :]
-        out += place_pixels[had:]
+            if length:
+                read[done : done + length] = read[start : start + length] if back >= length else np.resize(read[start:done], length)
+            done += length
         at += base
         if room == before:
             break
+    out += read[:done].tolist() if done < total else ()
     base = until = 0
-    while len(out) < total:
+    while done < total and len(out) < total:
         if groups_at is not None:
             y, x = divmod(len(out), width)
             green, red, blue, alpha, distance = groups[groups_at[(y >> block_bits) * across + (x >> block_bits)]]
@@ -363,7 +386,7 @@ def read_pixels(r: Reader, width: int, height: int, main: bool) -> np.ndarray:
                 to = after8[at]
                 room -= 8
             if eights:
-                out += pixel(steps(eights))
+                out += pixel(steps(eights)).tolist()
             places = []
             to = after[at] if at < len(after) else 0
             while to and room:
@@ -372,7 +395,7 @@ def read_pixels(r: Reader, width: int, height: int, main: bool) -> np.ndarray:
                 to = after[at]
                 room -= 1
             if places:
-                out += pixel(np.array(places, np.int32))
+                out += pixel(np.array(places, np.int64)).tolist()
             at += base
             if not room:
                 break
@@ -417,7 +440,7 @@ def read_pixels(r: Reader, width: int, height: int, main: bool) -> np.ndarray:
     r.at = at
     if at > (len(data) - 16) * 8:
         raise ValueError("image data ends early")
-    return np.array(out, np.int64)
+    return np.array(out, np.int64) if done < total else read
 
 
 def channels(argb: np.ndarray) -> np.ndarray:
@@ -720,7 +743,7 @@ def write_pixels(w: Writer, argb: np.ndarray, width: int, main: bool, cache_bits
         cached = np.zeros(0, np.int64)
     place = np.array([c[0] for c in found], np.int64)
     length = split_value(np.array([c[1] for c in found], np.int64))
-    near = {d: k + 1 for k, d in reversed(list(enumerate(near_distances(width))))}
+    near = near_codes(width) if found else {}
     distance = split_value(np.array([near.get(c[2], c[2] + 120) for c in found], np.int64))
     parts = channels(argb[at]).astype(np.int64)
     greens = np.concatenate([parts[:, 1], length[0] + 256, slots + 256 + LENGTH_CODES])
